@@ -16,3 +16,4 @@ BUCKET_LIMITS = (7, 15, 30, 45, 60)
 # Any other code is labelled 'CBL', as in the reference's three-way CASE.
 TOWNS = {"ASIA": "Karachi", "EUROPE": "Lahore"}
 OTHER_TOWN = "CBL"
+TARGET_PERIOD = "2001-3"            # T4 month, YYYY-M

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import sales as S
-from ..params import AS_OF, OVERLAP_WINDOW, TOWN, WINDOW
+from ..operators import targets as T
+from ..params import AS_OF, OVERLAP_WINDOW, TARGET_PERIOD, TOWN, WINDOW
 from ..sources.facts import Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,113 @@ def _m6(f): return S.dm_growth(f, OVERLAP_WINDOW, TOWN)
 
 @query("m7_dm_unique_productivity")
 def _m7(f): return S.dm_unique_productivity(f, WINDOW, TOWN)
+
+
+@query("m1_revenue_sparkline")
+def _m1(f): return S.revenue_sparkline(f, AS_OF, TOWN)
+
+
+@query("m8_dm_productivity_growth")
+def _m8(f):
+    return S.dm_unique_productivity(f, WINDOW, TOWN).select(
+        "town", "deliveryman", "unique_prod_growth_ly", "unique_prod_growth_lm")
+
+
+@query("m9_brand_growth_overall")
+def _m9(f): return S.brand_growth_overall(S.brand_growth(f, WINDOW, TOWN))
+
+
+@query("m10_channel_brand_segments")
+def _m10(f): return S.channel_brand_segments(S.brand_growth(f, WINDOW, TOWN))
+
+
+@query("m11_channel_growth_order")
+def _m11(f): return S.channel_growth_order(S.channel_performance(f, WINDOW, TOWN), "lm")
+
+
+@query("m12_channel_aov")
+def _m12(f): return S.channel_aov(S.channel_performance(f, WINDOW, TOWN))
+
+
+@query("m13_overall_kpi")
+def _m13(f): return S.overall_kpi(S.kpi(f, OVERLAP_WINDOW, "all"))
+
+
+@query("m14_channel_treemap")
+def _m14(f): return S.channel_treemap(f, AS_OF)
+
+
+@query("m15_channel_brand_dm_stores")
+def _m15(f): return S.channel_brand_dm_stores(f, WINDOW, TOWN)
+
+
+@query("m16_brand_productivity")
+def _m16(f): return S.brand_productivity(S.channel_brand_dm_stores(f, WINDOW, TOWN))
+
+
+@query("m17_sku_sales")
+def _m17(f): return S.sku_sales(f, WINDOW, "all")
+
+
+@query("m18_brand_table")
+def _m18(f): return S.brand_table(S.brand_growth_overall(S.brand_growth(f, WINDOW, TOWN)))
+
+
+@query("m19_daily_gmv")
+def _m19(f): return S.daily_gmv(f, WINDOW, TOWN)
+
+
+@query("m20_daily_trend")
+def _m20(f): return S.daily_trend(S.daily_gmv(f, WINDOW, TOWN))
+
+
+@query("m21_gmv_calendar")
+def _m21(f): return S.gmv_calendar(S.daily_trend(S.daily_gmv(f, WINDOW, TOWN)))
+
+
+@query("m22_aov_mopu")
+def _m22(f): return S.aov_mopu(f, TOWN, AS_OF, 6)
+
+
+@query("m23_account_freshness")
+def _m23(f): return S.account_freshness(f)
+
+
+@query("m24_channel_share")
+def _m24(f): return S.channel_share(S.channel_performance(f, WINDOW, TOWN))
+
+
+@query("m25_channel_growth_table")
+def _m25(f): return S.channel_growth_table(S.channel_performance(f, WINDOW, TOWN))
+
+
+@query("t1_target_vs_ach_monthly")
+def _t1(f): return T.target_vs_ach_monthly(f, TOWN)
+
+
+@query("t2_target_vs_ach_booker")
+def _t2(f): return T.target_vs_ach_booker(f, TOWN)
+
+
+@query("t3_channel_month")
+def _t3(f): return T.channel_month(f, TOWN, AS_OF)
+
+
+@query("t4_target_vs_ach_brand")
+def _t4(f): return T.target_vs_ach_brand(f, TOWN, TARGET_PERIOD)
+
+
+@query("t8_brand_target_summary")
+def _t8(f): return T.brand_target_summary(T.target_vs_ach_brand(f, TOWN, TARGET_PERIOD))
+
+
+@query("t9_ob_achievement")
+def _t9(f): return T.ob_achievement(f, WINDOW, TOWN)
+
+
+@query("t10_period_target_total")
+def _t10(f): return T.period_target_total(f, OVERLAP_WINDOW, TOWN)
+
+
+@query("t11_target_upload_status")
+def _t11(f): return T.target_upload_status(f, TOWN, AS_OF)
