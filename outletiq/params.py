@@ -17,3 +17,4 @@ BUCKET_LIMITS = (7, 15, 30, 45, 60)
 TOWNS = {"ASIA": "Karachi", "EUROPE": "Lahore"}
 OTHER_TOWN = "CBL"
 TARGET_PERIOD = "2001-3"            # T4 month, YYYY-M
+FOCUS_BOOKER = "Supplier#000000001"  # F17 outlet list

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import sales as S
+from ..operators import fieldforce as FF
 from ..operators import targets as T
-from ..params import AS_OF, OVERLAP_WINDOW, TARGET_PERIOD, TOWN, WINDOW
+from ..params import AS_OF, FOCUS_BOOKER, OVERLAP_WINDOW, TARGET_PERIOD, TOWN, WINDOW
 from ..sources.facts import Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +158,138 @@ def _t10(f): return T.period_target_total(f, OVERLAP_WINDOW, TOWN)
 
 @query("t11_target_upload_status")
 def _t11(f): return T.target_upload_status(f, TOWN, AS_OF)
+
+
+@query("f1_fieldforce")
+def _f1(f): return FF.fieldforce(f, WINDOW, TOWN)
+
+
+@query("f2_booker_rollup")
+def _f2(f): return FF.booker_rollup(FF.fieldforce(f, WINDOW, TOWN))
+
+
+@query("f3_daily_calls")
+def _f3(f): return FF.daily_calls(f, WINDOW, TOWN)
+
+
+@query("f4_daily_calls_trend")
+def _f4(f): return FF.daily_calls_trend(FF.daily_calls(f, WINDOW, TOWN))
+
+
+@query("f5_calls_kpi")
+def _f5(f): return FF.calls_kpi(f, WINDOW, TOWN)
+
+
+@query("f6_orders_placed")
+def _f6(f): return FF.orders_placed(f, WINDOW, TOWN)
+
+
+@query("f7_leaderboard")
+def _f7(f): return FF.leaderboard(f, WINDOW, TOWN)
+
+
+@query("f8_performance_score")
+def _f8(f): return FF.performance_score(FF.leaderboard(f, WINDOW, TOWN))
+
+
+@query("f9_top_bottom")
+def _f9(f): return FF.top_bottom(FF.performance_score(FF.leaderboard(f, WINDOW, TOWN)))
+
+
+@query("f10_under_performers")
+def _f10(f): return FF.under_performers(FF.leaderboard(f, WINDOW, TOWN))
+
+
+@query("f11_booker_snapshot")
+def _f11(f): return FF.booker_snapshot(f, WINDOW, TOWN)
+
+
+@query("f12_funnel")
+def _f12(f): return FF.funnel(f, WINDOW, TOWN)
+
+
+@query("f13_store_activity")
+def _f13(f): return FF.store_activity(f, WINDOW, TOWN)
+
+
+@query("f14_booker_store_activity")
+def _f14(f): return FF.booker_store_activity(f, WINDOW, TOWN)
+
+
+@query("f15_store_segments")
+def _f15(f): return FF.segment(FF.store_activity(f, WINDOW, TOWN), WINDOW)
+
+
+@query("f15_segment_summary")
+def _f15s(f): return FF.segment_summary(FF.segment(FF.store_activity(f, WINDOW, TOWN), WINDOW))
+
+
+@query("f16_booker_segment_matrix")
+def _f16(f):
+    return FF.booker_segment_matrix(FF.segment(FF.booker_store_activity(f, WINDOW, TOWN), WINDOW))
+
+
+@query("f17_booker_outlets")
+def _f17(f): return FF.booker_outlets(FF.booker_store_activity(f, WINDOW, TOWN), FOCUS_BOOKER)
+
+
+@query("f18_cohort_orders")
+def _f18(f): return FF.cohort_orders(f, OVERLAP_WINDOW, TOWN)
+
+
+@query("f19_weekly_retention")
+def _f19(f): return FF.weekly_retention(FF.cohort_orders(f, OVERLAP_WINDOW, TOWN))
+
+
+@query("f20_sku_per_bill")
+def _f20(f): return FF.sku_per_bill(f, WINDOW, TOWN)
+
+
+@query("f21_sku_per_bill_vs_mean")
+def _f21(f): return FF.sku_per_bill_vs_mean(FF.leaderboard(f, WINDOW, TOWN))
+
+
+@query("f22_booker_brand_scoring")
+def _f22(f): return FF.booker_brand_scoring(f, WINDOW, TOWN)
+
+
+@query("f23_brand_scores")
+def _f23(f): return FF.brand_scores(FF.booker_brand_scoring(f, WINDOW, TOWN))
+
+
+@query("f24_brand_focus")
+def _f24(f): return FF.brand_focus(FF.booker_brand_scoring(f, WINDOW, TOWN))
+
+
+@query("f25_top_brands")
+def _f25(f): return FF.top_brands(FF.booker_brand_scoring(f, WINDOW, TOWN))
+
+
+@query("f26_top_bookers")
+def _f26(f): return FF.top_bookers(FF.booker_rollup(FF.fieldforce(f, WINDOW, TOWN)))
+
+
+@query("f27_dm_efficiency")
+def _f27(f): return FF.dm_efficiency(FF.fieldforce(f, WINDOW, TOWN))
+
+
+@query("f28_visit_frequency")
+def _f28(f): return FF.visit_frequency(f, TOWN, AS_OF)
+
+
+@query("f29_half_carton")
+def _f29(f): return FF.half_carton_by_booker(FF.half_carton(f, TOWN, AS_OF))
+
+
+@query("f29_half_carton_detail")
+def _f29d(f): return FF.half_carton(f, TOWN, AS_OF)
+
+
+@query("f30_half_carton_matrix")
+def _f30(f): return FF.half_carton_matrix(FF.half_carton(f, TOWN, AS_OF))
+
+
+@query("f31_segmentation_table")
+def _f31(f):
+    seg = FF.segment(FF.booker_store_activity(f, WINDOW, TOWN), WINDOW)
+    return FF.segmentation_table(seg, segments=[FF.SEGMENTS[0], FF.SEGMENTS[3]])
