@@ -5,22 +5,34 @@ Every entry is ``(spark, sf_dir) -> DataFrame`` over the whole input tables.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..operators import sales as S
 from ..operators import fieldforce as FF
+from ..operators import inventory as I
 from ..operators import targets as T
-from ..params import AS_OF, FOCUS_BOOKER, OVERLAP_WINDOW, TARGET_PERIOD, TOWN, WINDOW
+from ..params import (AS_OF, BUCKET_LIMITS, FOCUS_BOOKER, OVERLAP_WINDOW, TARGET_PERIOD, TOWN,
+                      WINDOW)
 from ..sources.facts import Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def as_output(df: DataFrame) -> DataFrame:
+    """Output contract: exact decimals leave as doubles (one stable schema)."""
+    cols = [F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
+            else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return df.select(cols)
+
+
 def query(name):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Facts.from_dir(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: as_output(fn(Facts.from_dir(spark, sf_dir)))
         QUERIES[name].__doc__ = fn.__doc__
         return fn
     return deco
@@ -293,3 +305,55 @@ def _f30(f): return FF.half_carton_matrix(FF.half_carton(f, TOWN, AS_OF))
 def _f31(f):
     seg = FF.segment(FF.booker_store_activity(f, WINDOW, TOWN), WINDOW)
     return FF.segmentation_table(seg, segments=[FF.SEGMENTS[0], FF.SEGMENTS[3]])
+
+
+@query("i1_snapshot_dates")
+def _i1(f): return I.snapshot_dates(f, TOWN, AS_OF - dt.timedelta(days=3))
+
+
+@query("i2_stock_by_sku")
+def _i2(f): return I.stock_by_sku(f, TOWN, AS_OF)
+
+
+@query("i3_sales_by_sku")
+def _i3(f): return I.sales_by_sku(f, TOWN, AS_OF, 90)
+
+
+@query("i4_inventory_kpi")
+def _i4(f): return I.inventory_kpi(f, TOWN, AS_OF)
+
+
+@query("i5_month_end_stock")
+def _i5(f): return I.month_end_stock(f, TOWN, AS_OF)
+
+
+@query("i6_stock_movement")
+def _i6(f): return I.stock_movement(f, TOWN, AS_OF)
+
+
+@query("i7_days_cover_by_category")
+def _i7(f): return I.days_cover_by_category(f, TOWN, AS_OF)
+
+
+@query("i8_cover_bucket_matrix")
+def _i8(f): return I.cover_bucket_matrix(f, "all", AS_OF, BUCKET_LIMITS)
+
+
+@query("i8_cover_bucket_shares")
+def _i8s(f): return I.cover_bucket_shares(I.cover_bucket_matrix(f, "all", AS_OF, BUCKET_LIMITS), BUCKET_LIMITS)
+
+
+@query("i9_inventory_health")
+def _i9(f): return I.inventory_health(f, TOWN, AS_OF)
+
+
+@query("i10_dead_stock")
+def _i10(f): return I.dead_stock(f, TOWN, AS_OF)
+
+
+@query("i13_kpi_delta")
+def _i13(f): return I.kpi_delta(I.inventory_kpi(f, TOWN, AS_OF))
+
+
+@query("i14_health_bands")
+def _i14(f): return I.health_bands(I.inventory_health(f, TOWN, AS_OF))
