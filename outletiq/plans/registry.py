@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ..operators import sales as S
+from ..operators import coverage as C
 from ..operators import fieldforce as FF
 from ..operators import inventory as I
 from ..operators import targets as T
-from ..params import (AS_OF, BUCKET_LIMITS, FOCUS_BOOKER, OVERLAP_WINDOW, TARGET_PERIOD, TOWN,
+from ..params import (AS_OF, BUCKET_LIMITS, FOCUS_BOOKER, FOCUS_BRANDS, OVERLAP_WINDOW, TARGET_PERIOD, TOWN,
                       WINDOW)
 from ..sources.facts import Facts
 
@@ -357,3 +358,75 @@ def _i13(f): return I.kpi_delta(I.inventory_kpi(f, TOWN, AS_OF))
 
 @query("i14_health_bands")
 def _i14(f): return I.health_bands(I.inventory_health(f, TOWN, AS_OF))
+
+
+def _c3(f):
+    return C.visit_coverage(f, WINDOW, TOWN, FOCUS_BRANDS)
+
+
+@query("c1_coverage_visits")
+def _c1q(f): return C.coverage_visits(f, WINDOW, TOWN)
+
+
+@query("c2_coverage_sales")
+def _c2q(f): return C.coverage_sales(f, WINDOW, TOWN)
+
+
+@query("c3_visit_brand_sales")
+def _c3l(f): return C.visit_brand_long(f, WINDOW, TOWN)[1]
+
+
+@query("c3_visit_coverage")
+def _c3q(f): return _c3(f)
+
+
+@query("c4_rescore")
+def _c4(f): return C.rescore(f, WINDOW, TOWN, FOCUS_BRANDS[:2])
+
+
+@query("c5_coverage_levels")
+def _c5(f): return C.coverage_levels(_c3(f), len(FOCUS_BRANDS))
+
+
+@query("c6_sell_rate")
+def _c6(f): return C.sell_rate(_c3(f), FOCUS_BRANDS)
+
+
+@query("c7_daily_coverage")
+def _c7(f): return C.daily_coverage(_c3(f), FOCUS_BRANDS)
+
+
+@query("c8_miss_matrix")
+def _c8(f): return C.miss_matrix(_c3(f), FOCUS_BRANDS)
+
+
+@query("c9_last_visit_gap")
+def _c9(f): return C.last_visit_gap(_c3(f), FOCUS_BRANDS)
+
+
+@query("c10_daily_brand_shops")
+def _c10(f): return C.daily_brand_shops(f, WINDOW, TOWN, FOCUS_BRANDS)
+
+
+@query("c11_shop_day_detail")
+def _c11(f): return C.shop_day_detail(_c3(f))
+
+
+@query("c12_booker_day_matrix")
+def _c12(f): return C.booker_day_matrix(_c3(f), FOCUS_BRANDS)
+
+
+@query("c13_shop_table")
+def _c13(f): return C.shop_table(_c3(f), FOCUS_BRANDS, missed_only=True)
+
+
+@query("c14_booker_summary")
+def _c14(f): return C.booker_summary(_c3(f), FOCUS_BRANDS)
+
+
+@query("c14_booker_detail")
+def _c14d(f): return C.booker_detail(_c3(f))
+
+
+@query("c15_coverage_kpi")
+def _c15(f): return C.coverage_kpi(_c3(f), FOCUS_BRANDS)
