@@ -16,6 +16,7 @@ from ..operators import sales as S
 from ..operators import coverage as C
 from ..operators import fieldforce as FF
 from ..operators import inventory as I
+from ..operators import quality as Q
 from ..operators import targets as T
 from ..params import (AS_OF, BUCKET_LIMITS, FOCUS_BOOKER, FOCUS_BRANDS, OVERLAP_WINDOW, TARGET_PERIOD, TOWN,
                       WINDOW)
@@ -430,3 +431,15 @@ def _c14d(f): return C.booker_detail(_c3(f))
 
 @query("c15_coverage_kpi")
 def _c15(f): return C.coverage_kpi(_c3(f), FOCUS_BRANDS)
+
+
+@query("qa_unknown_brand_skus")
+def _qa(f): return Q.unknown_brand_skus(f, OVERLAP_WINDOW, TOWN)
+
+
+@query("qb_missing_targets")
+def _qb(f): return Q.missing_targets(f, TOWN, AS_OF)
+
+
+@query("qc_missing_shops")
+def _qc(f): return Q.missing_shops(f, OVERLAP_WINDOW, TOWN)
