@@ -18,3 +18,4 @@ TOWNS = {"ASIA": "Karachi", "EUROPE": "Lahore"}
 OTHER_TOWN = "CBL"
 TARGET_PERIOD = "2001-3"            # T4 month, YYYY-M
 FOCUS_BOOKER = "Supplier#000000001"  # F17 outlet list
+EMPTY_WINDOW = (dt.date(2002, 12, 1), dt.date(2002, 12, 31))  # no visits: SRC10 fallback

@@ -16,9 +16,11 @@ from ..operators import sales as S
 from ..operators import coverage as C
 from ..operators import fieldforce as FF
 from ..operators import inventory as I
+from ..operators import options as O
 from ..operators import quality as Q
 from ..operators import targets as T
-from ..params import (AS_OF, BUCKET_LIMITS, FOCUS_BOOKER, FOCUS_BRANDS, OVERLAP_WINDOW, TARGET_PERIOD, TOWN,
+from ..params import (AS_OF, BUCKET_LIMITS, EMPTY_WINDOW, FOCUS_BOOKER, FOCUS_BRANDS, OVERLAP_WINDOW,
+                      TARGET_PERIOD, TOWN,
                       WINDOW)
 from ..sources.facts import Facts
 
@@ -443,3 +445,23 @@ def _qb(f): return Q.missing_targets(f, TOWN, AS_OF)
 
 @query("qc_missing_shops")
 def _qc(f): return Q.missing_shops(f, OVERLAP_WINDOW, TOWN)
+
+
+@query("src5_channel_options")
+def _src5(f): return O.channel_options(f, WINDOW, TOWN)
+
+
+@query("src6_month_channel_options")
+def _src6(f): return O.month_channel_options(f, TOWN, TARGET_PERIOD)
+
+
+@query("src7_target_period_options")
+def _src7(f): return O.target_period_options(f, TOWN)
+
+
+@query("src9_latest_visit_date")
+def _src9(f): return O.latest_visit_date(f, TOWN)
+
+
+@query("src10_calls_with_fallback")
+def _src10(f): return FF.daily_calls(f, O.window_with_fallback(f, EMPTY_WINDOW, TOWN), TOWN)
