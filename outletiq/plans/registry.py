@@ -23,6 +23,7 @@ from ..params import (AS_OF, BUCKET_LIMITS, EMPTY_WINDOW, FOCUS_BOOKER, FOCUS_BR
                       TARGET_PERIOD, TOWN,
                       WINDOW)
 from ..sources.facts import Facts
+from . import ingest_plans as IP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -465,3 +466,27 @@ def _src9(f): return O.latest_visit_date(f, TOWN)
 
 @query("src10_calls_with_fallback")
 def _src10(f): return FF.daily_calls(f, O.window_with_fallback(f, EMPTY_WINDOW, TOWN), TOWN)
+
+
+@query("ing_order_report_roundtrip")
+def _ing1(f): return IP.order_report_roundtrip(f)
+
+
+@query("ing_stock_report_roundtrip")
+def _ing4(f): return IP.stock_report_roundtrip(f)
+
+
+@query("ing_visit_report_roundtrip")
+def _ingv(f): return IP.visit_report_roundtrip(f)
+
+
+@query("ing12_stock_upsert")
+def _ing12(f): return IP.stock_upsert(f)
+
+
+@query("ing14_stock_replace_period")
+def _ing14(f): return IP.stock_replace_period(f)
+
+
+@query("ing13_high_water_marks")
+def _ing13(f): return IP.high_water_marks(f)
