@@ -18,6 +18,7 @@ from ..operators import fieldforce as FF
 from ..operators import inventory as I
 from ..operators import options as O
 from ..operators import quality as Q
+from ..operators import sqlrunner as SQ
 from ..operators import targets as T
 from ..params import (AS_OF, BUCKET_LIMITS, EMPTY_WINDOW, FOCUS_BOOKER, FOCUS_BRANDS, OVERLAP_WINDOW,
                       TARGET_PERIOD, TOWN,
@@ -490,3 +491,14 @@ def _ing14(f): return IP.stock_replace_period(f)
 
 @query("ing13_high_water_marks")
 def _ing13(f): return IP.high_water_marks(f)
+
+
+def _sample(name):
+    def run(f):
+        SQ.register_views(f)
+        return SQ.safe_select(f.spark, SQ.sample_queries(TOWN, AS_OF)[name], 5000)
+    return run
+
+
+for _n in SQ.sample_queries(TOWN, AS_OF):
+    query(f"sql2_{_n}")(_sample(_n))

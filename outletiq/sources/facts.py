@@ -290,3 +290,65 @@ class Facts:
                       .cast(DEC).alias("target_in_value"),
                       F.round(F.sum(F.col("delivered_litres") + F.col("delivered_kg")) * up, 4)
                       .cast(DEC).alias("target_in_volume")))
+
+
+class TableFacts(Facts):
+    """Facts served from loaded tables (the ingest job's output) or from any
+    DataFrames with the FIXTURES.md §1 schemas (hand-made test frames).
+
+    Filters are applied on the fact columns, so with tables partitioned by
+    ``distributor_code`` and month they prune partitions and reach the scans.
+    """
+
+    def __init__(self, spark, orders=None, visits=None, stock=None, sku_master=None,
+                 universe=None, targets=None, targets_new=None, as_of: dt.date = AS_OF):
+        self.spark = spark
+        self.as_of = as_of
+        self._o, self._v, self._s = orders, visits, stock
+        self._m, self._u, self._t, self._tn = sku_master, universe, targets, targets_new
+
+    @classmethod
+    def from_path(cls, spark, root: str, as_of: dt.date = AS_OF) -> "TableFacts":
+        """Facts from parquet tables under ``root`` (one folder per table)."""
+        def rd(n):
+            try:
+                return spark.read.parquet(f"{root.rstrip('/')}/{n}")
+            except Exception:  # table not loaded yet
+                return None
+        return cls(spark, rd("orders_fact"), rd("visits_fact"), rd("stock_fact"), rd("sku_master"),
+                   rd("universe"), rd("targets"), rd("targets_new"), as_of)
+
+    @staticmethod
+    def _window(df, col, w):
+        if w:
+            df = df.where(F.col(col).between(F.lit(w[0]), F.lit(w[1])))
+        return df
+
+    def orders_fact(self, columns=None, delivery=None, order_dates=None, distributor=None):
+        df = self._window(self._window(self._o, "delivery_date", delivery), "order_date", order_dates)
+        if distributor:
+            df = df.where(F.col("distributor_code") == distributor)
+        cols = list(columns) if columns else [c for c in ORDER_COLUMNS if c in df.columns]
+        return df.select([F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols])
+
+    def visits_fact(self, visit_dates=None, distributor=None):
+        df = self._window(self._v, "visit_date", visit_dates)
+        if distributor:
+            code = F.trim(F.substring_index(F.substring_index("distributor", "[", -1), "]", 1))
+            df = df.where(code == distributor)
+        return df
+
+    def stock_fact(self, report_dates=None):
+        return self._window(self._s, "report_date", report_dates)
+
+    def sku_master(self):
+        return self._m
+
+    def universe(self):
+        return self._u
+
+    def targets(self):
+        return self._t
+
+    def targets_new(self):
+        return self._tn
