@@ -178,12 +178,13 @@ def stock_upsert(facts: Facts) -> DataFrame:
 
 
 def stock_replace_period(facts: Facts) -> DataFrame:
-    """ING14: the last 10 days of one account replaced by a smaller batch."""
+    """ING14: the last 10 days of one account replaced by a re-load that no
+    longer reports out-of-stock lines (value 0) and carries changed values."""
     s = facts.stock_fact()
     a = facts.as_of
     lo = a - dt.timedelta(days=9)
     new = s.where((F.col("account_label") == "ASIA") & (F.col("report_date") >= F.lit(lo))
-                  & (F.col("sku_code").cast("long") % 20 == 0)) \
+                  & (F.col("value") > 0)) \
         .withColumn("value", (F.col("value") * 2).cast("decimal(18,4)"))
     return ING.replace_period(s, new, "report_date", lo, a, "ASIA")
 
