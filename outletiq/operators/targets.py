@@ -195,3 +195,55 @@ def donut_band(col="value_ach") -> F.Column:
     v = F.col(col)
     return (F.when(v >= 100, ">=100").when(v >= 85, "85-99").when(v >= 70, "70-84")
             .otherwise("<70"))
+
+
+def _hierarchy(t4: DataFrame, outer: str, inner: str) -> DataFrame:
+    """T5/T6 core: leaves (outer × inner) with size = target when > 0 else NMV
+    (clipped at 0) and leaf achievement = mean (1 digit, half-even); parents
+    and the root by ROLLUP over the leaves, achievement = Σ NMV / Σ target."""
+    leaf = t4.groupBy(outer, inner).agg(
+        F.sum("target_value").alias("target_value"), F.sum("nmv").alias("nmv"),
+        F.bround(F.avg("value_ach"), 1).alias("value_ach"))
+    leaf = leaf.withColumn("size", F.greatest(
+        F.when(F.col("target_value") > 0, F.col("target_value")).otherwise(F.col("nmv")), F.lit(0.0)))
+    up = leaf.rollup(outer).agg(F.sum("target_value").alias("target_value"), F.sum("nmv").alias("nmv"),
+                                F.sum("size").alias("size"), F.grouping_id().alias("gid"))
+    up = up.select(F.when(F.col("gid") == 1, "root").otherwise(outer).alias("level"), outer,
+                   F.lit(None).cast("string").alias(inner), "target_value", "nmv", "size",
+                   F.when(F.col("target_value") > 0,
+                          F.bround(F.col("nmv") / F.col("target_value") * 100.0, 1))
+                    .otherwise(F.lit(0.0)).alias("value_ach"))
+    lv = leaf.select(F.lit(inner).alias("level"), outer, inner, "target_value", "nmv", "size", "value_ach")
+    return up.unionByName(lv).orderBy("level", F.desc("size"), outer, inner)
+
+
+def booker_brand_hierarchy(t4: DataFrame) -> DataFrame:
+    """T5: booker → brand hierarchy of T4."""
+    return _hierarchy(t4, "booker", "brand")
+
+
+def brand_booker_hierarchy(t4: DataFrame) -> DataFrame:
+    """Brand → booker hierarchy of T4."""
+    return _hierarchy(t4, "brand", "booker")
+
+
+def flow_links(t4: DataFrame, n: int = 10, source: str = "booker", target: str = "brand") -> DataFrame:
+    """Flow links source → target with NMV > 0, limited to the top ``n`` and
+    bottom ``n`` sources by NMV (SO3); node index = position of the node in the
+    sorted source names followed by the sorted target names."""
+    from pyspark.sql.window import Window as W
+    links = t4.where(F.col("nmv") > 0).groupBy(source, target).agg(F.sum("nmv").alias("value"))
+    tot = links.groupBy(source).agg(F.sum("value").alias("t"))
+    r = tot.select(source,
+                   F.row_number().over(W.orderBy(F.desc("t"), source)).alias("rd"),
+                   F.row_number().over(W.orderBy(F.asc("t"), source)).alias("ra"))  # one row per source
+    keep = r.where((F.col("rd") <= n) | (F.col("ra") <= n)).select(source)
+    links = links.join(keep, source, "left_semi")
+    src = links.select(F.col(source).alias("node"), F.lit(0).alias("side")).distinct()
+    dst = links.select(F.col(target).alias("node"), F.lit(1).alias("side")).distinct()
+    nodes = src.unionByName(dst).withColumn(
+        "idx", F.row_number().over(W.orderBy("side", "node")) - 1)  # one row per node
+    s_idx = nodes.where("side = 0").select(F.col("node").alias(source), F.col("idx").alias("source_idx"))
+    t_idx = nodes.where("side = 1").select(F.col("node").alias(target), F.col("idx").alias("target_idx"))
+    return links.join(s_idx, source).join(t_idx, target) \
+        .select(source, target, "source_idx", "target_idx", "value").orderBy("source_idx", "target_idx")

@@ -502,3 +502,15 @@ def _sample(name):
 
 for _n in SQ.sample_queries(TOWN, AS_OF):
     query(f"sql2_{_n}")(_sample(_n))
+
+
+@query("t5_booker_brand_hierarchy")
+def _t5(f): return T.booker_brand_hierarchy(T.target_vs_ach_brand(f, TOWN, TARGET_PERIOD))
+
+
+@query("t6_brand_booker_hierarchy")
+def _t6(f): return T.brand_booker_hierarchy(T.target_vs_ach_brand(f, TOWN, TARGET_PERIOD))
+
+
+@query("t7_flow_links")
+def _t7(f): return T.flow_links(T.target_vs_ach_brand(f, TOWN, TARGET_PERIOD))
