@@ -319,27 +319,30 @@ class TableFacts(Facts):
                    rd("universe"), rd("targets"), rd("targets_new"), as_of)
 
     @staticmethod
-    def _window(df, col, w):
+    def _window(df, col, w, month_col=None):
         if w:
             df = df.where(F.col(col).between(F.lit(w[0]), F.lit(w[1])))
+            if month_col and month_col in df.columns:  # partition pruning on the month folder
+                df = df.where(F.col(month_col).between(F.lit(w[0].replace(day=1)), F.lit(w[1])))
         return df
 
     def orders_fact(self, columns=None, delivery=None, order_dates=None, distributor=None):
-        df = self._window(self._window(self._o, "delivery_date", delivery), "order_date", order_dates)
+        df = self._window(self._window(self._o, "delivery_date", delivery, "delivery_month"),
+                          "order_date", order_dates)
         if distributor:
             df = df.where(F.col("distributor_code") == distributor)
         cols = list(columns) if columns else [c for c in ORDER_COLUMNS if c in df.columns]
         return df.select([F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols])
 
     def visits_fact(self, visit_dates=None, distributor=None):
-        df = self._window(self._v, "visit_date", visit_dates)
+        df = self._window(self._v, "visit_date", visit_dates, "visit_month")
         if distributor:
             code = F.trim(F.substring_index(F.substring_index("distributor", "[", -1), "]", 1))
             df = df.where(code == distributor)
         return df
 
     def stock_fact(self, report_dates=None):
-        return self._window(self._s, "report_date", report_dates)
+        return self._window(self._s, "report_date", report_dates, "report_month")
 
     def sku_master(self):
         return self._m
