@@ -10,7 +10,8 @@ def read_source(spark: SparkSession, path_or_table: str, fmt: str = "parquet",
                 view: str | None = None, cache: bool = False, **options) -> DataFrame:
     """SRC1: read a table (catalog name) or a path; optionally register a view
     and cache it when several builders share it in one session."""
-    if "/" in path_or_table or "." in path_or_table.split("/")[-1] and fmt != "table":
+    is_path = "/" in path_or_table or ":" in path_or_table  # 'db.table' is a catalog name
+    if is_path and fmt != "table":
         df = spark.read.format(fmt).options(**options).load(path_or_table)
     else:
         df = spark.table(path_or_table)
