@@ -284,7 +284,7 @@ def _sku_health_base(facts: Facts, town: str, end: dt.date, latest: dt.date) ->
     # Sales share of each SKU: the distributor's total is a partial aggregate
     # joined back on the distributor key (no window over all SKUs in one task).
     tot = m.groupBy("distributor_code").agg(F.sum("s90").alias("__t90"))
-    m = m.join(F.broadcast(tot), "distributor_code")
+    m = m.join(F.broadcast(tot), "distributor_code")  # one row per distributor
     return m.withColumn("share", F.when(F.col("__t90") > 0, F.col("s90") / F.col("__t90"))
                         .otherwise(F.lit(0.0)))
 

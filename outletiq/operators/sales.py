@@ -36,7 +36,7 @@ def kpi_sparkline(facts: Facts, end: dt.date, town: str) -> DataFrame:
             .agg(F.sum(X.nmv()).alias("revenue"), F.sum(vol).alias("litres"),
                  F.count_distinct("invoice_number").alias("orders")))
     cal = month_calendar(facts.spark, first, 13, "month_start")
-    out = cal.join(F.broadcast(agg), "month_start", "left")
+    out = cal.join(F.broadcast(agg), "month_start", "left")  # bounded: 13 monthly rows
     rev = F.coalesce(F.col("revenue").cast("double"), F.lit(0.0))
     orders = F.coalesce("orders", F.lit(0)).cast("long")
     return out.select(
@@ -246,7 +246,7 @@ def channel_brand_segments(m5: DataFrame, basis: str = "ly") -> DataFrame:
     w = m5.select("channel", F.coalesce("brand", F.lit("Unknown Brand")).alias("brand"),
                   "current_period_sales", g.alias("growth"), size.alias("size"), band.alias("band"))
     ch = w.groupBy("channel").agg(F.round(F.avg("growth"), 4).alias("channel_growth"))
-    return w.join(F.broadcast(ch), "channel").orderBy("channel", "brand")
+    return w.join(F.broadcast(ch), "channel").orderBy("channel", "brand")  # one row per channel
 
 
 def channel_growth_order(m4: DataFrame, basis: str = "ly") -> DataFrame:

@@ -97,6 +97,7 @@ class Facts:
         if distributor:
             region = region.where(F.col("r_name") == distributor)
         nation = self.t.nation.select("n_nationkey", "n_regionkey")
+        # region (5 rows) and nation (25 rows) are fixed-size at every scale factor.
         geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
         cust = self.t.customer.select("c_custkey", "c_name", "c_nationkey")
         return cust.join(F.broadcast(geo), cust.c_nationkey == geo.n_nationkey) \
@@ -142,7 +143,7 @@ class Facts:
             if "sn" in need:
                 sn = self.t.nation.select(F.col("n_nationkey").alias("sn_key"),
                                           F.col("n_name").alias("sn_name"))
-                s = s.join(F.broadcast(sn), s.s_nationkey == sn.sn_key)
+                s = s.join(F.broadcast(sn), s.s_nationkey == sn.sn_key)  # nation: 25 rows
             df = df.join(small(s), df.l_suppkey == s.s_suppkey)
 
         qty = _d("l_quantity")
