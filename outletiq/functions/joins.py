@@ -17,8 +17,8 @@ CONF_KEY = "outletiq.broadcast.maxBytes"
 def plan_size_bytes(df: DataFrame) -> int | None:
     """Optimizer's size estimate (an upper bound without CBO) or None."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v) if isinstance(v, int) else int(v.toString())  # py4j may convert BigInt
     except Exception:
         return None
 
