@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outletiq.llm import records
+from outletiq.llm import line_dedup, records, simhash
 from outletiq.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 END_OF_TEXT = 2
+LINE_RATIO, LINE_PAGES = 0.05, 5
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,9 +25,41 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), END_OF_TEXT)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), n=3, d=2)
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_boilerplate(documents(spark, sf_dir), LINE_RATIO, LINE_PAGES)
+    return out.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op2_simhash": op2_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, source, text, pos, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM documents WHERE text IS NOT NULL)),
+pages AS (SELECT source, k, count(DISTINCT doc_id) AS pages FROM lines WHERE k <> '' GROUP BY ALL),
+totals AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL),
+boiler AS (
+  SELECT p.source, p.k FROM pages p JOIN totals t ON p.source IS NOT DISTINCT FROM t.source
+  WHERE p.pages >= {LINE_PAGES} AND p.pages > {LINE_RATIO} * t.total),
+cut AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(b.k) AS n_dropped,
+         string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE b.k IS NULL) AS kept
+  FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.k = b.k GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.kept, '') END AS text,
+       coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN cut c USING (doc_id)
+""",
+}
