@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outletiq.llm import line_dedup, records, simhash
+from outletiq.llm import line_dedup, packing, records, simhash
 from outletiq.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 END_OF_TEXT = 2
+PACK_TOKENS, PACK_END = 2048, 0
 LINE_RATIO, LINE_PAGES = 0.05, 5
 
 
@@ -30,6 +31,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file(WORD_BPE), PACK_END, PACK_TOKENS)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(documents(spark, sf_dir), LINE_RATIO, LINE_PAGES)
     return out.select("doc_id", "text", "n_lines", "n_dropped")
@@ -38,6 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_simhash": op2_simhash,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
