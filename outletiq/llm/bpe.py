@@ -1,28 +1,29 @@
 """Whole-batch encoding with a public tokenizer file, one library call per new piece.
 
 Both vocabularies split a text into pieces that are encoded independently, so
-the library encodes each distinct piece once and the ids are gathered back:
+texts are cut where such a split is certain, the library encodes each distinct
+piece once, and the ids are gathered back. A piece starts
 
-* word-end vocabularies (``</w>`` suffix, white space dropped): any white space is a cut;
-* byte-level vocabularies: a single space between two non-space characters is a
-  cut (the space belongs to the piece on its right). A text with any other
-  arrangement of spaces is one piece.
+* at white space, for word-end vocabularies (``</w>`` suffix, white space dropped);
+* at a space or line feed between two non-space characters, for byte-level
+  vocabularies: it belongs to the piece on its right;
+* at ASCII punctuation after an ASCII letter, for both.
+
+A text that holds ``<|``, the start of special tokens, is one piece.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from outletiq.llm.common import ranges, split_words
+from outletiq.llm.common import ranges
 
-#: A space next to other white space, or at either end: no cut is safe there.
-UNSAFE_SPACE = r"(^ | $|[\s\x0b\x{85}\pZ] | [\s\x0b\x{85}\pZ])"
-CACHE = 150_000  # pieces kept per generation, two generations per worker process
+CACHE = 400_000  # pieces kept per worker process; beyond it those met only once are forgotten
 _LOADED: dict[str, BatchEncoder] = {}
 
 
@@ -33,6 +34,41 @@ def encoder(path: str) -> BatchEncoder:
     return _LOADED[path]
 
 
+def _bytes(*parts: range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for p in parts:
+        out[p.start:p.stop] = True
+    return out
+
+
+SPACE = _bytes(range(9, 14), range(32, 33))
+LETTER = _bytes(range(65, 91), range(97, 123))
+PUNCTUATION = _bytes(range(33, 48), range(58, 65), range(91, 97), range(123, 127))
+#: UTF-8 of white space beyond ASCII, by its first bytes: a cut beside one of them is not certain.
+WIDE_SPACE = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"] + [
+    chr(c).encode() for c in range(0x2000, 0x200B)]
+
+
+def _lone_spaces(buf: np.ndarray) -> np.ndarray:
+    """Places of spaces and line feeds with a non-space character on both sides."""
+    at = np.flatnonzero((buf == 32) | (buf == 10))
+    at = at[(at > 0) & (at < len(buf) - 1)]
+    at = at[~SPACE[buf[at - 1]] & ~SPACE[buf[at + 1]]]
+    beyond_ascii = (buf[at - 1] > 127) | (buf[at + 1] > 127)
+    plain, at = at[~beyond_ascii], at[beyond_ascii]
+    wide = np.zeros(len(at), bool)
+    for s in WIDE_SPACE:
+        n = len(s)
+        near = [(at - n, at >= n), (at + 1, at + n < len(buf))]
+        for begin, inside in near:
+            hit = inside & (buf[np.where(inside, begin, 0)] == s[0])
+            for k in range(1, n):
+                if hit.any():
+                    hit &= buf[np.where(inside, begin + k, 0)] == s[k]
+            wide |= hit
+    return np.concatenate([plain, at[~wide]])
+
+
 class BatchEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,52 +79,63 @@ class BatchEncoder:
         self.tokenizer.no_padding()
         self.by_words = bool(self.tokenizer.model.end_of_word_suffix)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.code = "H" if self.size <= 1 << 16 else "I"
-        self.dtype = np.dtype(np.uint16 if self.code == "H" else np.uint32)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self._forget()
         self._strings: pa.Array | None = None
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        if self.by_words:
-            return split_words(texts)
         texts = texts.cast(pa.large_string()).fill_null("")
-        lists = pc.split_pattern(texts, " ")
-        flat, off = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
-        off = off - off[0]
-        prefix = np.ones(len(flat), bool)
-        prefix[off[:-1]] = False
-        flat = pc.binary_join_element_wise(pc.if_else(pa.array(prefix), " ", "").cast(pa.large_string()), flat,
-                                           pa.scalar("", pa.large_string()))
-        unsafe = np.asarray(pc.match_substring_regex(texts, UNSAFE_SPACE))
-        empty = np.asarray(pc.equal(texts, ""))
-        if unsafe.any() or empty.any():
-            whole = unsafe | empty
-            n = np.where(empty, 0, np.where(unsafe, 1, np.diff(off)))
-            source = np.where(whole, len(flat) + np.arange(len(texts)), off[:-1])
-            flat = pa.concat_arrays([flat, texts]).take(pa.array(ranges(source, n)))
-            off = np.concatenate([[0], np.cumsum(n)])
-        return flat, off
-
-    def _lookup(self, keys: list[str]) -> list[bytes]:
-        new, old = self.new, self.old
-        found = [new.get(k) for k in keys]
-        missing = []
-        for i, v in enumerate(found):
-            if v is None:
-                if (v := old.get(keys[i])) is None:
-                    missing.append(i)
-                else:
-                    found[i] = new[keys[i]] = v
+        whole = np.asarray(pc.match_substring(texts, "<|"))
+        _, at, data = texts.buffers()
+        at = np.frombuffer(at, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        first, last = int(at[0]), int(at[-1])
+        buf, at = np.frombuffer(data or b"", np.uint8)[first:last], at - first
+        cut = np.zeros(len(buf), bool)
+        if len(buf):
+            cut[1:] = PUNCTUATION[buf[1:]] & LETTER[buf[:-1]]
+            if self.by_words:
+                cut[1:] |= SPACE[buf[1:]] & ~SPACE[buf[:-1]]
+            else:
+                cut[_lone_spaces(buf)] = True
+            for i in np.flatnonzero(whole).tolist():
+                cut[at[i]:at[i + 1]] = False
+            cut[at[:-1][np.diff(at) > 0]] = True
+        starts = np.append(np.flatnonzero(cut), len(buf))
+        flat = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(buf))
+        return flat, np.searchsorted(starts, at)
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}  # piece -> its place in the arrays
+        self.ids, self.lengths, self.uses = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _slots(self, keys: list[str]) -> np.ndarray:
+        """Each piece's place in the table of ids; pieces not met before are encoded and added."""
+        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(slots < 0)
         for a in range(0, len(missing), 20_000):
-            part = missing[a:a + 20_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([keys[i] for i in part], add_special_tokens=False)):
-                found[i] = array(self.code, e.ids).tobytes()
-                if len(keys[i]) <= 64:
-                    new[keys[i]] = found[i]
-        if len(new) > CACHE:
-            self.old, self.new = new, {}
-        return found
+            new = [keys[i] for i in missing[a:a + 20_000].tolist()]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            base = len(self.lengths)
+            self.lengths = np.append(self.lengths, np.fromiter(map(len, ids), np.int64, len(ids)))
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), self.dtype))
+            slots[missing[a:a + 20_000]] = np.arange(base, base + len(new))
+            self.slot.update(zip(new, range(base, base + len(new))))
+        self.uses = np.append(self.uses, np.zeros(len(self.lengths) - len(self.uses), np.int64))
+        return slots
+
+    def _tidy(self) -> None:
+        """Keep the cache within bounds: pieces of earlier batches stay only if met again since."""
+        if len(self.slot) <= CACHE and len(self.ids) <= 16 * CACHE:
+            return
+        keep = self.uses > 1
+        if not 0 < keep.sum() <= CACHE // 2 or self.lengths[keep].sum() > 8 * CACHE:
+            return self._forget()
+        names = [(k, i) for k, i in self.slot.items() if keep[i]]
+        at = np.array([i for _, i in names])
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = self.ids[ranges(starts[at], self.lengths[at])]
+        self.lengths, self.uses = self.lengths[at], self.uses[at] // 2
+        self.slot = {k: i for i, (k, _) in enumerate(names)}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's offsets into them. Null counts as empty."""
@@ -97,16 +144,17 @@ class BatchEncoder:
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         coded = flat.dictionary_encode()
         keys = coded.dictionary
-        if self.by_words:  # the vocabulary is lower case: 'The' and 'the' have the same ids
+        if self.by_words:  # the vocabulary is lower case and drops spaces: ' The' and 'the' have the same ids
+            keys = pc.ascii_ltrim_whitespace(keys)
             plain = pc.and_(pc.string_is_ascii(keys), pc.invert(pc.match_substring(keys, "<|")))
             keys = pc.if_else(plain, pc.ascii_lower(keys), keys)
-        values = self._lookup(keys.to_pylist())
-        index = np.asarray(coded.indices)
-        table = np.frombuffer(b"".join(values), self.dtype)
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[index]
-        ids = table[ranges(starts[index], n)]
+        slots = self._slots(keys.to_pylist())
+        self.uses[slots] += 1
+        starts = np.cumsum(self.lengths) - self.lengths
+        index = slots[np.asarray(coded.indices)]
+        n = self.lengths[index]
+        ids = self.ids[ranges(starts[index], n)]
+        self._tidy()
         return ids, np.concatenate([[0], np.cumsum(n)])[off]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:

@@ -32,6 +32,7 @@ from outletiq.llm.bpe import encoder
 from outletiq.llm.common import new_path, pick, save, slices
 
 MASK = 0xA282EAD8
+MOST_READERS = 20_000
 HEAD, BODY = "<QI", "<qBB"  # length and its checksum; doc_id, flags, bytes per id
 INDEX = ("part int, seq int, row int, file string, offset long, length long, doc_id long, "
          "start_in_file long, n_tokens long")
@@ -179,8 +180,9 @@ def _read(index: DataFrame, path: str, shuffle_seed: int | None, with_ids: bool
     if with_ids:
         schema, types = f"{RECORD}, ids array<int>", [*RECORD_TYPES, ("ids", pa.list_(pa.int32()))]
     if shuffle_seed is None:
-        files = index.groupBy("part", "seq", "file").agg(F.count("*").alias("n")).repartition("file")
-        return files.mapInArrow(whole, schema)
+        files = index.groupBy("part", "seq", "file").agg(F.count("*").alias("n"))
+        tasks = min(max(1, files.count()), MOST_READERS)  # a stated number: small rows that stand for large files
+        return files.repartition(tasks, "file").mapInArrow(whole, schema)
     dealt = (index.withColumn("at", F.xxhash64(F.lit(shuffle_seed), "file", "row"))
              .repartitionByRange("at").sortWithinPartitions("at").drop("at"))
     return dealt.mapInArrow(seek, schema)
