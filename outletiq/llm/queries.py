@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outletiq.llm import line_dedup, packing, records, simhash
+from outletiq.llm import lang_id, line_dedup, packing, records, simhash
 from outletiq.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.learn_and_predict(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file(WORD_BPE), PACK_END, PACK_TOKENS)
 
@@ -43,6 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_simhash": op2_simhash,
+    "op7_language_id": op7_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
 }
