@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outletiq.llm import lang_id, line_dedup, packing, records, simhash
+from outletiq.llm import lang_id, line_dedup, packing, quality_rules, records, simhash
 from outletiq.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.learn_and_predict(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_simhash": op2_simhash,
+    "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
@@ -54,6 +60,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op6_quality_rules": r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM base)),
+windows AS (
+  SELECT doc_id, pos, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM words
+  WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+repeated AS (
+  SELECT doc_id, pos FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT pos + k) AS n FROM repeated, (VALUES (0), (1), (2)) AS t(k) GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(n, 0) AS n_repeat_words
+  FROM base LEFT JOIN covered USING (doc_id)),
+counted AS (
+  SELECT * EXCLUDE (lines), len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM measured),
+failures AS (
+  SELECT source, unnest(['short', 'repetition', 'symbols', 'lines', 'word_length']) AS rule,
+         unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words,
+                 10 * n_dup_lines > 3 * n_lines, word_chars < 3 * n_words OR word_chars > 10 * n_words]) AS failed
+  FROM counted),
+hosts AS (SELECT source, rule, count(*) AS docs, count(*) FILTER (WHERE failed) AS fails FROM failures GROUP BY ALL),
+moments AS (SELECT rule, avg(fails / docs) AS m, var_pop(fails / docs) AS v FROM hosts GROUP BY rule),
+priors AS (
+  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS k FROM moments),
+verdicts AS (
+  SELECT source, max((fails + m * k) / (docs + k)) <= 0.5 AS host_kept FROM hosts JOIN priors USING (rule) GROUP BY source)
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND v.host_kept AS kept
+FROM counted c JOIN verdicts v ON c.source IS NOT DISTINCT FROM v.source
+""",
     "op10_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, source, text, pos, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
