@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletiq.llm import ann, lang_id, line_dedup, packing, quality_rules, records, simhash, substring_dedup, toxicity
+from outletiq.llm import ann, chunk_bpe, lang_id, line_dedup, packing, quality_rules, records, simhash, substring_dedup, toxicity
 from outletiq.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.summary(documents(spark, sf_dir), window=13)
 
 
+def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encode_and_decode(documents(spark, sf_dir), tokenizer_file(WORD_BPE))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.learn_and_score(documents(spark, sf_dir), labels)
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_chunk_bpe": op4_chunk_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
