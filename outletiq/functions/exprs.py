@@ -78,11 +78,6 @@ def document_key(order="order_number", invoice="invoice_number") -> Column:
     return F.coalesce(blank_to(order, None), blank_to(invoice, None))
 
 
-def cartons(units="delivered_units", uom="uom") -> Column:
-    """PRJ10: units / units-per-carton; NULL when UOM is 0 or NULL."""
-    return F.try_divide(c(units), c(uom))
-
-
 def month_start(col) -> Column:
     """PRJ12: first day of the month (YYYY-MM-01)."""
     return F.trunc(c(col), "month")

@@ -1,26 +1,22 @@
-"""Join helpers: size-checked broadcast, calendars, latest-row look-ups."""
+"""Join helpers: size-checked broadcast and calendars."""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A dimension is broadcast only when the optimizer's size estimate for it is
 # at most this many bytes. Above it the join stays a shuffle join and adaptive
 # execution may still switch strategy at run time from real sizes.
-DEFAULT_BROADCAST_MAX = 64 * 1024 * 1024
+DEFAULT_BROADCAST_MAX = 16 * 1024 * 1024
 CONF_KEY = "outletiq.broadcast.maxBytes"
 
 
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate (an upper bound without CBO) or None."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:
-        return None
+def plan_size_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate; for a scan the size of its files, an upper bound without CBO."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_max(spark: SparkSession) -> int:
@@ -31,10 +27,7 @@ def broadcast_max(spark: SparkSession) -> int:
 def small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast only when its estimated size is within bounds."""
     limit = max_bytes if max_bytes is not None else broadcast_max(df.sparkSession)
-    size = plan_size_bytes(df)
-    if size is not None and size <= limit:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if plan_size_bytes(df) <= limit else df
 
 
 def calendar(spark: SparkSession, start: dt.date, end: dt.date, name: str = "day") -> DataFrame:
@@ -49,29 +42,3 @@ def month_calendar(spark: SparkSession, first_month: dt.date, months: int,
     """``months`` month starts from ``first_month`` onwards."""
     return spark.range(months).select(
         F.add_months(F.lit(first_month), F.col("id").cast("int")).alias(name))
-
-
-def latest_rows(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """Rows of ``df`` at each key's maximum ``order_col`` (ties kept).
-
-    A partial aggregate finds the maxima (skew-safe: no group is gathered into
-    one task); the rows are then selected by an equi join on key + maximum.
-    """
-    mx = df.groupBy(*keys).agg(F.max(order_col).alias("__mx"))
-    cond = [df[k].eqNullSafe(mx[k]) for k in keys] + [df[order_col] == mx["__mx"]]
-    return df.join(small(mx), cond, "left_semi")
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi join on ``keys`` where NULL matches NULL, keeping one key column."""
-    r = right.select([F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]
-    out = left.join(r, cond, how)
-    if how in ("full", "outer", "full_outer", "right", "right_outer"):
-        for k in keys:
-            out = out.withColumn(k, F.coalesce(F.col(k), F.col(f"__r_{k}")))
-    return out.drop(*[f"__r_{k}" for k in keys])
-
-
-def col_or_lit(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -131,6 +131,13 @@ def _score(visits: DataFrame, long: DataFrame, brands) -> DataFrame:
                     F.round(count / F.lit(float(len(brands))) * 100.0, 1).alias("coverage_score"))
 
 
+def brand_universe(facts: Facts, window: tuple, town: str, brands) -> DataFrame:
+    """ST4: the fixed brands and all brands found in the window's sales, sorted."""
+    found = coverage_sales(facts, window, town).select(F.trim("brand").alias("brand")).where(F.col("brand") != "")
+    fixed = facts.spark.createDataFrame([(b,) for b in brands], "brand string")
+    return fixed.union(found).distinct().orderBy("brand")
+
+
 def rescore(facts: Facts, window: tuple, town: str, brands) -> DataFrame:
     """C4: the visit table recomputed for another brand set (from the long table)."""
     return visit_coverage(facts, window, town, brands)
@@ -247,16 +254,20 @@ def booker_day_matrix(c3: DataFrame, brands, top: int = 60) -> DataFrame:
 
 def shop_table(c3: DataFrame, brands, missed_only: bool = False, top: int | None = None) -> DataFrame:
     """Per shop: flags at the last visit day, visit days, total NMV;
-    optionally shops missing a brand at their last visit; optionally top n by NMV."""
+    optionally shops missing a brand at their last visit; optionally top n by NMV.
+
+    A shop-day counts once: its NMV is that of the day's last visit (by id)."""
     sold = [f"sold_{brand_col(b)}" for b in brands]
     day = c3.groupBy("store_code", "visit_date").agg(*[F.max(s).alias(s) for s in sold])
     last = day.groupBy("store_code").agg(F.max("visit_date").alias("visit_date"))
     ld = day.join(last, ["store_code", "visit_date"], "left_semi") \
         .select("store_code", F.col("visit_date").alias("last_visit"),
                 *[F.col(s).alias(f"last_{s}") for s in sold])
-    tot = c3.groupBy("store_code").agg(F.max("store_name").alias("store_name"),
-                                       F.count_distinct("visit_date").alias("visit_days"),
-                                       F.round(F.sum("total_nmv"), 4).alias("total_nmv"))
+    once = c3.groupBy("store_code", "visit_date").agg(F.max("store_name").alias("store_name"),
+                                                      F.max_by("total_nmv", "visit_id").alias("total_nmv"))
+    tot = once.groupBy("store_code").agg(F.max("store_name").alias("store_name"),
+                                         F.count("*").alias("visit_days"),
+                                         F.round(F.sum("total_nmv"), 4).alias("total_nmv"))
     t = tot.join(ld, "store_code")
     if missed_only:  # at least one chosen brand not sold at the last visit
         n_sold = sum((F.col(f"last_{s}").cast("int") for s in sold), F.lit(0))

@@ -222,10 +222,10 @@ def performance_score(f7: DataFrame, bookers: list[str] | None = None) -> DataFr
         F.when(z("call_days") > 0, z("planned_calls") / z("call_days"))
          .otherwise(F.lit(0.0)).alias("calls_per_day"),
         z("new_outlets").alias("new_outlets"), z("avg_order_val").alias("avg_order_val"))
-    everyone = W.partitionBy()
     score = F.lit(0.0)
     for m, wgt in SCORE_WEIGHTS.items():
-        lo, hi = F.min(m).over(everyone), F.max(m).over(everyone)
+        # One-row aggregates as scalar subqueries: no window over all bookers.
+        lo, hi = b.agg(F.min(m)).scalar(), b.agg(F.max(m)).scalar()
         norm = F.when(hi > lo, (F.col(m) - lo) / (hi - lo)).otherwise(F.lit(0.5))
         score = score + norm * wgt
     return b.select("*", F.round(score * 100.0, 4).alias("perf_score")) \
@@ -237,14 +237,13 @@ def performance_score(f7: DataFrame, bookers: list[str] | None = None) -> DataFr
 
 def top_bottom(f8: DataFrame, n: int = 5) -> DataFrame:
     """top ``n`` and bottom ``n`` bookers by score (ties by name)."""
-    d = F.row_number().over(W.partitionBy().orderBy(F.desc("perf_score"), "booker"))
-    a = F.row_number().over(W.partitionBy().orderBy(F.asc("perf_score"), "booker"))
-    r = f8.select("booker", "perf_score", d.alias("rank_desc"), a.alias("rank_asc"))
-    top = r.where(F.col("rank_desc") <= n).select(F.lit("top").alias("side"), "booker",
-                                                  "perf_score", F.col("rank_desc").alias("rank"))
-    bot = r.where(F.col("rank_asc") <= n).select(F.lit("bottom").alias("side"), "booker",
-                                                 "perf_score", F.col("rank_asc").alias("rank"))
-    return top.unionByName(bot).orderBy("side", "rank")
+    def end(side: str, order) -> DataFrame:
+        best = f8.select("booker", "perf_score").orderBy(*order).limit(n)
+        rank = F.row_number().over(W.partitionBy(F.lit(side)).orderBy(*order))  # at most n rows
+        return best.select(F.lit(side).alias("side"), "booker", "perf_score", rank.alias("rank"))
+
+    return end("top", (F.desc("perf_score"), "booker")).unionByName(
+        end("bottom", (F.asc("perf_score"), "booker"))).orderBy("side", "rank")
 
 
 def under_performers(f7: DataFrame, limit_pct: float = 70) -> DataFrame:
@@ -296,6 +295,18 @@ def funnel(facts: Facts, window: tuple, town: str) -> DataFrame:
     return out.select("*", *pct).orderBy("booker")
 
 
+def funnel_overall(f12: DataFrame) -> DataFrame:
+    """F12, all bookers: one row per stage with its total and its % of the stage
+    before (NULL for the first, 0 after an empty stage)."""
+    steps = ["planned", "executed", "productive", "placed"]
+    t = f12.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in steps])
+    stages = [F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("stage"), F.col(s).alias("value"),
+                       (F.lit(None).cast("double") if i == 0 else
+                        F.when(F.col(steps[i - 1]) > 0, F.round(F.col(s) / F.col(steps[i - 1]) * 100.0, 4))
+                        .otherwise(F.lit(0.0))).alias("pct")) for i, s in enumerate(steps)]
+    return t.select(F.explode(F.array(*stages)).alias("x")).select("x.*").orderBy("step")
+
+
 # ----------------------------------------------------------------- F13–F19
 def store_activity(facts: Facts, window: tuple, town: str, channels=None,
                    bookers=None) -> DataFrame:
@@ -424,7 +435,7 @@ def sku_per_bill(facts: Facts, window: tuple, town: str, channels=None, bookers=
 
 def sku_per_bill_vs_mean(f7: DataFrame) -> DataFrame:
     """SKU per bill per booker against the plain mean over bookers."""
-    mean = F.avg("sku_per_bill").over(W.partitionBy())
+    mean = f7.agg(F.avg("sku_per_bill")).scalar()
     return f7.select("booker", "sku_per_bill", F.round(mean, 4).alias("mean_sku_per_bill"),
                      F.round(F.col("sku_per_bill") - mean, 4).alias("diff")).orderBy("booker")
 
@@ -555,3 +566,18 @@ def half_carton_matrix(f29: DataFrame) -> DataFrame:
         "booker_name", "brand", X.ratio("half_ctn_del", "seq_deliveries").alias("r"))
     return s.groupBy("booker_name", "brand").agg(F.round(F.avg("r"), 4).alias("mean_ratio")) \
         .orderBy("booker_name", "brand")
+
+
+def half_carton_drilldown(f29: DataFrame, booker: str | None = None, brand: str | None = None) -> DataFrame:
+    """F30 drill-down: the stores behind a booker's (and brand's) cell, worst
+    ratio first, the ratio in %."""
+    d = f29.where(F.col("half_ctn_del") > 0)
+    if booker is not None:
+        d = d.where(F.col("booker_name") == booker)
+    if brand is not None:
+        d = d.where(F.col("brand") == brand)
+    age = X.ratio("half_ctn_del", "seq_deliveries")
+    return d.select("booker_name", "brand", "store_code", "store_name",
+                    F.col("seq_deliveries").alias("total_deliveries"), "half_ctn_del",
+                    F.round(age * 100.0, 2).alias("age_pct")) \
+        .orderBy(F.desc("age_pct"), F.desc("half_ctn_del"), "booker_name", "brand", "store_code")

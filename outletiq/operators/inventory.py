@@ -1,8 +1,7 @@
 """Inventory builders (I1–I14): snapshots, cover, buckets, health, dead stock.
 
 Snapshot look-ups (JN9: latest snapshot ≤ a date, and the one before it) are
-scalars. They are read with one tiny aggregate each and bound into the rest of
-the plan as literals, so every later filter reaches the parquet scans.
+scalar subqueries of the plan: nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -41,20 +40,15 @@ def _money():
     return F.coalesce("delivered_amount", F.lit(0)) + F.coalesce("total_discount", F.lit(0))
 
 
-def latest_snapshot(facts: Facts, town: str, end: dt.date) -> dt.date | None:
-    """JN9 scalar: the latest snapshot date ≤ ``end`` (any unit)."""
-    r = _stock(facts, town).where(F.col("report_date") <= F.lit(end)) \
-        .agg(F.max("report_date").alias("d")).first()
-    return r["d"] if r else None
+def latest_snapshot(facts: Facts, town: str, end: dt.date) -> F.Column:
+    """JN9 scalar: the latest snapshot date ≤ ``end`` (any unit); NULL for none."""
+    return _stock(facts, town).where(F.col("report_date") <= F.lit(end)).agg(F.max("report_date")).scalar()
 
 
-def previous_snapshot(facts: Facts, town: str, latest: dt.date | None) -> dt.date | None:
-    """JN9 scalar: the snapshot date just before ``latest``."""
-    if latest is None:
-        return None
-    r = _stock(facts, town).where(F.col("report_date") < F.lit(latest)) \
-        .agg(F.max("report_date").alias("d")).first()
-    return r["d"] if r else None
+def previous_snapshot(facts: Facts, town: str, end: dt.date) -> F.Column:
+    """JN9 scalar: the snapshot date just before the latest one ≤ ``end``."""
+    s = _stock(facts, town).where(F.col("report_date") < latest_snapshot(facts, town, end))
+    return s.agg(F.max("report_date")).scalar()
 
 
 def snapshot_dates(facts: Facts, town: str, end: dt.date) -> DataFrame:
@@ -67,9 +61,10 @@ def snapshot_dates(facts: Facts, town: str, end: dt.date) -> DataFrame:
                  F.max(F.when(F.col("rk") == 2, F.col("report_date"))).alias("prev_report_date"))
 
 
-def stock_by_sku(facts: Facts, town: str, day: dt.date) -> DataFrame:
+def stock_by_sku(facts: Facts, town: str, day: dt.date | F.Column) -> DataFrame:
     """Stock value per SKU at ``day`` (unit 'value'), 4 digits."""
-    s = _value_unit(_stock(facts, town, (day, day)).where(F.col("report_date") == F.lit(day)))
+    days = None if isinstance(day, F.Column) else (day, day)
+    s = _value_unit(_stock(facts, town, days).where(F.col("report_date") == (day if days is None else F.lit(day))))
     return s.groupBy("sku_code").agg(F.round(F.sum(F.coalesce("value", F.lit(0))), 4)
                                      .alias("stock_value"))
 
@@ -81,22 +76,40 @@ def sales_by_sku(facts: Facts, town: str, end: dt.date, days: int, name: str = "
     return f.groupBy("sku_code").agg(F.round(F.sum(_money()), 4).alias(name))
 
 
-def _kpi_one(facts: Facts, town: str, day: dt.date, label: str) -> DataFrame:
-    st = stock_by_sku(facts, town, day)
-    s90 = sales_by_sku(facts, town, day, 90, "sales_90")
-    s30 = sales_by_sku(facts, town, day, 30, "sales_30")
-    m = st.join(s90, "sku_code", "left").join(s30, "sku_code", "left")
+def inventory_kpi(facts: Facts, town: str, end: dt.date) -> DataFrame:
+    """I4: KPI rows for the latest snapshot ≤ end ('current') and the one
+    before ('previous'); sales windows end at each snapshot date (Q12).
+
+    One pass over the stock and one over the sales: each row counts for the
+    snapshots whose day or window holds it."""
+    at = {"current": latest_snapshot(facts, town, end), "previous": previous_snapshot(facts, town, end)}
+    both = F.array(*[F.struct(F.lit(p).alias("period"), d.alias("day")) for p, d in at.items()])
+    days = facts.spark.range(1).select(F.explode(both).alias("x")).select("x.*").where(F.col("day").isNotNull())
+    s = _value_unit(_stock(facts, town)).where(F.col("report_date") <= F.lit(end))
+    s = s.join(F.broadcast(days), F.col("report_date") == F.col("day"))  # two rows
+    st = s.groupBy("period", "day", "sku_code").agg(
+        F.round(F.sum(F.coalesce("value", F.lit(0))), 4).alias("stock_value"))
+    f = facts.orders_fact(["sku_code", "delivery_date", "delivered_amount", "total_discount"],
+                          delivery=(None, end), distributor=town)
+    f = f.withColumns(at).where(F.col("delivery_date") >= F.date_sub(F.coalesce("previous", "current"), 89))
+    held = lambda p, n: F.sum(F.when(F.col("delivery_date").between(F.date_sub(p, n - 1), F.col(p)), _money()))
+    sales = f.groupBy("sku_code").agg(*[F.round(held(p, n), 4).alias(f"{p}_{n}") for p in at for n in (90, 30)])
+    m = st.join(sales, "sku_code", "left")
+    now = F.col("period") == "current"
+    m = m.withColumns({f"sales_{n}": F.when(now, F.col(f"current_{n}")).otherwise(F.col(f"previous_{n}"))
+                       for n in (90, 30)})
     sv = F.coalesce("stock_value", F.lit(0))
     s9 = F.coalesce("sales_90", F.lit(0))
     s3 = F.coalesce("sales_30", F.lit(0))
     valid = (sv > 0) & (s9 > 0)
-    g = m.agg(F.count_distinct("sku_code").alias("total_skus"),
-              F.sum(sv).alias("value"), F.count_if(sv > 0).alias("in_stock"),
-              F.count_if(sv <= 0).alias("oos_skus"),
-              F.sum(F.when(valid, sv)).alias("vs"), F.sum(F.when(valid, s9)).alias("vq"),
-              F.count_if((sv > 0) & (s3 <= 0)).alias("slow_movers"))
+    g = m.groupBy("period", F.col("day").alias("report_date")).agg(
+        F.count_distinct("sku_code").alias("total_skus"),
+        F.sum(sv).alias("value"), F.count_if(sv > 0).alias("in_stock"),
+        F.count_if(sv <= 0).alias("oos_skus"),
+        F.sum(F.when(valid, sv)).alias("vs"), F.sum(F.when(valid, s9)).alias("vq"),
+        F.count_if((sv > 0) & (s3 <= 0)).alias("slow_movers"))
     # Sales-weighted mean of stock / (sales90 / 90) = 90 · Σstock / Σsales90 over valid SKUs.
-    return g.select(F.lit(label).alias("period"), F.lit(day).alias("report_date"), "total_skus",
+    return g.select("period", "report_date", "total_skus",
                     X.dbl(F.coalesce("value", F.lit(0))).alias("current_inventory_value"),
                     F.when(F.col("total_skus") > 0,
                            F.round(F.col("in_stock") / F.col("total_skus") * 100.0, 4))
@@ -104,20 +117,7 @@ def _kpi_one(facts: Facts, town: str, day: dt.date, label: str) -> DataFrame:
                     "oos_skus",
                     F.coalesce(F.round(F.col("vs").cast("double") * 90.0 / F.col("vq").cast("double"), 4),
                                F.lit(0.0)).alias("avg_days_cover"),
-                    "slow_movers")
-
-
-def inventory_kpi(facts: Facts, town: str, end: dt.date) -> DataFrame:
-    """I4: KPI rows for the latest snapshot ≤ end ('current') and the one
-    before ('previous'); sales windows end at each snapshot date (Q12)."""
-    latest = latest_snapshot(facts, town, end)
-    if latest is None:
-        return facts.spark.createDataFrame([], _kpi_one(facts, town, end, "x").schema)
-    out = _kpi_one(facts, town, latest, "current")
-    prev = previous_snapshot(facts, town, latest)
-    if prev is not None:
-        out = out.unionByName(_kpi_one(facts, town, prev, "previous"))
-    return out
+                    "slow_movers").orderBy("period")
 
 
 def kpi_delta(i4: DataFrame) -> DataFrame:
@@ -182,18 +182,14 @@ def stock_movement(facts: Facts, town: str, end: dt.date, carry_forward: bool =
 def _sku_category(facts: Facts, town: str) -> DataFrame:
     """Category of each SKU at its latest delivery (all history); one per SKU (Q7)."""
     f = facts.orders_fact(["sku_code", "delivery_date", "category_name"], distributor=town)
-    f = f.withColumn("category_name", X.blank_to("category_name"))
-    last = f.groupBy("sku_code").agg(F.max("delivery_date").alias("d"))
-    j = f.join(small(last), (f.sku_code == last.sku_code) & (f.delivery_date == last.d), "left_semi")
-    return j.groupBy("sku_code").agg(F.max("category_name").alias("category_name"))
+    name = X.blank_to("category_name")
+    return f.groupBy("sku_code").agg(F.max_by(name, F.struct("delivery_date", name)).alias("category_name"))
 
 
 def days_cover_by_category(facts: Facts, town: str, end: dt.date, top: int | None = None) -> DataFrame:
     """Stock at the latest snapshot ≤ end ÷ (30-day sales ending at ``end`` / 30)
     per category; 2 digits; NULL without sales."""
-    latest = latest_snapshot(facts, town, end)
-    st = stock_by_sku(facts, town, latest) if latest else \
-        facts.spark.createDataFrame([], "sku_code string, stock_value decimal(38,4)")
+    st = stock_by_sku(facts, town, latest_snapshot(facts, town, end))
     s30 = sales_by_sku(facts, town, end, 30, "sales_30")
     j = st.join(s30, "sku_code", "left").join(_sku_category(facts, town), "sku_code", "left")
     g = j.groupBy(F.coalesce("category_name", F.lit("Unknown")).alias("category")).agg(
@@ -209,9 +205,9 @@ def days_cover_by_category(facts: Facts, town: str, end: dt.date, top: int | Non
 
 
 def cover_band(col="days_cover", low: int = 7, high: int = 14) -> F.Column:
-    """I7 colour bands: < 7 low, < 14 watch, else healthy."""
+    """I7 colour bands: < 7 low, < 14 watch, else healthy; NULL without sales."""
     v = F.col(col)
-    return F.when(v < low, "low").when(v < high, "watch").otherwise("healthy")
+    return F.when(v < low, "low").when(v < high, "watch").when(v.isNotNull(), "healthy")
 
 
 def bucket_names(limits) -> list[str]:
@@ -272,11 +268,18 @@ def cover_bucket_shares(i8: DataFrame, limits=(7, 15, 30, 45, 60)) -> DataFrame:
         .otherwise(F.lit(0.0)).alias("share_pct"))
 
 
-def _sku_health_base(facts: Facts, town: str, end: dt.date, latest: dt.date) -> DataFrame:
-    st = stock_by_sku(facts, town, latest)
-    s90 = sales_by_sku(facts, town, end, 90, "sales_90")
-    s30 = sales_by_sku(facts, town, end, 30, "sales_30")
-    m = st.join(s90, "sku_code", "left").join(s30, "sku_code", "left").select(
+def sales_two_windows(facts: Facts, town: str, end: dt.date) -> DataFrame:
+    """I3 for 90 and 30 days in one pass."""
+    f = facts.orders_fact(["sku_code", "delivery_date", "delivered_amount", "total_discount"],
+                          delivery=(end - dt.timedelta(days=89), end), distributor=town)
+    late = F.col("delivery_date") >= F.lit(end - dt.timedelta(days=29))
+    return f.groupBy("sku_code").agg(F.round(F.sum(_money()), 4).alias("sales_90"),
+                                     F.round(F.sum(F.when(late, _money())), 4).alias("sales_30"))
+
+
+def _sku_health_base(facts: Facts, town: str, end: dt.date) -> DataFrame:
+    st = stock_by_sku(facts, town, latest_snapshot(facts, town, end))
+    m = st.join(sales_two_windows(facts, town, end), "sku_code", "left").select(
         F.lit(town).alias("distributor_code"),
         "sku_code", F.col("stock_value").cast("double").alias("sv"),
         F.coalesce(F.col("sales_90").cast("double"), F.lit(0.0)).alias("s90"),
@@ -292,8 +295,7 @@ def _sku_health_base(facts: Facts, town: str, end: dt.date, latest: dt.date) ->
 def dead_stock(facts: Facts, town: str, end: dt.date) -> DataFrame:
     """I10 detail: SKUs with stock > 0, < 2 % of 90-day sales and cover > 25 days
     (no sales = infinite cover, reported as NULL), with SKU name."""
-    latest = latest_snapshot(facts, town, end)
-    m = _sku_health_base(facts, town, end, latest)
+    m = _sku_health_base(facts, town, end)
     cover = F.when((F.col("sv") > 0) & (F.col("s90") > 0), F.col("sv") / (F.col("s90") / 90.0))
     dead = (F.col("sv") > 0) & (F.col("share") < DEAD_SHARE) & \
         (cover.isNull() | (cover > DEAD_COVER_DAYS))
@@ -314,9 +316,8 @@ def inventory_health(facts: Facts, town: str, end: dt.date) -> DataFrame:
     (sales30 / mean stock over 30 days), safety cover (stock / (sales30 / 30)),
     par level (Σ sales90 / 90 × 14), dead stock value / count, wastage %, and
     the replenishment cycle (mean gap between inflow days on un-filled snapshots)."""
-    latest = latest_snapshot(facts, town, end)
     s90d, s30d = end - dt.timedelta(days=89), end - dt.timedelta(days=29)
-    daily = _value_unit(_stock(facts, town, (s90d, latest))).groupBy("report_date") \
+    daily = _value_unit(_stock(facts, town, (s90d, end))).groupBy("report_date") \
         .agg(F.round(F.sum(F.coalesce("value", F.lit(0))), 4).cast("double").alias("sv"))
     w = W.partitionBy().orderBy("report_date")  # one row per snapshot day
     daily = daily.withColumn("inflow", F.greatest(
@@ -326,7 +327,7 @@ def inventory_health(facts: Facts, town: str, end: dt.date) -> DataFrame:
         F.min(F.when(F.col("inflow") > 0, F.col("report_date"))).alias("i0"),
         F.max(F.when(F.col("inflow") > 0, F.col("report_date"))).alias("i1"),
         F.count_distinct(F.when(F.col("inflow") > 0, F.col("report_date"))).alias("ni"))
-    m = _sku_health_base(facts, town, end, latest)
+    m = _sku_health_base(facts, town, end)
     cover = F.when((F.col("sv") > 0) & (F.col("s90") > 0), F.col("sv") / (F.col("s90") / 90.0))
     dead = (F.col("sv") > 0) & (F.col("share") < DEAD_SHARE) & (cover.isNull() | (cover > DEAD_COVER_DAYS))
     sku_stats = m.agg(F.sum("sv").alias("stock"), F.sum(F.when(dead, F.col("sv"))).alias("dead"),

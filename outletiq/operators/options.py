@@ -31,7 +31,7 @@ def month_channel_options(facts: Facts, town: str, period: str) -> DataFrame:
 
 def target_period_options(facts: Facts, town: str) -> DataFrame:
     """SRC7: distinct target periods 'YYYY-M', newest first (numeric order, Q6)."""
-    t = facts.targets_new().where(F.col("distributor_code") == town).select("year", "month").distinct()
+    t = facts.target_months(town)
     return t.select(F.concat_ws("-", F.col("year").cast("string"), F.col("month").cast("string"))
                     .alias("period"), "year", "month") \
         .orderBy(F.desc("year"), F.desc("month"))
@@ -39,16 +39,14 @@ def target_period_options(facts: Facts, town: str) -> DataFrame:
 
 def latest_visit_date(facts: Facts, town: str) -> DataFrame:
     """SRC9: latest valid visit date of one distributor (one row)."""
-    v = facts.visits_fact(distributor=town)
-    v = v.where(F.col("visit_date").isNotNull() & (X.bracket_code("distributor") == town))
+    v = facts.visit_days(distributor=town).where(F.col("visit_date").isNotNull())
     return v.agg(F.max("visit_date").alias("latest_visit_date"))
 
 
 def window_with_fallback(facts: Facts, window: tuple, town: str, days: int = 30) -> tuple:
     """SRC10: the window itself when it holds visits, else the ``days`` days
     ending at the latest visit date (two tiny look-ups on the driver)."""
-    v = facts.visits_fact(visit_dates=window, distributor=town)
-    if v.where(X.bracket_code("distributor") == town).limit(1).count() > 0:
+    if facts.visit_days(window, town).limit(1).count() > 0:
         return window
     r = latest_visit_date(facts, town).first()
     latest = r["latest_visit_date"] if r else None

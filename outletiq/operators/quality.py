@@ -50,8 +50,8 @@ def unknown_brand_skus(facts: Facts, window: tuple, town: str) -> DataFrame:
     bad = brand.isNull() | F.lower(F.trim(brand)).isin(*UNKNOWN_BRANDS)
     return j.where(missing | bad).select(
         "sku_code", "sku_name", F.coalesce(brand, F.lit("")).alias("master_brand"),
-        F.when(missing, "SKU missing in Master SKU").when(bad, "Brand missing in Master SKU")
-         .otherwise("Brand issue").alias("missing_reason"),
+        F.when(missing, "SKU missing in Master SKU").otherwise("Brand missing in Master SKU")
+         .alias("missing_reason"),
         "invoices", X.dbl("sales_value").alias("sales_value"), X.dbl("volume").alias("volume")) \
         .orderBy(F.desc("sales_value"), "sku_code")
 
@@ -66,8 +66,7 @@ def missing_targets(facts: Facts, town: str, as_of: dt.date) -> DataFrame:
     f = f.join(small(sm), "sku_code", "left")
     s = f.groupBy("booker_code", "booker_name", X.blank_to("brand").alias("brand")).agg(
         F.round(F.sum(_money()), 0).alias("achieved_mtd"))
-    t = facts.targets_new().where((F.col("distributor_code") == town) & (F.col("year") == as_of.year)
-                                  & (F.col("month") == as_of.month) & (F.col("kpi") == "Value")) \
+    t = facts.targets_new([(as_of.year, as_of.month)], town).where(F.col("kpi") == "Value") \
         .select("booker_code", X.blank_to("brand").alias("brand")).distinct()
     return s.join(small(t), ["booker_code", "brand"], "left_anti").select(
         "booker_code", F.col("booker_name").alias("booker"), "brand",

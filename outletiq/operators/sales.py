@@ -236,13 +236,25 @@ def brand_growth_overall(m5: DataFrame) -> DataFrame:
         .orderBy(F.desc("current_period_sales"), "brand")
 
 
+# Upper limits of the growth bands, in %, each within its band
+# but for the 0 of the last falling one; a growth of exactly 0 is its own band.
+GROWTH_LIMITS = (-30, -20, -10, 0, 10, 20, 30, 50, 70)
+
+
+def growth_band(g: F.Column) -> F.Column:
+    """The band of a growth in %; 'No base' without one."""
+    out = F.when(g.isNull(), "No base").when(g == 0, "0%").when(g <= GROWTH_LIMITS[0], f"<= {GROWTH_LIMITS[0]}%")
+    for lo, hi in zip(GROWTH_LIMITS, GROWTH_LIMITS[1:]):
+        out = out.when(g <= hi, f"{lo}% to {hi}%")
+    return out.otherwise(f"> {GROWTH_LIMITS[-1]}%")
+
+
 def channel_brand_segments(m5: DataFrame, basis: str = "ly") -> DataFrame:
     """Channel → brand segments. size = |growth| (|current| when growth is
-    NULL or 0); channel growth = unweighted mean of its brands; bands of ±10."""
+    NULL or 0); channel growth = unweighted mean of its brands; growth bands."""
     g = F.col(f"sales_growth_{basis}")
     size = F.when(g.isNull() | (g == 0), F.abs("current_period_sales")).otherwise(F.abs(g))
-    band = (F.when(g >= 10, "Growth >= 10%").when(g <= -10, "Decline <= -10%")
-            .when(g.isNull(), "No base").otherwise("Stable"))
+    band = growth_band(g)
     w = m5.select("channel", F.coalesce("brand", F.lit("Unknown Brand")).alias("brand"),
                   "current_period_sales", g.alias("growth"), size.alias("size"), band.alias("band"))
     ch = w.groupBy("channel").agg(F.round(F.avg("growth"), 4).alias("channel_growth"))
@@ -255,6 +267,14 @@ def channel_growth_order(m4: DataFrame, basis: str = "ly") -> DataFrame:
     return m4.orderBy(F.desc_nulls_last(col), "channel")
 
 
+def channel_ranks(m4: DataFrame, basis: str = "ly") -> DataFrame:
+    """M11 with each channel's place in that order (one row per channel)."""
+    from pyspark.sql.window import Window as W
+    col = "sales_growth_lm" if basis.lower() == "lm" else "sales_growth_ly"
+    place = F.row_number().over(W.partitionBy("town").orderBy(F.desc_nulls_last(col), "channel"))
+    return m4.select("town", "channel", col, place.alias("place"))
+
+
 def _aov(sales, orders) -> F.Column:
     return F.when(F.coalesce(orders, F.lit(0)) > 0,
                   F.coalesce(sales, F.lit(0.0)) / F.col(orders)).otherwise(F.lit(0.0))
@@ -317,6 +337,17 @@ def channel_treemap(facts: Facts, as_of: dt.date, months: int = 6) -> DataFrame:
              .orderBy(F.desc("period"), "channel"))
 
 
+def channel_treemap_past(facts: Facts, town: str, as_of: dt.date, months: int = 7) -> DataFrame:
+    """M14, per town: NMV (whole units) by month × channel over the last
+    ``months`` months without the current one; a missing channel stays NULL."""
+    last = as_of.replace(day=1) - dt.timedelta(days=1)
+    f = facts.orders_fact(["delivery_date", "store_code", "delivered_amount", "total_discount"],
+                          delivery=(P.add_months(as_of, -months), last), distributor=town)
+    f = f.join(small(universe_by_store(facts.universe())), "store_code", "inner")
+    return (f.groupBy(X.month_key("delivery_date").alias("period"), F.col("channel_type").alias("channel"))
+             .agg(X.dbl(F.round(F.sum(X.nmv()), 0)).alias("nmv")).orderBy("period", "channel"))
+
+
 def channel_brand_dm_stores(facts: Facts, window: tuple, town: str,
                             towns: dict | None = None) -> DataFrame:
     """Distinct stores per channel × brand × DM from distinct
@@ -448,7 +479,7 @@ def aov_mopu(facts: Facts, town: str, as_of: dt.date, months_back: int = 6) -> D
 
 def account_freshness(facts: Facts, distributors: list[str] | None = None) -> DataFrame:
     """M23 / SRC8: latest order date per distributor (optionally a fixed list)."""
-    f = facts.orders_fact(["distributor_code", "order_date"])
+    f = facts.order_days()
     if distributors:
         f = f.where(F.col("distributor_code").isin(*distributors))
     return f.groupBy("distributor_code").agg(F.max("order_date").alias("latest_order_date")) \

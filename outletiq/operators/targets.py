@@ -34,7 +34,7 @@ def target_vs_ach_monthly(facts: Facts, town: str, limit: int | None = 10,
     gkeys = keys + (["booker_name"] if by_booker else [])
     s = f.groupBy(*gkeys).agg(F.sum(X.nmv()).alias("nmv"),
                              F.sum(X.volume_additive()).alias("vol"))
-    t = facts.targets().where(F.col("distributor_code") == town).groupBy(*keys).agg(
+    t = facts.targets(distributor=town).groupBy(*keys).agg(
         F.sum("target_in_value").alias("tv"), F.sum("target_in_volume").alias("tl"))
     j = s.join(small(t), keys, "left")
     out = j.select(
@@ -56,8 +56,11 @@ def target_vs_ach_booker(facts: Facts, town: str) -> DataFrame:
 
 
 def booker_month_matrix(t2: DataFrame, periods: list[str]) -> DataFrame:
-    """T2 view: booker × month matrix of mean achievement % (AG11)."""
-    return t2.groupBy("booker").pivot("period", periods).agg(F.avg("value_ach"))
+    """T2 view: booker × month matrix of mean achievement % (AG11) with the NMV
+    in millions beside it; months without a row are NULL."""
+    return t2.where(F.col("nmv").isNotNull() & F.col("value_ach").isNotNull()).groupBy("booker").pivot(
+        "period", periods).agg(F.avg("value_ach").alias("ach"),
+                               F.round(F.sum("nmv") / 1e6, 1).alias("nmv_m")).orderBy("booker")
 
 
 def channel_month(facts: Facts, town: str, as_of: dt.date, months: int = 7) -> DataFrame:
@@ -75,6 +78,20 @@ def channel_month(facts: Facts, town: str, as_of: dt.date, months: int = 7) -> D
              .orderBy("period", "channel"))
 
 
+def channel_month_all(facts: Facts, town: str | None, towns: dict | None = None) -> DataFrame:
+    """T3, all months: NMV and volume per month × channel × town label of the
+    stores in the universe; a missing channel stays NULL."""
+    f = facts.orders_fact(["delivery_date", "store_code", "distributor_code", "delivered_amount",
+                           "total_discount", "delivered_litres", "delivered_kg"],
+                          distributor=None if town in (None, "all") else town)
+    f = f.join(small(universe_by_store(facts.universe())), "store_code", "inner")
+    return (f.groupBy(X.month_key("delivery_date").alias("period"), F.col("channel_type").alias("channel"),
+                      X.town_label("distributor_code", towns).alias("town"))
+             .agg(X.dbl(F.round(F.sum(X.nmv()), 0)).alias("nmv"),
+                  X.dbl(F.round(F.sum(X.volume_additive()), 0)).alias("ltr"))
+             .orderBy("period", "channel", "town"))
+
+
 def target_vs_ach_brand(facts: Facts, town: str, period: str, channel: str | None = None,
                         towns: dict | None = None) -> DataFrame:
     """T4: booker × brand NMV for one month ('YYYY-M') against ``targets_new``
@@ -91,9 +108,7 @@ def target_vs_ach_brand(facts: Facts, town: str, period: str, channel: str | Non
     s = f.groupBy("distributor_code", "booker_code", "booker_name", "brand",
                   F.month("delivery_date").alias("month"), F.year("delivery_date").alias("year")) \
          .agg(F.round(F.sum(X.nmv()), 0).alias("nmv"))
-    t = (facts.targets_new()
-         .where((F.col("kpi") == "Value") & (F.col("distributor_code") == town)
-                & (F.col("year") == y) & (F.col("month") == m))
+    t = (facts.targets_new([(y, m)], town).where(F.col("kpi") == "Value")
          .groupBy("distributor_code", "booker_code", "brand", "month", "year")
          .agg(F.round(F.sum(F.coalesce("target", F.lit(0))), 0).alias("target_value")))
     j = s.join(small(t), ["distributor_code", "booker_code", "brand", "month", "year"], "left")
@@ -122,12 +137,7 @@ def targets_for_window(facts: Facts, town: str, window: tuple) -> DataFrame:
     while cur <= window[1]:
         months.append((cur.year, cur.month))
         cur = P.add_months(cur, 1)
-    cond = None
-    for y, m in months:
-        c = (F.col("year") == y) & (F.col("month") == m)
-        cond = c if cond is None else cond | c
-    return facts.targets_new().where((F.col("kpi") == "Value")
-                                     & (F.col("distributor_code") == town) & cond)
+    return facts.targets_new(months, town).where(F.col("kpi") == "Value")
 
 
 def ob_achievement(facts: Facts, window: tuple, town: str,
@@ -175,8 +185,7 @@ def period_target_total(facts: Facts, window: tuple, town: str) -> DataFrame:
 
 def target_upload_status(facts: Facts, town: str, as_of: dt.date) -> DataFrame:
     """Target rows, bookers, brands and total for the as-of month."""
-    t = facts.targets_new().where((F.col("year") == as_of.year) & (F.col("month") == as_of.month)
-                                  & (F.col("distributor_code") == town))
+    t = facts.targets_new([(as_of.year, as_of.month)], town)
     return t.agg(F.count(F.lit(1)).alias("rows"),
                  F.count_distinct("booker_code").alias("bookers"),
                  F.count_distinct("brand").alias("brands"),
@@ -197,6 +206,29 @@ def donut_band(col="value_ach") -> F.Column:
             .otherwise("<70"))
 
 
+def route_band(col="value_ach") -> F.Column:
+    """T13, route view: <50 / 50–60 / 60–70 with 70 itself / over 70."""
+    v = F.coalesce(F.col(col), F.lit(0.0))
+    return (F.when(v < 50, "<50").when(v < 60, "50-60").when(v <= 70, "60-70")
+            .otherwise(">70"))
+
+
+def achievement_bands(df: DataFrame, name: str = "booker", col: str = "value_ach") -> DataFrame:
+    """Each row's three achievement bands."""
+    return df.select(name, col, achievement_band(col).alias("band"), donut_band(col).alias("donut_band"),
+                     route_band(col).alias("route_band")).orderBy(F.desc(col), name)
+
+
+def band_counts(df: DataFrame, col: str = "value_ach") -> DataFrame:
+    """Number of rows per band of the donut."""
+    return df.groupBy(donut_band(col).alias("band")).agg(F.count("*").alias("n")).orderBy("band")
+
+
+def below_achievement(t4: DataFrame, limit_pct: float | None) -> DataFrame:
+    """FLT13: booker × brand rows below a limit (50, 60 or 70 %); None keeps all."""
+    return t4 if limit_pct is None else t4.where(F.col("value_ach") < limit_pct)
+
+
 def _hierarchy(t4: DataFrame, outer: str, inner: str) -> DataFrame:
     """T5/T6 core: leaves (outer × inner) with size = target when > 0 else NMV
     (clipped at 0) and leaf achievement = mean (1 digit, half-even); parents
@@ -227,22 +259,22 @@ def brand_booker_hierarchy(t4: DataFrame) -> DataFrame:
     return _hierarchy(t4, "brand", "booker")
 
 
-def flow_links(t4: DataFrame, n: int = 10, source: str = "booker", target: str = "brand") -> DataFrame:
-    """Flow links source → target with NMV > 0, limited to the top ``n`` and
-    bottom ``n`` sources by NMV (SO3); node index = position of the node in the
-    sorted source names followed by the sorted target names."""
+def flow_links(t4: DataFrame, top_n: int = 10, bottom_n: int = 5, source: str = "booker",
+               target: str = "brand") -> DataFrame:
+    """Flow links source → target with NMV > 0, limited to the ``top_n`` and
+    ``bottom_n`` sources by NMV (SO3; both 0 keeps all); node index = position
+    of the node in the sorted source names followed by the sorted target names."""
     from pyspark.sql.window import Window as W
     links = t4.where(F.col("nmv") > 0).groupBy(source, target).agg(F.sum("nmv").alias("value"))
-    tot = links.groupBy(source).agg(F.sum("value").alias("t"))
-    r = tot.select(source,
-                   F.row_number().over(W.orderBy(F.desc("t"), source)).alias("rd"),
-                   F.row_number().over(W.orderBy(F.asc("t"), source)).alias("ra"))  # one row per source
-    keep = r.where((F.col("rd") <= n) | (F.col("ra") <= n)).select(source)
-    links = links.join(keep, source, "left_semi")
+    if top_n > 0 or bottom_n > 0:
+        tot = links.groupBy(source).agg(F.sum("value").alias("t"))
+        keep = tot.orderBy(F.desc("t"), source).limit(max(top_n, 0)).union(
+            tot.orderBy(F.asc("t"), F.desc(source)).limit(max(bottom_n, 0))).select(source).distinct()
+        links = links.join(keep, source, "left_semi")
     src = links.select(F.col(source).alias("node"), F.lit(0).alias("side")).distinct()
     dst = links.select(F.col(target).alias("node"), F.lit(1).alias("side")).distinct()
     nodes = src.unionByName(dst).withColumn(
-        "idx", F.row_number().over(W.orderBy("side", "node")) - 1)  # one row per node
+        "idx", F.row_number().over(W.orderBy("side", "node")) - 1)  # the kept sources and the brands
     s_idx = nodes.where("side = 0").select(F.col("node").alias(source), F.col("idx").alias("source_idx"))
     t_idx = nodes.where("side = 1").select(F.col("node").alias(target), F.col("idx").alias("target_idx"))
     return links.join(s_idx, source).join(t_idx, target) \

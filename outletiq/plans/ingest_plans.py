@@ -10,22 +10,32 @@ input tables.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import periods as P
 from ..operators import ingest as ING
-from ..session import ensure_checkpoint_dir
+from ..operators import staging
+from ..session import shared_dir
 from ..sources.facts import Facts, stock_days
 
+RAW = "file_id string, account_label string, row_no long, cells array<string>"
+
+
+def landed(facts: Facts, name: str, render: Callable[[Facts], DataFrame]) -> DataFrame:
+    """The report's lines as landed files in the shared folder, rendered once
+    per input directory, so the loader plans start from a scan of files, as
+    they do in production."""
+    spark = facts.spark
+    path = f"{shared_dir(spark)}/landed/{hashlib.md5(facts.t.sf_dir.encode()).hexdigest()}/{name}"
+    if not staging.exists(spark, f"{path}/_SUCCESS"):
+        render(facts).write.mode("overwrite").parquet(path)
+    return spark.read.schema(RAW).parquet(path)
 
-def landed(df: DataFrame) -> DataFrame:
-    """Raw report lines as landed files: the rendered lines are checkpointed to
-    the shared ``spark.checkpoint.dir`` (reliable, survives executor loss), so
-    the loader plans start from a scan, as they do in production."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
 # Date renderings used for the raw order report, chosen per order.
 RENDER_FORMATS = ("yyyy-MM-dd", "d/M/yyyy", "MMMM d, yyyy", "MMM d yyyy", "yyyy/MM/dd",
@@ -51,7 +61,7 @@ def _render_date(c: str, salt: F.Column) -> F.Column:
 
 def _line_no() -> F.Column:
     """Line numbers of data lines: increasing, after the header (the lines are
-    checkpointed once, so the numbering is fixed)."""
+    landed once, so the numbering is fixed)."""
     return (F.monotonically_increasing_id() + 3).alias("row_no")
 
 
@@ -104,13 +114,13 @@ LOADED_ORDER_COLUMNS = ["account_label", "distributor_code", "store_code", "sku_
 
 def order_report_roundtrip(facts: Facts) -> DataFrame:
     """ING1–ING3, ING6–ING10: load the rendered order report; dedupe by fingerprint."""
-    rows = ING.parse_orders(landed(raw_order_report(facts))).withColumn("load_seq", F.lit(1))
+    rows = ING.parse_orders(landed(facts, "orders", raw_order_report)).withColumn("load_seq", F.lit(1))
     return ING.dedupe_by_hash(rows).select(*LOADED_ORDER_COLUMNS)
 
 
-def raw_stock_report(facts: Facts) -> tuple[DataFrame, list[dt.date]]:
+def raw_stock_report(facts: Facts, days: list[dt.date] | None = None) -> tuple[DataFrame, list[dt.date]]:
     """Stock snapshots rendered as a wide report (one column per day) per account."""
-    days = stock_days(facts.as_of)
+    days = days or stock_days(facts.as_of)
     s = facts.stock_fact()
     ids = ["account_label", "distributor_code", "distributor_name", "sku_description", "sku_code",
            "brand_name", "brand_code"]
@@ -127,11 +137,32 @@ def raw_stock_report(facts: Facts) -> tuple[DataFrame, list[dt.date]]:
 
 def stock_report_roundtrip(facts: Facts) -> DataFrame:
     """ING2, ING4, ING6–ING8, ING11: load the wide stock report back to rows."""
-    raw, _ = raw_stock_report(facts)
-    rows = ING.parse_stock(landed(raw)).withColumn("load_seq", F.lit(1))
-    return ING.keep_latest(rows, list(ING.STOCK_KEY)).select(
-        "report_date", "account_label", "distributor_code", "sku_code", "brand_code",
-        "sku_description", "value")
+    rows = ING.parse_stock(landed(facts, "stock", lambda f: raw_stock_report(f)[0])).withColumn("load_seq", F.lit(1))
+    return ING.keep_latest(rows, list(ING.STOCK_KEY)).select(*LOADED_STOCK_COLUMNS)
+
+
+LOADED_STOCK_COLUMNS = ["report_date", "account_label", "distributor_code", "sku_code", "brand_code",
+                        "sku_description", "value"]
+
+
+def raw_stock_without_header(facts: Facts) -> DataFrame:
+    """The last 90 days as a stock report whose header line is missing; every line is there twice,
+    first with another value."""
+    lo = facts.as_of - dt.timedelta(days=89)
+    raw, _ = raw_stock_report(facts, [d for d in stock_days(facts.as_of) if d >= lo])
+    data = raw.where(raw["row_no"].between(3, (1 << 62) - 1)).withColumn("row_no", F.col("row_no") * 2)
+    n = len(ING.STOCK_POSITIONS)
+    stale = data.withColumn("row_no", F.col("row_no") - 1).withColumn(
+        "cells", F.concat(F.slice("cells", 1, n), F.transform(F.expr(f"slice(cells, {n + 1}, size(cells))"),
+                                                             lambda c: F.lit("7"))))
+    return data.unionByName(stale)
+
+
+def stock_without_header(facts: Facts) -> DataFrame:
+    """ING5, ING11: a stock report without a header, each line repeated; the last line wins."""
+    lo = facts.as_of - dt.timedelta(days=89)
+    rows = ING.parse_stock(landed(facts, "stock-no-header", raw_stock_without_header), lo, facts.as_of)
+    return ING.keep_latest(rows.withColumn("load_seq", F.lit(1)), list(ING.STOCK_KEY)).select(*LOADED_STOCK_COLUMNS)
 
 
 def raw_visit_report(facts: Facts) -> DataFrame:
@@ -159,8 +190,10 @@ def raw_visit_report(facts: Facts) -> DataFrame:
 
 
 def visit_report_roundtrip(facts: Facts) -> DataFrame:
-    """ING2, ING3, ING6–ING8: load the rendered visits report back."""
-    rows = ING.parse_visits(landed(raw_visit_report(facts)))
+    """ING2, ING3, ING6–ING8, ING10: load the rendered visits report back, in which
+    every visit is there twice."""
+    twice = lambda f: raw_visit_report(f).unionByName(raw_visit_report(f))
+    rows = ING.dedupe_by_hash(ING.parse_visits(landed(facts, "visits", twice)).withColumn("load_seq", F.lit(1)))
     return rows.select("account_label", "visit_date", "delivery_date", "distributor", "app_user",
                        "store_code", "order_number", "visit_complete", "non_productive_w_r_t_order",
                        "total_units", "total_value", "total_sku_sold")
@@ -189,12 +222,60 @@ def stock_replace_period(facts: Facts) -> DataFrame:
     return ING.replace_period(s, new, "report_date", lo, a, "ASIA")
 
 
+def _scratch(facts: Facts, name: str) -> str:
+    """A new table path in the shared folder."""
+    import uuid
+
+    return f"{shared_dir(facts.spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def _by_month(df: DataFrame) -> DataFrame:
+    """With the partition columns of the loaded table; one SKU in 50 has no account and no month folder."""
+    odd = F.pmod(F.col("sku_code").cast("long"), F.lit(50)) == 0
+    return (df.withColumn("account_label", F.when(~odd, F.col("account_label")))
+            .withColumn("report_month", F.when(~odd, F.trunc("report_date", "month"))))
+
+
+PARTS = ["account_label", "report_month"]
+WRITE_KEY = ["report_date", "distributor_code", "sku_code"]
+
+
+def written_upsert(facts: Facts) -> DataFrame:
+    """ING12 (write): the loads of ``stock_upsert`` through the writer, NULL partitions included, the second one twice."""
+    spark, s, a = facts.spark, _by_month(facts.stock_fact()), facts.as_of
+    path = _scratch(facts, "stock-upsert")
+    old = s.where(F.col("report_date") <= F.lit(a - dt.timedelta(days=20))).withColumn("load_seq", F.lit(1))
+    new = s.where(F.col("report_date") >= F.lit(a - dt.timedelta(days=40))) \
+        .withColumn("value", (F.col("value") + F.lit(1)).cast("decimal(18,4)")).withColumn("load_seq", F.lit(2))
+    for batch in (old, new, new):
+        ING.write_upsert(spark, batch, path, WRITE_KEY, PARTS)
+    return spark.read.schema(new.schema).parquet(path).drop("load_seq", "report_month", "unit", "distributor_name")
+
+
+def written_replace_period(facts: Facts) -> DataFrame:
+    """ING14 (write): two months of one account replaced by a batch that has rows of the first month only,
+    and one row outside the period; rows without an account stay."""
+    spark, a = facts.spark, facts.as_of
+    s = _by_month(facts.stock_fact())
+    path, lo = _scratch(facts, "stock-replace"), P.month_start(P.add_months(a, -1))
+    ING.write_upsert(spark, s.withColumn("load_seq", F.lit(1)), path, WRITE_KEY, PARTS)
+    mine = s.where((F.col("account_label") == "ASIA") & (F.col("value") > 0))
+    first = mine.where(F.col("report_date").between(F.lit(lo), F.lit(P.month_end(lo))))
+    before = mine.where(F.col("report_date") == F.lit(lo - dt.timedelta(days=1)))
+    batch = first.unionByName(before).withColumn("value", (F.col("value") * 2).cast("decimal(18,4)")) \
+        .withColumn("load_seq", F.lit(2))
+    for _ in range(2):  # loading it again changes nothing
+        ING.write_replace_period(spark, batch, path, "report_date", lo, a, PARTS, "ASIA", WRITE_KEY)
+    return spark.read.schema(batch.schema).parquet(path).drop("load_seq", "report_month", "unit", "distributor_name")
+
+
 def high_water_marks(facts: Facts) -> DataFrame:
     """ING13: latest loaded date and next load window per table and account."""
     y = facts.as_of - dt.timedelta(days=1)
     o = facts.orders_fact(["distributor_code", "delivery_date"])
     st = facts.stock_fact()
-    v = facts.visits_fact().withColumn("account_label", X.bracket_code("distributor"))
-    return (ING.high_water_marks(o, "delivery_date", "distributor_code", "orders_fact", y)
-            .unionByName(ING.high_water_marks(st, "report_date", "account_label", "stock_fact", y))
-            .unionByName(ING.high_water_marks(v, "visit_date", "account_label", "visits_fact", y)))
+    v = facts.visit_days().select("visit_date", F.col("distributor_code").alias("account_label"))
+    known = facts.accounts()
+    return (ING.high_water_marks(o, "delivery_date", "distributor_code", "orders_fact", y, accounts=known)
+            .unionByName(ING.high_water_marks(st, "report_date", "account_label", "stock_fact", y, accounts=known))
+            .unionByName(ING.high_water_marks(v, "visit_date", "account_label", "visits_fact", y, accounts=known)))

@@ -105,8 +105,8 @@ def _stock_cte(as_of=AS_OF) -> str:
          'Value' AS unit
   FROM (SELECT *, unnest([{days}]) AS report_date
         FROM (SELECT p_partkey, p_name, p_brand, p_retailprice,
-                     unnest(['ASIA', 'EUROPE']) AS account_label
-              FROM part WHERE p_partkey % 10 = 0) pr) pd)"""
+                     unnest(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST']) AS account_label
+              FROM part) pr) pd)"""
 
 
 _DEPS = {"targets_new": ["orders_fact"], "targets": ["orders_fact"]}

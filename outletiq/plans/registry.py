@@ -493,10 +493,100 @@ def _ing14(f): return IP.stock_replace_period(f)
 def _ing13(f): return IP.high_water_marks(f)
 
 
+@query("m11_channel_ranks")
+def _m11r(f): return S.channel_ranks(S.channel_performance(f, WINDOW, TOWN), "lm")
+
+
+@query("m14_channel_treemap_past")
+def _m14p(f): return S.channel_treemap_past(f, TOWN, AS_OF)
+
+
+@query("t2_booker_month_matrix")
+def _t2m(f): return T.booker_month_matrix(T.target_vs_ach_booker(f, TOWN), ["1-2001", "2-2001", "3-2001"])
+
+
+@query("t3_channel_month_all")
+def _t3a(f): return T.channel_month_all(f, None)
+
+
+@query("t7_flow_links_brand")
+def _t7b(f):
+    return T.flow_links(T.target_vs_ach_brand(f, TOWN, TARGET_PERIOD), 3, 2, source="brand", target="booker")
+
+
+@query("t13_achievement_bands")
+def _t13(f): return T.achievement_bands(T.ob_achievement(f, WINDOW, TOWN), "booker", "achieved_pct")
+
+
+@query("t13_band_counts")
+def _t13c(f): return T.band_counts(FF.leaderboard(f, WINDOW, TOWN), "achievement_pct")
+
+
+for _cut in (50, 60, 70):
+    query(f"flt13_below_{_cut}")(
+        lambda f, cut=_cut: T.below_achievement(T.target_vs_ach_brand(f, TOWN, TARGET_PERIOD), cut))
+
+
+@query("f12_funnel_overall")
+def _f12o(f): return FF.funnel_overall(FF.funnel(f, WINDOW, TOWN))
+
+
+@query("f30_half_carton_drilldown")
+def _f30d(f): return FF.half_carton_drilldown(FF.half_carton(f, TOWN, AS_OF))
+
+
+@query("st4_brand_universe")
+def _st4(f): return C.brand_universe(f, WINDOW, TOWN, (*FOCUS_BRANDS, "No such brand"))
+
+
+@query("flt6_orders_placed_channels")
+def _flt6(f): return FF.orders_placed(f, WINDOW, TOWN, channels=["BUILDING", "MACHINERY"])
+
+
+@query("flt6_sku_per_bill_bookers")
+def _flt6b(f):
+    return FF.sku_per_bill(f, WINDOW, TOWN, channels=["BUILDING", "MACHINERY"],
+                           bookers=[f"Supplier#00000000{i}" for i in (1, 2, 3)])
+
+
+@query("i7_days_cover_bands")
+def _i7b(f):
+    top = I.days_cover_by_category(f, TOWN, AS_OF, top=12)
+    return top.select("category", "days_cover", I.cover_band().alias("band"))
+
+
+class _Renamed(Facts):
+    """A master in which one SKU in nine is renamed and another one in nine has no real brand."""
+
+    def sku_master(self):
+        k = F.col("sku_code").cast("long")
+        m = super().sku_master()
+        new = {c: F.when(k % 9 == 0, "renamed").otherwise(F.col(c)) for c in ("master_sku", "short_master", "sku")}
+        new["brand"] = F.when(k % 18 == 1, " Unkown").when(k % 18 == 10, "N/A").otherwise(F.col("brand"))
+        return m.withColumns(new).withColumn(
+            "sku_code", F.when(k % 9 == 0, F.concat(F.lit("x"), "sku_code")).otherwise(F.col("sku_code")))
+
+
+@query("qa_unknown_brand_renamed")
+def _qar(f): return Q.unknown_brand_skus(_Renamed(f.t, f.as_of), OVERLAP_WINDOW, TOWN)
+
+
+@query("ing5_stock_without_header")
+def _ing5(f): return IP.stock_without_header(f)
+
+
+@query("ing12_write_upsert")
+def _ing12w(f): return IP.written_upsert(f)
+
+
+@query("ing14_write_replace_period")
+def _ing14w(f): return IP.written_replace_period(f)
+
+
 def _sample(name):
     def run(f):
         SQ.register_views(f)
-        return SQ.safe_select(f.spark, SQ.sample_queries(TOWN, AS_OF)[name], 5000)
+        return SQ.safe_select(f.spark, SQ.sample_queries(TOWN, AS_OF)[name])
     return run
 
 

@@ -53,15 +53,28 @@ def get_spark(master: str | None = None, app: str = "outletiq",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set one only when unset.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share for staging and checkpoints.
 
-    A fresh folder under the system temp dir is used only for local runs
-    (tests, benches) where no shared folder was configured.
+    ``spark.checkpoint.dir`` if the cluster sets it, else a folder already set on
+    the SparkContext. Only a local session may fall back to a folder of its own;
+    on a cluster a missing shared folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="outletiq-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if d:
+        return d.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="outletiq-ckpt-"))
+    return shared_dir(spark)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Have a checkpoint folder on the SparkContext, the one it has if any; returns ``shared_dir``."""
+    d = shared_dir(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(d)
     return d

@@ -8,7 +8,7 @@ same frames come from the ingest job's partitioned tables (``Facts.from_tables``
 Derivation rules (arithmetic only, so an SQL oracle can repeat them):
 - order lines: lineitem ⋈ orders ⋈ customer→nation→region ⋈ part ⋈ supplier→nation
 - visits: one per order; booker = smallest supplier key among its lines
-- stock: regions ASIA and EUROPE × parts with key % 10 = 0 × snapshot days
+- stock: every region × every part × snapshot days
 - sku_master / universe / targets: from part / customer / prior-year sales
 """
 
@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ..functions.joins import small
+from ..functions.periods import month_end
 from ..params import AS_OF
-from .tables import Tables
+from .tables import Tables, exists
 
 DEC = DecimalType(18, 4)
 
 # Fixed values of the stand-in derivation.
 KG_TYPES = ("SMALL", "ECONOMY")          # p_type sold by weight; others by volume
-STOCK_REGIONS = ("ASIA", "EUROPE")
-STOCK_PART_MOD = 10                      # parts with p_partkey % 10 = 0 are stocked
+STOCK_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 STOCK_DAY0 = dt.date(1995, 1, 1)         # day_no origin of the stock value rule
 NO_CHANNEL_MOD = 50                      # universe: channel NULL when key % 50 = 0
 NOT_IN_UNIVERSE_MOD = 97                 # universe: store left out when key % 97 = 0
@@ -111,7 +111,7 @@ class Facts:
         ``columns`` limits the output and therefore the dimensions joined.
         ``delivery`` / ``order_dates`` are inclusive date ranges applied on the
         raw timestamp columns so they reach the parquet scans as pushed
-        filters; ``distributor`` filters the region dimension before joins.
+        filters (``delivery`` may have no first day); ``distributor`` filters the region dimension before joins.
         """
         cols = list(columns) if columns else list(ORDER_COLUMNS)
         need = set().union(*[_ORDER_COLS[c] for c in cols])
@@ -122,8 +122,9 @@ class Facts:
             "l_discount", "l_returnflag", "l_shipdate")
         if delivery:
             lo, hi = delivery
-            li = li.where((F.col("l_shipdate") >= F.lit(lo))
-                          & (F.col("l_shipdate") < F.lit(hi + dt.timedelta(days=1))))
+            li = li.where(F.col("l_shipdate") < F.lit(hi + dt.timedelta(days=1)))
+            if lo:
+                li = li.where(F.col("l_shipdate") >= F.lit(lo))
         df = li
         if "o" in need or order_dates:
             o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
@@ -187,14 +188,18 @@ class Facts:
     def visits_fact(self, visit_dates: tuple | None = None,
                     distributor: str | None = None) -> DataFrame:
         """One visit per order that has lines (visits_fact schema)."""
-        o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-        if visit_dates:
-            lo, hi = visit_dates
-            o = o.where((F.col("o_orderdate") >= F.lit(lo))
-                        & (F.col("o_orderdate") < F.lit(hi + dt.timedelta(days=1))))
+        o = self._visit_orders(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"], visit_dates)
+        lines = self.t.lineitem
+        if visit_dates or distributor:
+            # Only the lines of the wanted orders are aggregated.
+            wanted = o.select("o_orderkey", "o_custkey")
+            if distributor:
+                here = self._customer_region(distributor).select("c_custkey")
+                wanted = wanted.join(here, wanted.o_custkey == here.c_custkey, "left_semi")
+            lines = lines.join(wanted, lines.l_orderkey == wanted.o_orderkey, "left_semi")
         # Partial aggregate per order (map-side combine), then one join on the
         # same key: the aggregate output is already hash-partitioned by it.
-        lines = self.t.lineitem.groupBy("l_orderkey").agg(
+        lines = lines.groupBy("l_orderkey").agg(
             F.min("l_suppkey").alias("v_supp"),
             F.max("l_shipdate").alias("v_ship"),
             F.sum(_d("l_quantity")).cast(DEC).alias("total_units"),
@@ -222,14 +227,39 @@ class Facts:
             "total_units", "total_value", "total_sku_sold",
             F.lit(1).alias("total_visits"))
 
+    def _visit_orders(self, columns: list[str], visit_dates: tuple | None) -> DataFrame:
+        o = self.t.orders.select(*columns)
+        if visit_dates:
+            lo, hi = visit_dates
+            o = o.where((F.col("o_orderdate") >= F.lit(lo))
+                        & (F.col("o_orderdate") < F.lit(hi + dt.timedelta(days=1))))
+        return o
+
+    def visit_days(self, visit_dates: tuple | None = None, distributor: str | None = None) -> DataFrame:
+        """(visit_date, distributor_code) of every visit: no line is read but
+        for its order key, which tells that the order has lines."""
+        o = self._visit_orders(["o_orderkey", "o_custkey", "o_orderdate"], visit_dates)
+        cr = self._customer_region(distributor)
+        o = o.join(small(cr), o.o_custkey == cr.c_custkey)
+        keys = self.t.lineitem.select("l_orderkey")
+        return o.join(keys, o.o_orderkey == keys.l_orderkey, "left_semi").select(
+            F.to_date("o_orderdate").alias("visit_date"), F.col("r_name").alias("distributor_code"))
+
+    def order_days(self) -> DataFrame:
+        """(order_date, distributor_code) of every order with lines."""
+        return self.visit_days().withColumnRenamed("visit_date", "order_date")
+
+    def accounts(self) -> DataFrame:
+        """(account_label) of all accounts, with or without data."""
+        return self.t.region.select(F.col("r_name").alias("account_label"))
+
     def stock_fact(self, report_dates: tuple | None = None) -> DataFrame:
-        """Stock snapshots (stock_fact schema): region × stocked part × snapshot day."""
+        """Stock snapshots (stock_fact schema): region × part × snapshot day."""
         days = stock_days(self.as_of)
         if report_dates:
             lo, hi = report_dates
             days = [d for d in days if lo <= d <= hi]
-        p = self.t.part.where(F.col("p_partkey") % STOCK_PART_MOD == 0) \
-            .select("p_partkey", "p_name", "p_brand", "p_retailprice")
+        p = self.t.part.select("p_partkey", "p_name", "p_brand", "p_retailprice")
         # Generators, not joins: each part row expands to its regions and days.
         df = (p.withColumn("account_label", F.explode(F.array(*[F.lit(r) for r in STOCK_REGIONS])))
                .withColumn("report_date", F.explode(F.array(*[F.lit(d) for d in days]))))
@@ -263,34 +293,55 @@ class Facts:
              .otherwise(F.col("c_mktsegment")).alias("channel_type"),
             F.when(F.col("c_acctbal") >= 0, "Active").otherwise("Inactive").alias("status"))
 
-    def targets_new(self) -> DataFrame:
-        """Brand targets: prior-year same-month NMV × 1.1 (bookers % 10 = 0 left out)."""
-        f = self.orders_fact(["delivery_date", "distributor_code", "booker_code", "brand",
-                              "delivered_amount", "total_discount"])
+    def _target_lines(self, columns: list[str], months: list[tuple] | None, distributor: str | None) -> DataFrame:
+        """Last year's lines behind the targets of ``months`` ((year, month) pairs; None: all).
+
+        The covering date range of the prior-year months reaches the scan."""
+        window = None
+        if months:
+            lo, hi = min(months), max(months)
+            window = dt.date(lo[0] - 1, lo[1], 1), month_end(dt.date(hi[0] - 1, hi[1], 1))
+        f = self.orders_fact(columns, delivery=window, distributor=distributor)
         f = f.where(F.col("booker_code").cast("long") % NO_TARGET_MOD != 0)
-        return (f.groupBy((F.year("delivery_date") + 1).alias("year"),
-                          F.month("delivery_date").alias("month"),
-                          "distributor_code", "booker_code", "brand")
-                 .agg(F.round(F.sum(F.col("delivered_amount") + F.col("total_discount"))
-                              * F.lit(TARGET_UPLIFT).cast(DecimalType(2, 1)), 4)
-                      .cast(DEC).alias("target"))
-                 .select("year", "month", "distributor_code", "booker_code", "brand",
-                         F.lit("Value").alias("kpi"), "target"))
-
-    def targets(self) -> DataFrame:
+        return f.withColumn("year", F.year("delivery_date") + 1).withColumn("month", F.month("delivery_date"))
+
+    def targets_new(self, months: list[tuple] | None = None, distributor: str | None = None) -> DataFrame:
+        """Brand targets: prior-year same-month NMV × 1.1 (bookers % 10 = 0 left out).
+
+        ``months`` and ``distributor`` limit what is read."""
+        f = self._target_lines(["delivery_date", "distributor_code", "booker_code", "brand",
+                                "delivered_amount", "total_discount"], months, distributor)
+        out = (f.groupBy("year", "month", "distributor_code", "booker_code", "brand")
+               .agg(F.round(F.sum(F.col("delivered_amount") + F.col("total_discount"))
+                            * F.lit(TARGET_UPLIFT).cast(DecimalType(2, 1)), 4)
+                    .cast(DEC).alias("target"))
+               .select("year", "month", "distributor_code", "booker_code", "brand",
+                       F.lit("Value").alias("kpi"), "target"))
+        return in_months(out, months)
+
+    def target_months(self, distributor: str) -> DataFrame:
+        """Distinct (year, month) with targets: reads dates, bookers and the order's region, no amounts."""
+        return self._target_lines(["delivery_date", "booker_code"], None, distributor).select("year", "month").distinct()
+
+    def targets(self, months: list[tuple] | None = None, distributor: str | None = None) -> DataFrame:
         """Legacy booker targets: value and volume per booker and month."""
-        f = self.orders_fact(["delivery_date", "distributor_code", "booker_code",
-                              "delivered_amount", "total_discount", "delivered_litres",
-                              "delivered_kg"])
-        f = f.where(F.col("booker_code").cast("long") % NO_TARGET_MOD != 0)
+        f = self._target_lines(["delivery_date", "distributor_code", "booker_code",
+                                "delivered_amount", "total_discount", "delivered_litres",
+                                "delivered_kg"], months, distributor)
         up = F.lit(TARGET_UPLIFT).cast(DecimalType(2, 1))
-        return (f.groupBy((F.year("delivery_date") + 1).alias("year"),
-                          F.month("delivery_date").alias("month"),
-                          "distributor_code", "booker_code")
-                 .agg(F.round(F.sum(F.col("delivered_amount") + F.col("total_discount")) * up, 4)
-                      .cast(DEC).alias("target_in_value"),
-                      F.round(F.sum(F.col("delivered_litres") + F.col("delivered_kg")) * up, 4)
-                      .cast(DEC).alias("target_in_volume")))
+        out = (f.groupBy("year", "month", "distributor_code", "booker_code")
+               .agg(F.round(F.sum(F.col("delivered_amount") + F.col("total_discount")) * up, 4)
+                    .cast(DEC).alias("target_in_value"),
+                    F.round(F.sum(F.col("delivered_litres") + F.col("delivered_kg")) * up, 4)
+                    .cast(DEC).alias("target_in_volume")))
+        return in_months(out, months)
+
+
+def in_months(df: DataFrame, months: list[tuple] | None) -> DataFrame:
+    """Rows whose (year, month) is one of ``months``; None keeps all."""
+    if months is None:
+        return df
+    return df.where((F.col("year") * 100 + F.col("month")).isin([y * 100 + m for y, m in months]))
 
 
 class TableFacts(Facts):
@@ -312,19 +363,22 @@ class TableFacts(Facts):
     def from_path(cls, spark, root: str, as_of: dt.date = AS_OF) -> "TableFacts":
         """Facts from parquet tables under ``root`` (one folder per table)."""
         def rd(n):
-            try:
-                return spark.read.parquet(f"{root.rstrip('/')}/{n}")
-            except Exception:  # table not loaded yet
-                return None
+            path = f"{root.rstrip('/')}/{n}"
+            return spark.read.parquet(path) if exists(spark, path) else None  # not loaded yet
         return cls(spark, rd("orders_fact"), rd("visits_fact"), rd("stock_fact"), rd("sku_master"),
                    rd("universe"), rd("targets"), rd("targets_new"), as_of)
 
     @staticmethod
     def _window(df, col, w, month_col=None):
         if w:
-            df = df.where(F.col(col).between(F.lit(w[0]), F.lit(w[1])))
-            if month_col and month_col in df.columns:  # partition pruning on the month folder
-                df = df.where(F.col(month_col).between(F.lit(w[0].replace(day=1)), F.lit(w[1])))
+            df = df.where(F.col(col) <= F.lit(w[1]))
+            pruned = month_col and month_col in df.columns  # partition pruning on the month folder
+            if pruned:
+                df = df.where(F.col(month_col) <= F.lit(w[1]))
+            if w[0]:
+                df = df.where(F.col(col) >= F.lit(w[0]))
+                if pruned:
+                    df = df.where(F.col(month_col) >= F.lit(w[0].replace(day=1)))
         return df
 
     def orders_fact(self, columns=None, delivery=None, order_dates=None, distributor=None):
@@ -333,15 +387,27 @@ class TableFacts(Facts):
         if distributor:
             df = df.where(F.col("distributor_code") == distributor)
         cols = list(columns) if columns else [c for c in ORDER_COLUMNS if c in df.columns]
-        return df.select([F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols])
+        return df.select(cols)  # a column that the table lacks is an error
 
     def visits_fact(self, visit_dates=None, distributor=None):
         df = self._window(self._v, "visit_date", visit_dates, "visit_month")
         if distributor:
-            code = F.trim(F.substring_index(F.substring_index("distributor", "[", -1), "]", 1))
-            df = df.where(code == distributor)
+            if "distributor_code" in df.columns:  # partition pruning
+                return df.where(F.col("distributor_code") == distributor)
+            df = df.where(_bracket_code("distributor") == distributor)
         return df
 
+    def visit_days(self, visit_dates=None, distributor=None):
+        df = self.visits_fact(visit_dates, distributor)
+        code = F.col("distributor_code") if "distributor_code" in df.columns else _bracket_code("distributor")
+        return df.select("visit_date", code.alias("distributor_code"))
+
+    def order_days(self):
+        return self._o.select("order_date", "distributor_code")
+
+    def accounts(self):
+        return self._o.select(F.col("distributor_code").alias("account_label")).distinct()
+
     def stock_fact(self, report_dates=None):
         return self._window(self._s, "report_date", report_dates, "report_month")
 
@@ -351,8 +417,20 @@ class TableFacts(Facts):
     def universe(self):
         return self._u
 
-    def targets(self):
-        return self._t
+    @staticmethod
+    def _of(df, months, distributor):
+        df = in_months(df, months)
+        return df.where(F.col("distributor_code") == distributor) if distributor else df
+
+    def targets(self, months=None, distributor=None):
+        return self._of(self._t, months, distributor)
+
+    def targets_new(self, months=None, distributor=None):
+        return self._of(self._tn, months, distributor)
+
+    def target_months(self, distributor):
+        return self.targets_new(None, distributor).select("year", "month").distinct()
+
 
-    def targets_new(self):
-        return self._tn
+def _bracket_code(c: str):
+    return F.trim(F.substring_index(F.substring_index(c, "[", -1), "]", 1))

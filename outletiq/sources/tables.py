@@ -34,3 +34,9 @@ class Tables:
     def register_views(self, names=TABLES) -> None:
         for n in names:
             self.read(n).createOrReplaceTempView(n)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

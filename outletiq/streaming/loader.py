@@ -29,7 +29,8 @@ def load_incrementally(spark: SparkSession, source_dir: str, schema: StructType
     upserts each micro-batch into the parquet table at ``target``.
 
     ``transform`` turns landed rows into typed rows (e.g. ``ingest.parse_orders``);
-    the batch id becomes ``load_seq`` so later batches win on equal keys.
+    each micro-batch is a load of its own time (``ingest.load_seq``), so later
+    batches win on equal keys, under a new checkpoint as well.
     Returns the StreamingQuery (already stopped when ``available_now``).
     """
     ckpt_root = ensure_checkpoint_dir(spark)
@@ -40,7 +41,7 @@ def load_incrementally(spark: SparkSession, source_dir: str, schema: StructType
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch) if transform else batch
-        rows = rows.withColumn("load_seq", F.lit(int(batch_id)).cast("long"))
+        rows = rows.withColumn("load_seq", F.lit(ING.load_seq()).cast("long"))
         ING.write_upsert(batch.sparkSession, rows, target, key, partition_cols)
 
     w = stream.writeStream.foreachBatch(merge).option(

@@ -17,13 +17,12 @@ def spark():
     from outletiq.session import BASE_CONF, ensure_checkpoint_dir
     b = (SparkSession.builder.master("local[4]").appName("outletiq-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="outletiq-test-ckpt-"))
          .config("spark.driver.memory", "8g"))
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="outletiq-test-ckpt-"))
     ensure_checkpoint_dir(s)
     yield s
     s.stop()

@@ -56,6 +56,24 @@ def test_row_in_two_periods(spark):
     ("select 1 union select 2; select 3", False),
     ("update t set a = 1", False),
     ("", False),
+    ("select '--x' as a, 1 as b", True),
+    ("select replace(x, 'a', 'b') from t", True),
+    ("select update, `drop` from t where set = 1", True),
+    ("select 'it''s; fine', \"a;b\", 'back\\'slash;'", True),
+    ("select 1 /* ; */ -- ; drop table t", True),
+    ("select 1 /* open", False),
+    ("select 'open", False),
+    ("create table t as select 1", False),
+    ("insert into t select 1", False),
+    ("/* select */ drop table t", False),
+    ("from t insert into u select *", False),
+    ("set x = 1", False),
+    ("explain select 1", False),
+    (";", False),
+    ("select transform(a) using 'cat' from t", False),
+    ("select reflect('java.lang.System', 'exit', 1)", False),
+    ("select `reflect`('a', 'b')", False),
+    ("select * from a join b using (k)", True),
 ])
 def test_select_guard(text, ok):
     if ok:
@@ -65,7 +83,11 @@ def test_select_guard(text, ok):
             SQ.check_select(text)
 
 
-def test_safe_select_limit(spark):
-    df = SQ.safe_select(spark, "select id from range(100000)", limit=3)
-    assert df.count() == 10  # preview limit clamps to at least 10
+def test_safe_select_and_preview(spark):
+    text = "select id from range(100000)"
+    assert SQ.safe_select(spark, text).count() == 100000  # no hidden cap
+    assert SQ.preview(spark, text, limit=3).count() == 10  # clamped to at least 10
+    assert SQ.preview(spark, text, limit=10 ** 6).count() == 5000
+    row = SQ.safe_select(spark, "select '--x' as a, replace('abc', 'b', ';') as b -- note").first()
+    assert (row.a, row.b) == ("--x", "a;c")
     assert SQ.template("t", ["a", "b"]) == "SELECT `a`, `b`\nFROM `t`\nLIMIT 100"
