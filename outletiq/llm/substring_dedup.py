@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outletiq.llm.common import discard, gram_codes, mix, pick, save, slices, split_words, word_codes
+from outletiq.llm.common import discard, gram_codes, mix, pick, ranges, save, slices, split_words, word_codes
 
 WINDOW, PART = 13, 5
-MULTIPLIER = 0x9E3779B97F4A7C15
+MULTIPLIER, MULTIPLIER_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 PATHS = "bucket long, content long, doc_id long, start int, n int"
 SEEN = "kind int, h1 long, h2 long, doc_id long, start int, n int"
 
@@ -56,6 +56,20 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _run_codes(codes: np.ndarray, multiplier: int, start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Hash of the ``n`` words from each ``start`` on: a difference of prefix sums, shifted to the same power."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(multiplier, len(codes)))])
+    back = _powers(pow(multiplier, -1, 1 << 64), len(codes))
+    return mix((sums[start + n] - sums[start]) * back[start] + np.asarray(n).astype(np.uint64))
+
+
+def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A column of lists of structs as offsets and flat field arrays; a null list is empty."""
+    off = np.asarray(column.offsets).astype(np.int64)
+    flat = column.flatten()
+    return off - off[0], [np.asarray(flat.field(f)).astype(np.int64) for f in fields]
+
+
 def paths_of(texts: pa.Array, window: int, part: int) -> tuple[np.ndarray, ...]:
     """(text number, bucket, content, first word, windows) of every path of every text."""
     flat, off = split_words(texts)
@@ -71,9 +85,7 @@ def paths_of(texts: pa.Array, window: int, part: int) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(first)
     at = np.flatnonzero(inside)
     n = np.diff(np.append(np.searchsorted(at, start), len(at)))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(MULTIPLIER, len(codes)))])
-    back = _powers(pow(MULTIPLIER, -1, 1 << 64), len(codes))
-    content = mix((sums[start + n + window - 1] - sums[start]) * back[start] + n.astype(np.uint64))
+    content = _run_codes(codes, MULTIPLIER, start, n + window - 1)
     return owner[start], bucket[start], content, start - off[owner[start]], n
 
 
@@ -105,26 +117,28 @@ def _look_up(docs: DataFrame, requests: DataFrame, window: int) -> DataFrame:
         for big in batches:
             for b in slices(big, "text", 8 << 20):
                 flat, off = split_words(b.column("text"))
-                codes = word_codes(flat, 3), word_codes(flat, 4)
-                edges = [gram_codes(c, window).view(np.int64) for c in codes]
-                words = flat.cast(pa.large_binary()).to_pylist()
-                out = [[], [], [], [], [], []]
-                for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
-                    for x in b.column("asked")[i].as_py():
-                        a, n = off[i] + x["start"], x["n"]
-                        if x["kind"] == 0:
-                            new = (np.zeros(n), edges[0][a:a + n], edges[1][a:a + n], np.full(n, doc_id),
-                                   x["start"] + np.arange(n), np.ones(n))
-                        else:
-                            d = hashlib.blake2b(b" ".join(words[a:a + n]), digest_size=16).digest()
-                            new = ([1], np.frombuffer(d[:8], "<i8"), np.frombuffer(d[8:], "<i8"), [doc_id],
-                                   [x["start"]], [n])
-                        for column, values in zip(out, new):
-                            column.append(np.asarray(values))
+                codes = word_codes(flat, 3)
+                of, (kind, start, n) = _lists(b.column("asked"), "kind", "start", "n")
+                ids = np.repeat(np.asarray(b.column("doc_id")), np.diff(of))
+                at = np.repeat(off[:-1], np.diff(of)) + start
+                edge = kind == 0
+                place, own = ranges(at[edge], n[edge]), np.repeat(np.flatnonzero(edge), n[edge])
+                first = start[own] + place - at[own]
+                # a span's words without the space between them, and their lengths
+                ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset:flat.offset + len(flat) + 1]
+                data, lengths = memoryview(flat.buffers()[2] or b""), np.diff(ends).astype("<u4")
+                digests = b"".join(
+                    hashlib.blake2b(lengths[a:z].tobytes() + data[ends[a]:ends[z]], digest_size=16).digest()
+                    for a, z in zip(at[~edge].tolist(), (at[~edge] + n[~edge]).tolist()))
+                sides = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                h1, h2 = (_run_codes(codes, m, place, window).view(np.int64) for m in (MULTIPLIER, MULTIPLIER_2))
+                columns = (np.concatenate([np.zeros(len(place)), np.ones(len(sides))]),
+                           np.concatenate([h1, sides[:, 0]]), np.concatenate([h2, sides[:, 1]]),
+                           np.concatenate([ids[own], ids[~edge]]), np.concatenate([first, start[~edge]]),
+                           np.concatenate([np.ones(len(place)), n[~edge]]))
                 kinds = (np.int32, np.int64, np.int64, np.int64, np.int32, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.zeros(0, t), *c]).astype(t)) for c, t in zip(out, kinds)],
-                    names=["kind", "h1", "h2", "doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, kinds)],
+                                                 names=["kind", "h1", "h2", "doc_id", "start", "n"])
 
     return joined.mapInArrow(run, SEEN)
 
@@ -187,22 +201,19 @@ def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(per_doc, docs["doc_id"] == per_doc["__id"], "left").drop("__id")
 
 
-def _removed(n_words: int, spans) -> np.ndarray:
-    """Which words the spans cover."""
-    steps = np.zeros(n_words + 1, np.int64)
-    starts = np.array([s["start"] for s in spans], np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + np.array([s["n"] for s in spans], np.int64), -1)
-    return np.cumsum(steps)[:n_words] > 0
-
-
-def _split(text: bytes | None, spans) -> tuple[int, list[bytes]]:
-    """Number of words and the words kept."""
-    words = (text or b"").split()
-    if not spans:
-        return len(words), words
-    gone = _removed(len(words), spans)
-    return len(words), [w for w, g in zip(words, gone.tolist()) if not g]
+def _kept(texts: list[bytes], spans: pa.Array) -> Iterator[tuple[int, list[bytes], bool]]:
+    """Of each text the number of words, the words kept, and whether that is fewer."""
+    off, (start, n) = _lists(spans, "start", "n")
+    for text, a, z in zip(texts, off.tolist(), off[1:].tolist()):
+        words = text.split()
+        if a == z:
+            yield len(words), words, False
+            continue
+        steps = np.zeros(len(words) + 1, np.int64)
+        np.add.at(steps, start[a:z], 1)
+        np.add.at(steps, start[a:z] + n[a:z], -1)
+        gone = np.cumsum(steps)[:-1] > 0
+        yield len(words), [w for w, g in zip(words, gone.tolist()) if not g], True
 
 
 def summary(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,8 +227,8 @@ def summary(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, sha = [], [], []
-            for text, spans in zip(b.column("text").cast(pa.large_binary()), b.column("__spans")):
-                total, kept = _split(text.as_py(), spans.as_py())
+            texts = b.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
+            for total, kept, _ in _kept(texts, b.column("__spans")):
                 n.append(total)
                 gone.append(total - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -237,9 +248,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for big in batches:
             for b in slices(big, place):
                 texts = b.column(place).to_pylist()
-                for i, spans in enumerate(b.column(columns).to_pylist()):
-                    if spans:
-                        texts[i] = b" ".join(_split(texts[i].encode(), spans)[1]).decode()
+                inside = b.column(place).cast(pa.large_binary()).fill_null(b"").to_pylist()
+                for i, (_, kept, fewer) in enumerate(_kept(inside, b.column(columns))):
+                    if fewer:
+                        texts[i] = b" ".join(kept).decode()
                 arrays = [pa.array(texts, b.schema.field(place).type) if k == place else b.column(k) for k in range(columns)]
                 yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names[:columns])
 
