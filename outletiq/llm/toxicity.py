@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from outletiq.llm.common import discard, mix, pick, save, slices, split_words
 from outletiq.llm.lang_id import fold
 
-BITS = 22
+BITS = 20
 SAMPLE_ROWS = 16_000
 SHARDS, ROUNDS = 4, 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
@@ -95,10 +95,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     context = docs.sparkSession.sparkContext
     z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     for _ in range(ROUNDS):
-        state = context.broadcast((z, n))
+        seen = (z != 0) | (n != 0)
+        state = context.broadcast((np.packbits(seen), z[seen], n[seen]))  # 1 << BITS numbers at most
 
         def step(table: pa.Table) -> pa.Table:
-            z0, n0 = state.value
+            bits, values, squares = state.value
+            seen = np.unpackbits(bits).astype(bool)
+            z0, n0 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+            z0[seen], n0[seen] = values, squares
             z, n = z0.copy(), n0.copy()
             table = table.sort_by("order")
             table = table.combine_chunks()
@@ -117,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         at = np.asarray(change.column("at"))
         z[at] += np.asarray(change.column("z")) / SHARDS
         n[at] += np.asarray(change.column("n")) / SHARDS
-        state.unpersist()
+        state.destroy()
     discard(rows, sample)
     return weights(z, n).astype(np.float32)
 
