@@ -25,10 +25,7 @@ DEAD_COVER_DAYS = 25
 
 
 def _stock(facts: Facts, town: str | None, dates: tuple | None = None) -> DataFrame:
-    s = facts.stock_fact(report_dates=dates)
-    if town and town != "all":
-        s = s.where(F.col("distributor_code") == town)
-    return s
+    return facts.stock_fact(report_dates=dates, distributor=None if town in (None, "all") else town)
 
 
 def _value_unit(s: DataFrame) -> DataFrame:

@@ -253,15 +253,17 @@ class Facts:
         """(account_label) of all accounts, with or without data."""
         return self.t.region.select(F.col("r_name").alias("account_label"))
 
-    def stock_fact(self, report_dates: tuple | None = None) -> DataFrame:
+    def stock_fact(self, report_dates: tuple | None = None, distributor: str | None = None) -> DataFrame:
         """Stock snapshots (stock_fact schema): region × part × snapshot day."""
         days = stock_days(self.as_of)
         if report_dates:
             lo, hi = report_dates
             days = [d for d in days if lo <= d <= hi]
         p = self.t.part.select("p_partkey", "p_name", "p_brand", "p_retailprice")
+        regions = [distributor] if distributor else STOCK_REGIONS
+        p = p.where(F.lit(set(regions) <= set(STOCK_REGIONS)))
         # Generators, not joins: each part row expands to its regions and days.
-        df = (p.withColumn("account_label", F.explode(F.array(*[F.lit(r) for r in STOCK_REGIONS])))
+        df = (p.withColumn("account_label", F.explode(F.array(*[F.lit(r) for r in regions])))
                .withColumn("report_date", F.explode(F.array(*[F.lit(d) for d in days]))))
         day_no = F.datediff(F.col("report_date"), F.lit(STOCK_DAY0))
         mult = (F.col("p_partkey") * 7 + day_no * 13) % 41
@@ -408,8 +410,9 @@ class TableFacts(Facts):
     def accounts(self):
         return self._o.select(F.col("distributor_code").alias("account_label")).distinct()
 
-    def stock_fact(self, report_dates=None):
-        return self._window(self._s, "report_date", report_dates, "report_month")
+    def stock_fact(self, report_dates=None, distributor=None):
+        df = self._window(self._s, "report_date", report_dates, "report_month")
+        return df.where(F.col("distributor_code") == distributor) if distributor else df
 
     def sku_master(self):
         return self._m
