@@ -8,7 +8,6 @@ costs a re-read, never a rerun of the steps before it.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outletiq.session import shared_dir
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Java pattern of the whitespace that separates words: space and 0x09-0x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -28,21 +29,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session. Only a local session may fall back to its own folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    d = tempfile.mkdtemp(prefix="outletiq-llm-")
-    spark.sparkContext.setCheckpointDir(d)
-    return shared_dir(spark)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
@@ -86,16 +72,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in columns.items()])
 
 
-def with_results(df: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """``df`` with result columns joined on ``key``; result columns replace columns of the same name."""
-    new = [c for c in results.columns if c != key]
-    return df.drop(*new).join(results, key, "left")
-
-
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words(c: Column) -> Column:
     """Array of words ``[^\\x20\\x09-\\x0D]+``; empty for null or blank text."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE), lambda w: w != "")
