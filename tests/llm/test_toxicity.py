@@ -39,6 +39,16 @@ def test_update_matches_plain_loop():
     assert np.allclose(z, [z2.get(i, 0) for i in range(30)]) and np.allclose(n, [n2.get(i, 0) for i in range(30)])
 
 
+def test_calibration_fits_the_labels():
+    rnd = np.random.default_rng(0)
+    margin = rnd.normal(size=4000)
+    label = (rnd.random(4000) < 1 / (1 + np.exp(-(3 * margin - 1)))).astype(int)
+    a, b = toxicity.calibrate(margin, label)
+    assert abs(a - 3) < 0.4 and abs(b + 1) < 0.2
+    assert toxicity.calibrate(margin, np.zeros(4000, int)) == (1.0, 0.0)
+    assert toxicity.calibrate(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+
+
 def test_features_are_words_pairs_and_skip_pairs():
     doc, at = toxicity.features(pa.array(["a b c d", None, "", "Foo*** foo", "a b"]))
     assert np.bincount(doc, minlength=5).tolist() == [4 + 3 + 2, 0, 0, 2 + 1, 2 + 1]
