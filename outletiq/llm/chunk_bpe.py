@@ -153,7 +153,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     """One row per chunk: text digest, doc_id, chunk number, chunk digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text", 8 << 20):
+            for b in slices(big, "text", 2 << 20):
                 texts, rows = _binaries(b.column("text")), ([], [], [], [])
                 for doc_id, t, ends in zip(b.column("doc_id").to_pylist(), texts, cut(texts)):
                     tid, a = _digest(t), 0
@@ -173,7 +173,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", 4 << 20):
                 texts = _binaries(b.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_digest(t) for t in texts], pa.binary()), b.column("doc_id"),
@@ -188,7 +188,7 @@ def _for_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(texts, (F.col("tid") == F.col("t")) & F.col("first").eqNullSafe(F.col("doc_id"))).drop("t", "doc_id")
 
 
-def _unpacked(b: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _unpacked(b: pa.RecordBatch, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for part in slices(b, "packed", most_bytes):
         expand = zstandard.ZstdDecompressor()
         yield part, [expand.decompress(x) for x in part.column("packed").to_pylist()]

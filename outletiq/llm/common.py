@@ -135,7 +135,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most about ``most_bytes`` of text each, whatever the lengths of its rows."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     part = np.cumsum(sizes) // most_bytes
@@ -143,3 +143,4 @@ def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 16 << 20)
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()  # executors count what a worker merely keeps

@@ -32,6 +32,8 @@ CALIBRATION_DOCS = 1_000
 #: of the way from its language's mean to uniformly random symbols, so that a foreign passage
 #: or a few codes in a clean document do not count.
 REJECT_DEVIATIONS, REJECT_SHARE = 4.0, 0.5
+#: Distinct words scored together; bounds a task's memory, changes no result.
+WORDS_AT_ONCE = 16_384
 UNKNOWN = "und"
 GRAMS = "lang string, n int, gram long, context long, suffix long, opens boolean, count long"
 
@@ -142,13 +144,7 @@ class Model:
         count = np.zeros(len(flat), np.int64)
         if len(flat):
             coded = flat.dictionary_encode()
-            codes, owner = _symbols(coded.dictionary.to_pylist())
-            n = len(coded.dictionary)
-            sizes = np.bincount(owner, minlength=n)
-            own = np.zeros((n, len(self.langs)))
-            edges = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else np.zeros(0, np.int64)
-            if len(owner):
-                own[owner[edges]] = np.add.reduceat(self.log_probs(codes), edges, axis=0, dtype=np.float64)
+            own, sizes = self._word_sums(coded.dictionary)
             index = np.asarray(coded.indices)
             sums, count = own[index], sizes[index]
         total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(sums, axis=0)])
@@ -156,6 +152,18 @@ class Model:
         symbols = np.diff(symbols)
         return -(total[off[1:]] - total[off[:-1]]) / np.maximum(symbols, 1)[:, None], symbols
 
+    def _word_sums(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each word in each language, and its number of symbols; a part of the words at a time."""
+        sums, sizes = np.zeros((len(words), len(self.langs))), np.zeros(len(words), np.int64)
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            part = words.slice(a, WORDS_AT_ONCE)
+            codes, owner = _symbols(part.to_pylist())
+            if len(owner):
+                sizes[a:a + len(part)] = np.bincount(owner, minlength=len(part))
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                sums[a + owner[first]] = np.add.reduceat(self.log_probs(codes), first, axis=0, dtype=np.float64)
+        return sums, sizes
+
     def deviations(self, entropy: np.ndarray, lang: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """How far a cross-entropy is over the language's mean, in deviations for a text of that length."""
         a, b = self.spread[lang].T
@@ -233,7 +241,7 @@ def train(labelled: DataFrame, order: int = ORDER, sample_chars: int = SAMPLE_CH
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", 1 << 20):
                 yield from _gram_rows(b.column("text"), b.column("lang").to_pylist(), order)
 
     counted = (sample.mapInArrow(count, GRAMS).groupBy("lang", "n", "gram")
@@ -253,7 +261,7 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.langs
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", 4 << 20):
                 entropy, symbols = shared.value.score(b.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([names.index(x) for x in b.column("lang").to_pylist()], pa.int32()),
@@ -319,7 +327,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text", 8 << 20):
+            for b in slices(big, "text", 4 << 20):
                 names, score, entropy, rejected = _judge(shared.value, b.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(names.tolist(), pa.string()), pa.array(score),
@@ -337,7 +345,7 @@ def keep_recognised(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, place, 8 << 20):
+            for b in slices(big, place, 4 << 20):
                 yield b.filter(pa.array(~_judge(shared.value, b.column(place))[3]))
 
     return docs.mapInArrow(run, docs.schema)
