@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 
 from outletiq.llm.common import ranges
 
-CACHE = 400_000  # pieces kept per worker process; beyond it those met only once are forgotten
+CACHE = 250_000  # pieces kept per worker process; beyond it those met only once are forgotten
 _LOADED: dict[str, BatchEncoder] = {}
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from outletiq.session import shared_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Java pattern of the whitespace that separates words: space and 0x09-0x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
 M64 = (1 << 64) - 1
@@ -34,21 +35,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within this block Spark deletes the shuffle files of each query when it has ended."""
-    before = spark.conf.get(CLEANUP, "false")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Within this block Spark deletes the shuffle files of each query when it has
+    ended, and hands texts to Python in batches of 2,000 rows at most."""
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH, "10000")}
+    rows = int(before[BATCH])
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(min(rows, 2000) if rows > 0 else 2000))
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    with _freeing_shuffles(spark):
+    with _settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
