@@ -44,8 +44,11 @@ def _symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(w.lower()) for w in words), np.int64, len(words)) + 1
     cps = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     known, inverse = np.unique(cps, return_inverse=True)
-    letter = np.array([unicodedata.category(chr(c))[0] in "LM" for c in known.tolist()], bool)
-    codes = np.where(letter, known, 0)[inverse].astype(np.uint64)
+    kind = np.array([unicodedata.category(chr(c))[0] for c in known.tolist()])[inverse]
+    at = np.arange(len(cps))
+    after_letter = np.maximum.accumulate(np.where(kind == "L", at, -1)) > np.maximum.accumulate(
+        np.where((kind == "L") | (kind == "M"), -1, at))
+    codes = np.where((kind == "L") | (kind == "M") & after_letter, cps, 0).astype(np.uint64)  # marks follow letters
     owner = np.repeat(np.arange(len(words)), lengths)
     keep = (codes > 0) | np.concatenate([[False], codes[:-1] > 0])  # letters, and one boundary after each run
     return codes[keep], owner[keep]
@@ -357,7 +360,10 @@ def fold(c: str, n: int) -> Column:
 
 
 def learn_and_predict(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """Learns from the rows outside fold 0 and predicts all rows; ``held_out`` marks fold 0."""
+    """Learns from the rows outside fold 0 and predicts all rows; ``held_out`` marks fold 0.
+
+    A row without an id is in no fold: it is not learned from, and not marked."""
     model = train(docs.where(fold("doc_id", folds) != 0))
-    return predict(docs, model).select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "lang_pred", "score",
-                                       "cross_entropy", "rejected")
+    held_out = F.coalesce(fold("doc_id", folds) == 0, F.lit(False))
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy",
+                                       "rejected")

@@ -183,8 +183,9 @@ def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
 def learn_and_score(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """Learns from labels outside the held-out fold, scores all rows: doc_id, held_out, score, predicted.
 
-    Repeated rows are scored alike, an empty table gives none, and other columns of the input are never read.
+    Repeated rows are scored alike, a row without an id has no label and is not held out, an empty
+    table gives none, and other columns of the input are never read.
     """
     w = train(docs, labels.where(fold("doc_id", folds) != held_out))
-    return score(docs, w).select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score",
+    return score(docs, w).select("doc_id", F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score",
                                  (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

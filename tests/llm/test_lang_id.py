@@ -93,7 +93,7 @@ def test_odd_rows(spark, make_docs):
     english, german = "the thing of her was this and that " * 20, "der schöne Baum über das größere Haus und " * 20
     rows = [(i, english, "en") for i in range(30)] + [(30 + i, german, "de") for i in range(30)]
     model = lang_id.train(make_docs(rows + [(90, None, "en"), (91, "no label", None)]))
-    odd = [(100, None), (101, ""), (102, "12 -- !!"), (103, "THE THING OF HER"), (104, "größere"), (None, english),
+    odd = [(100, None), (101, ""), (102, "12 -- !! \u0301 \u0301\u0302"), (103, "THE THING OF HER"), (104, "größere"), (None, english),
            (105, "xqzj kkvw pqfx zzxq " * 50), (106, english * 3000), (107, german), (107, german)]
     docs = make_docs(odd).withColumn("score", lang_id.F.lit("old"))
     got = lang_id.predict(docs, model).collect()
@@ -108,6 +108,7 @@ def test_odd_rows(spark, make_docs):
     nothing = lang_id.train(make_docs([]))
     assert {(r.lang_pred, r.score, r.rejected) for r in lang_id.predict(docs, nothing).collect()} == {("und", 0.0, True)}
     assert lang_id.predict(make_docs([]), model).count() == 0
+    assert not [r for r in lang_id.learn_and_predict(make_docs(rows + [(None, english)])).collect() if r.held_out is None]
 
 
 def test_rows_of_missing_keys():
