@@ -162,7 +162,15 @@ def stock_without_header(facts: Facts) -> DataFrame:
     """ING5, ING11: a stock report without a header, each line repeated; the last line wins."""
     lo = facts.as_of - dt.timedelta(days=89)
     rows = ING.parse_stock(landed(facts, "stock-no-header", raw_stock_without_header), lo, facts.as_of)
-    return ING.keep_latest(rows.withColumn("load_seq", F.lit(1)), list(ING.STOCK_KEY)).select(*LOADED_STOCK_COLUMNS)
+    return _by_day(ING.keep_latest(rows.withColumn("load_seq", F.lit(1)), list(ING.STOCK_KEY)))
+
+
+def _by_day(stock: DataFrame) -> DataFrame:
+    """What a loaded stock table holds, by day, account and brand."""
+    value = F.col("value").cast("decimal(18,4)")
+    return stock.groupBy("report_date", "account_label", "brand_code").agg(
+        F.count("*").alias("lines"), F.count_distinct("distributor_code", "sku_code").alias("skus"),
+        F.sum(value).cast("double").alias("total"), F.max(value).cast("double").alias("largest"))
 
 
 def raw_visit_report(facts: Facts) -> DataFrame:
@@ -249,7 +257,7 @@ def written_upsert(facts: Facts) -> DataFrame:
         .withColumn("value", (F.col("value") + F.lit(1)).cast("decimal(18,4)")).withColumn("load_seq", F.lit(2))
     for batch in (old, new, new):
         ING.write_upsert(spark, batch, path, WRITE_KEY, PARTS)
-    return spark.read.schema(new.schema).parquet(path).drop("load_seq", "report_month", "unit", "distributor_name")
+    return _by_day(spark.read.schema(new.schema).parquet(path))
 
 
 def written_replace_period(facts: Facts) -> DataFrame:
@@ -266,7 +274,7 @@ def written_replace_period(facts: Facts) -> DataFrame:
         .withColumn("load_seq", F.lit(2))
     for _ in range(2):  # loading it again changes nothing
         ING.write_replace_period(spark, batch, path, "report_date", lo, a, PARTS, "ASIA", WRITE_KEY)
-    return spark.read.schema(batch.schema).parquet(path).drop("load_seq", "report_month", "unit", "distributor_name")
+    return _by_day(spark.read.schema(batch.schema).parquet(path))
 
 
 def high_water_marks(facts: Facts) -> DataFrame:
