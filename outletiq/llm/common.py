@@ -8,6 +8,7 @@ costs a re-read, never a rerun of the steps before it.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -140,6 +141,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is reused, and what it merely keeps counts as its executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most about ``most_bytes`` of text each, whatever the lengths of its rows."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
@@ -148,4 +157,4 @@ def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 8 << 20)
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
-            pa.default_memory_pool().release_unused()  # executors count what a worker merely keeps
+            give_back()
