@@ -183,8 +183,10 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _for_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts named by ``wanted`` (tid, first, ...): of equal texts only the rows of the first document."""
-    texts = _packed(docs).withColumnRenamed("tid", "t")
+    """The texts named by ``wanted`` (tid, first, ...): of equal texts only the rows of the first document.
+
+    Always a merge join: the plan, and what it moves, is the same at every size."""
+    texts = _packed(docs).withColumnRenamed("tid", "t").hint("merge")
     return wanted.join(texts, (F.col("tid") == F.col("t")) & F.col("first").eqNullSafe(F.col("doc_id"))).drop("t", "doc_id")
 
 
