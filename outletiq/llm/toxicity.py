@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletiq.llm.common import discard, mix, pick, save, slices, split_words
+from outletiq.llm.common import discard, give_back, mix, pick, save, slices, split_words
 from outletiq.llm.lang_id import fold
 
 BITS = 20
@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", 2 << 20):
                 doc, at = features(b.column("text"))
                 pairs = np.unique((doc << BITS) | at)
                 offsets = np.searchsorted(pairs >> BITS, np.arange(b.num_rows + 1)).astype(np.int32)
@@ -112,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                     zip(off, off[1:], table.column("toxic").to_pylist())]
             one_pass(rows, z, n)
             at = np.flatnonzero((z != z0) | (n != n0))
+            give_back()
             return pa.table({"at": at.astype(np.int32), "z": (z[at] - z0[at]).astype(float), "n": (n[at] - n0[at]).astype(float)})
 
         change = dealt.groupBy("shard").applyInArrow(step, "at int, z double, n double")
@@ -169,7 +170,7 @@ def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for big in batches:
-            for b in slices(big, "text", 8 << 20):
+            for b in slices(big, "text", 2 << 20):
                 doc, at = features(b.column("text"))
                 matter = w[at] != 0
                 pairs = np.unique((doc[matter] << BITS) | at[matter])  # a feature counts once per document
