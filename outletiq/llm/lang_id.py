@@ -28,10 +28,10 @@ SAMPLE_CHARS = 2_000_000
 #: Documents per language, at most about, that calibrate the rejection limit and the score.
 CALIBRATION_DOCS = 1_000
 #: A document is rejected if its cross-entropy is over what its language and length explain by
-#: so many deviations more than for nearly all calibration documents, and also over this share
-#: of the way from its language's mean to uniformly random symbols, so that a foreign passage
+#: so many deviations more than for nearly all calibration documents, and also over the entropy
+#: of its language's letters without any order (``Model.unordered``), so that a foreign passage
 #: or a few codes in a clean document do not count.
-REJECT_DEVIATIONS, REJECT_SHARE = 4.0, 0.5
+REJECT_DEVIATIONS = 4.0
 #: Distinct words scored together; bounds a task's memory, changes no result.
 WORDS_AT_ONCE = 16_384
 UNKNOWN = "und"
@@ -116,6 +116,8 @@ class Model:
     ``grams[n]`` holds the hashes of the n-grams seen in any language and
     ``alpha[n]`` their discounted relative counts; ``contexts[n]`` and
     ``weight[n]`` the share that a context passes on to the next shorter one.
+    ``unordered`` is the entropy per symbol of each language's own letter
+    frequencies; letters of other languages, or rare ones, do not raise it.
     """
 
     langs: list[str]
@@ -125,6 +127,7 @@ class Model:
     alpha: list[np.ndarray]
     contexts: list[np.ndarray]
     weight: list[np.ndarray]
+    unordered: np.ndarray
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     sharpness: float = 1.0
@@ -194,7 +197,11 @@ def build_model(grams: pa.Table, order: int) -> Model:
     gram, context, suffix = (np.asarray(grams.column(c)).view(np.uint64) for c in ("gram", "context", "suffix"))
     count = np.asarray(grams.column("count")).astype(np.float64)
     symbols = len(np.unique(gram[n == 1])) + 1
-    model = Model(langs, order, symbols, *([None] * (order + 1) for _ in range(4)))
+    model = Model(langs, order, symbols, *([None] * (order + 1) for _ in range(4)), np.zeros(len(langs)))
+    for i in range(len(langs)):
+        share = count[(n == 1) & (number == i)]
+        share = share / share.sum()
+        model.unordered[i] = -(share * np.log(share)).sum()
     for k in range(1, order + 1):
         here = n == k
         keys, at = np.unique(gram[here], return_inverse=True)
@@ -313,9 +320,7 @@ def _judge(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     names = np.array([*m.langs, UNKNOWN], object)[np.where(known, best, len(m.langs))]
     rejected = ~known
     if m.langs:
-        mean = m.mean[best]
-        strange = least > mean + REJECT_SHARE * (np.log(m.symbols) - mean)
-        rejected |= strange & (m.deviations(least, best, symbols) > m.limit)
+        rejected |= (least > m.unordered[best]) & (m.deviations(least, best, symbols) > m.limit)
     return names, score, np.where(known, least, np.nan), rejected
 
 
@@ -324,7 +329,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``lang_pred`` is ``und`` with score 0 and rejected if a text is null or has
     no letter, or if nothing was learned. ``rejected`` also marks texts whose
-    cross-entropy is far above that of any text of the language at that length.
+    cross-entropy is far above that of any text of the language at that length,
+    and above that of the language's letters in no order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 

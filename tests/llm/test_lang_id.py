@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -111,6 +112,22 @@ def test_odd_rows(spark, make_docs):
     assert not [r for r in lang_id.learn_and_predict(make_docs(rows + [(None, english)])).collect() if r.held_out is None]
 
 
+def test_left_out_language_beside_a_large_script(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rnd = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(5000)]
+    script = [(10_000_000 + i, " ".join("".join(rnd.choices(han, k=6)) for _ in range(40)), "zh") for i in range(150)]
+    mixed = [(20_000_000 + r.doc_id, f"{r.text} {''.join(rnd.choices(han, k=3))}", "en")  # letters of another script
+             for r in docs.where("lang = 'en'").collect()]
+    for extra in ([], script, script + mixed):
+        learned = docs.where("lang <> 'es'")
+        learned = learned.union(spark.createDataFrame(extra, docs.schema)) if extra else learned
+        got = lang_id.predict(docs, lang_id.train(learned)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+        strange = [r.rejected for r in got if r.lang == "es"]
+        assert sum(strange) >= 0.95 * len(strange) > 90
+        assert sum(r.rejected for r in got if r.lang != "es") <= 0.01 * len(got)
+
+
 def test_rows_of_missing_keys():
     got = lang_id._rows(np.array([3, 5], np.uint64), np.array([[1.0], [2.0]], np.float32), np.array([5, 4, 9], np.uint64), 0)
     assert got.ravel().tolist() == [2, 0, 0]
