@@ -5,9 +5,10 @@ own, from a boundary symbol through its letters to a closing boundary, so a
 distinct word of a batch is scored once. The language with the lowest
 cross-entropy per symbol wins.
 
-Training counts character n-grams in Spark over a sample bounded by
-``SAMPLE_CHARS`` expected characters per language (all rows of a language with
-fewer); that also bounds the model, which is the one thing sent to every task.
+Training counts character n-grams in Spark over a sample of about
+``SAMPLE_CHARS`` characters per language (all rows of a language with fewer);
+that also bounds the model, which is the one thing sent to every task. The
+sample is drawn by short pieces of text, so lengths of documents do not matter.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from outletiq.llm.common import M64, mix, pick, slices, split_words
 
 ORDER = 4
 SAMPLE_CHARS = 2_000_000
+#: About so many pieces of text make up the sample of a language that has more text than that.
+SAMPLE_PIECES = 2_000
+#: A piece ends at the first place within so many characters that is not inside a word.
+REACH = 256
 #: Documents per language, at most about, that calibrate the rejection limit and the score.
 CALIBRATION_DOCS = 1_000
 #: A document is rejected if its cross-entropy is over what its language and length explain by
@@ -228,13 +233,53 @@ def build_model(grams: pa.Table, order: int) -> Model:
     return model
 
 
+def _rate(rates: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
+
+
+def _draw(*key: Column | str) -> Column:
+    """A number from 0 to 1 by a hash of ``key``."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def _sample(rows: DataFrame, rates: dict[str, float], seed: int) -> DataFrame:
-    """Rows (doc_id, text, lang) kept by a hash of their id, at a rate per language."""
+    """Rows (doc_id, text, lang) kept by a hash of their id and text, at a rate per language."""
+    return rows.where(_draw(F.lit(seed), "doc_id", "text") < _rate(rates)) if rates else rows.limit(0)
+
+
+def _drawn(rows: DataFrame, rates: dict[str, float], size: int, seed: int) -> DataFrame:
+    """(text, lang, pieces) of rows with a drawn piece; ``pieces`` numbers them, and is null where the rate is 1.
+
+    Piece k has the ``size`` characters from k * size on, and is drawn by a hash of its row and number."""
     if not rates:
-        return rows.limit(0)
-    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(draw < rate)
+        return rows.select("text", "lang", F.array().cast("array<long>").alias("pieces")).limit(0)
+    row = F.struct(F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), _rate(rates).alias("rate"),
+                   F.floor(F.length("text") / F.lit(size)).alias("last"))
+    pieces = F.transform(F.array(row), lambda r: F.when(r["rate"] < 1, F.filter(  # the row's hash is taken once
+        F.sequence(F.lit(0).cast("long"), r["last"]), lambda k: _draw(r["key"], k) < r["rate"])))[0]
+    wanted = rows.where(F.col("lang").isin(*rates))
+    return wanted.select("text", "lang", pieces.alias("pieces")).where("pieces is null or size(pieces) > 0")
+
+
+def _cut(text: str, at: int) -> int:
+    """The first place from ``at`` on that is not inside a word; ``at`` itself in a word that goes on for ``REACH``."""
+    if not at:
+        return 0
+    for i in range(at, min(at + REACH, len(text))):
+        if unicodedata.category(text[i])[0] not in "LM":
+            return i
+    return at if at + REACH < len(text) else len(text)
+
+
+def _cut_pieces(batch: pa.RecordBatch, size: int) -> tuple[list[str], list[str]]:
+    """The drawn pieces of (text, lang, pieces) rows, and their languages; whole texts where all is drawn."""
+    texts, langs = [], []
+    for text, lang, pieces in zip(*(batch.column(c) for c in ("text", "lang", "pieces"))):
+        text, pieces = text.as_py(), pieces.as_py()
+        own = [text] if pieces is None else [text[_cut(text, k * size):_cut(text, (k + 1) * size)] for k in pieces]
+        texts += own
+        langs += [lang.as_py()] * len(own)
+    return texts, langs
 
 
 def train(labelled: DataFrame, order: int = ORDER, sample_chars: int = SAMPLE_CHARS,
@@ -242,22 +287,34 @@ def train(labelled: DataFrame, order: int = ORDER, sample_chars: int = SAMPLE_CH
           lang_col: str = "lang") -> Model:
     """Learn from rows with a language and a text; rows without either are ignored.
 
-    The number of languages is the number of distinct labels; each adds at most
-    ``sample_chars * order`` grams to the model.
+    The number of languages is the number of distinct labels; each adds at most about
+    ``sample_chars * order`` grams to the model. A language whose sample has no letter
+    is learned from all its rows; one without any letter is not in the model.
     """
     rows = pick(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
     totals = rows.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars"), F.count("*").alias("n")).collect()
-    sample = _sample(rows, {r.lang: min(1.0, sample_chars / max(r.chars, 1)) for r in totals}, 1)
+    size = max(1, sample_chars // SAMPLE_PIECES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big, "text", 1 << 20):
-                yield from _gram_rows(b.column("text"), b.column("lang").to_pylist(), order)
-
-    counted = (sample.mapInArrow(count, GRAMS).groupBy("lang", "n", "gram")
-               .agg(*[F.first(c).alias(c) for c in ("context", "suffix", "opens")], F.sum("count").alias("count")))
-    model = build_model(counted.toArrow().combine_chunks(), order)
-    return _calibrate(model, _sample(rows, {r.lang: min(1.0, calibration_docs / r.n) for r in totals}, 2))
+                texts, langs = _cut_pieces(b, size)
+                yield from _gram_rows(pa.array(texts, pa.large_string()), langs, order)
+
+    def counted(rates: dict[str, float]) -> pa.Table:
+        grams = _drawn(rows, rates, size, 1).mapInArrow(count, GRAMS).groupBy("lang", "n", "gram")
+        return grams.agg(*[F.first(c).alias(c) for c in ("context", "suffix", "opens")],
+                         F.sum("count").alias("count")).toArrow()
+
+    rates = {r.lang: min(1.0, sample_chars / max(r.chars, 1)) for r in totals}
+    grams = counted(rates)
+    seen = set(grams.column("lang").unique().to_pylist())
+    rest = {lang: 1.0 for lang, rate in rates.items() if lang not in seen and rate < 1}
+    if rest:
+        grams = pa.concat_tables([grams, counted(rest)])
+    model = build_model(grams.combine_chunks(), order)
+    known = {r.lang: min(1.0, calibration_docs / r.n) for r in totals if r.lang in model.langs}
+    return _calibrate(model, _sample(rows, known, 2))
 
 
 def _calibrate(model: Model, rows: DataFrame) -> Model:

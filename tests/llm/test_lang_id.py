@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from outletiq.llm import lang_id
 from outletiq.llm.queries import QUERIES
@@ -128,6 +129,42 @@ def test_left_out_language_beside_a_large_script(spark):
         assert sum(r.rejected for r in got if r.lang != "es") <= 0.01 * len(got)
 
 
+def test_sample_is_reached_whatever_the_lengths(spark, make_docs, monkeypatch):
+    words = {"en": "the thing of her was this and that", "de": "der schöne baum über das größere haus", "x": "kaku tiri momo",
+             "y": "vuvu sasa lelo pirri"}
+    rows = [(i * 100 + k, f"{w} " * (40_000 // len(w)), lang) for i, (lang, w) in enumerate(words.items()) for k in range(10)]
+    rows += [(1000 + k, f"{words['en']} " * 2, "en") for k in range(100)]  # short ones beside long ones
+    rows += [(None, f"{words['x']} {k}", "x") for k in range(100)]
+    rows += [(2000 + k, "12 -- " * 9000 + ("nonono rere " * 4 if k == 7 else ""), "rare") for k in range(10)]
+    rows += [(3000 + k, "12 -- " * 9000, "none") for k in range(3)]
+    learned, build = {}, lang_id.build_model
+
+    def spy(grams, order):
+        for r in grams.filter(pa.compute.equal(grams["n"], 1)).group_by("lang").aggregate([("count", "sum")]).to_pylist():
+            learned[r["lang"]] = r["count_sum"]
+        return build(grams, order)
+
+    monkeypatch.setattr(lang_id, "build_model", spy)
+    model = lang_id.train(make_docs(rows), sample_chars=20_000)
+    assert model.langs == ["de", "en", "rare", "x", "y"]
+    assert all(0.85 * 20_000 < learned[lang] < 1.15 * 20_000 for lang in words) and learned["rare"] == 48
+    tests = [(i, w, None) for i, w in enumerate([*words.values(), "rere nonono"])]
+    assert [r.lang_pred for r in lang_id.predict(make_docs(tests), model).orderBy("doc_id").collect()] == [*words, "rare"]
+
+
+def test_pieces_make_up_the_text_and_cut_no_word():
+    rnd = random.Random(9)
+    for text in ["", "ab", "größe und so " * 90, "x" * 3000, "a" * 700 + " " + "äb c" * 200 + "z" * 400,
+                 "".join(rnd.choices("ab \u0301ß.\n漢", k=2000))]:
+        for size in (1, 7, 100, 1000):
+            cuts = [lang_id._cut(text, k * size) for k in range(len(text) // size + 2)]
+            assert cuts == sorted(cuts) and cuts[0] == 0 and cuts[-1] == len(text)
+            pieces = [text[a:z] for a, z in zip(cuts, cuts[1:])]
+            assert "".join(pieces) == text
+            if "x" * 300 not in text and "a" * 300 not in text:
+                assert [w for p in pieces for w in re.findall(r"[^\W\d_]+", p)] == re.findall(r"[^\W\d_]+", text)
+
+
 def test_rows_of_missing_keys():
     got = lang_id._rows(np.array([3, 5], np.uint64), np.array([[1.0], [2.0]], np.float32), np.array([5, 4, 9], np.uint64), 0)
     assert got.ravel().tolist() == [2, 0, 0]
