@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -23,16 +24,23 @@ from ..operators import staging
 from ..session import shared_dir
 from ..sources.facts import Facts, stock_days
 
+#: A setting of bench.py: a new folder whose rendered reports stay for the run.
+PRE_LANDED = "outletiq.bench.landed"
 RAW = "file_id string, account_label string, row_no long, cells array<string>"
 
 
 def landed(facts: Facts, name: str, render: Callable[[Facts], DataFrame]) -> DataFrame:
-    """The report's lines as landed files in the shared folder, rendered once
-    per input directory, so the loader plans start from a scan of files, as
-    they do in production."""
+    """The report's lines as landed files in the shared folder, so the loader
+    plans start from a scan of files, as they do in production. Every call
+    renders the tables as they are then; only a session with ``PRE_LANDED``
+    (the bench, for the time it runs) loads one rendering again."""
     spark = facts.spark
-    path = f"{shared_dir(spark)}/landed/{hashlib.md5(facts.t.sf_dir.encode()).hexdigest()}/{name}"
-    if not staging.exists(spark, f"{path}/_SUCCESS"):
+    kept = spark.conf.get(PRE_LANDED, None)
+    if kept:
+        path = f"{kept}/{hashlib.md5(f'{facts.t.sf_dir} {facts.as_of}'.encode()).hexdigest()}/{name}"
+    else:
+        path = f"{shared_dir(spark)}/landed/{name}-{uuid.uuid4().hex}"
+    if not kept or not staging.exists(spark, f"{path}/_SUCCESS"):
         render(facts).write.mode("overwrite").parquet(path)
     return spark.read.schema(RAW).parquet(path)
 
@@ -232,8 +240,6 @@ def stock_replace_period(facts: Facts) -> DataFrame:
 
 def _scratch(facts: Facts, name: str) -> str:
     """A new table path in the shared folder."""
-    import uuid
-
     return f"{shared_dir(facts.spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
