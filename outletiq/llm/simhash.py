@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from outletiq.llm.common import discard, pick, save
 from outletiq.llm.components import connected
@@ -116,6 +117,23 @@ def links(fps: DataFrame, d: int) -> DataFrame:
     return _pairs(one, d).union(_pairs(two, d)).union(star).distinct()
 
 
+def _groups(of_docs: DataFrame, d: int) -> DataFrame:
+    """(fp, component_id, leads) of every distinct fingerprint of (doc_id, fp) rows.
+
+    ``leads`` marks one fingerprint of each component: the smallest of those that
+    rows with the smallest id have."""
+    fps = save(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = save(connected(links(fps.select("fp"), d)), "roots")
+    linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
+    least = F.min(F.struct(F.col("first").isNull().alias("unnamed"), "first", "fp")).alias("least")
+    smallest = save(linked.groupBy("root").agg(least).select("root", "least.first", "least.fp"), "smallest")
+    named = roots.join(smallest.withColumnRenamed("fp", "lead"), "root").select(
+        F.col("node").alias("fp"), F.col("first").alias("component_id"), "lead")
+    every = fps.join(named, "fp", "left")
+    return save(every.select("fp", F.coalesce("component_id", "first").alias("component_id"),
+                             F.coalesce(F.col("lead") == F.col("fp"), F.lit(True)).alias("leads")), "groups")
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, d: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id) of every row; ``component_id`` is the smallest id reachable.
 
@@ -125,22 +143,52 @@ def near_duplicates(docs: DataFrame, n: int = 3, d: int = 2, id_col: str = "doc_
     id are one document. Other columns of the input are ignored.
     """
     of_docs = save(fingerprints(docs, n, id_col, text_col), "fingerprints")
-    fps = save(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = save(connected(links(fps.select("fp"), d)), "roots")
-    linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
-    smallest = save(linked.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    named = roots.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    groups = save(fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")),
-                  "groups")
-    return of_docs.join(groups, "fp").select("doc_id", "fp", "component_id")
+    return of_docs.join(_groups(of_docs, d), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _with_fingerprint(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with the fingerprint of ``text`` as a last column ``__fp``."""
+    place, columns = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint(t.as_py() or b"", n) for t in b.column(place).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+
+
 def keep_first(docs: DataFrame, n: int, d: int) -> DataFrame:
-    """The documents that name their component, with all their columns."""
-    others = near_duplicates(docs, n, d).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    others = save(others.select(F.col("doc_id").alias("__other")).distinct(), "others")
-    return docs.join(others, docs["doc_id"].eqNullSafe(others["__other"]), "left_anti")
+    """The first row of each component, with all its columns.
+
+    First is the smallest id, then the smallest fingerprint, so rows that share
+    an id but not the text are judged apart. Rows that repeat both are one document
+    and stay together. Rows without an id come after all others, and where a
+    component has no id at all one of them stays.
+    """
+    of_docs = save(fingerprints(docs, n), "fingerprints")
+    groups = _groups(of_docs, d)
+    stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    judged = of_docs.join(groups, "fp").groupBy("doc_id").agg(F.bool_or(stays).alias("any"), F.bool_and(stays).alias("all"))
+    # ids with a row that goes, and null: an id's rows all go unless ``any`` stays
+    touched = save(judged.where("doc_id is null or not all").select(F.col("doc_id").alias("__id"), "any"), "touched")
+    out = docs.join(touched, docs["doc_id"] == touched["__id"], "left_anti").where(docs["doc_id"].isNotNull())
+    odd = touched.where("any").select("__id", F.col("__id").isNull().alias("none")).groupBy().agg(
+        F.bool_or("none").alias("none"), F.bool_or(~F.col("none")).alias("mixed")).first()
+    leads = groups.where("leads").select(F.col("fp").alias("__lead"), F.col("component_id").alias("__component"))
+    if odd["mixed"]:
+        ids = touched.where("any and __id is not null")
+        rows = _with_fingerprint(docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi"), n)
+        first = (rows["__fp"] == leads["__lead"]) & (rows["doc_id"] == leads["__component"])
+        out = out.union(rows.join(leads, first, "left_semi").drop("__fp"))
+    if odd["none"]:
+        rows = _with_fingerprint(docs.where(docs["doc_id"].isNull()), n)
+        rows = rows.join(leads.where("__component is null"), rows["__fp"] == leads["__lead"], "left_semi")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = rows.groupBy("__fp").agg(F.min_by(row, F.to_json(row)).alias("r"))
+        out = out.union(one.select("r.*"))
+    return out

@@ -98,5 +98,25 @@ def test_documents_against_brute_force(spark, make_docs):
     assert {r.doc_id for r in kept.collect()} == {c for i, _, c in want if i == c}
 
 
+def test_first_row_of_each_component_stays(spark, make_docs):
+    rnd = random.Random(8)
+    a, b, c, e, f, g, h = (" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(30)) for _ in range(7))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (None, c.upper()), (None, e),
+            (7, a), (7, f), (3, f.upper()), (7, g), (8, h), (8, h), (9, h)]
+    docs = make_docs(rows).withColumn("fp", simhash.F.lit("clash"))
+    kept = simhash.keep_first(docs, 3, 2)
+    assert kept.dtypes == docs.dtypes
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect())
+    assert got == sorted([(1, a), (0, b), (0, c), (0, e), (3, f), (7, g), (8, h), (8, h)])
+    only = simhash.keep_first(make_docs([(None, a), (None, a), (None, "")]), 3, 2)
+    assert sorted(r.text for r in only.collect()) == ["", a]
+
+
+def test_one_id_names_two_components(spark, make_docs):
+    a, b = "one two three four five six", "ten nine eight seven six five"
+    got = simhash.keep_first(make_docs([(4, a), (4, b), (5, a), (5, b), (6, b), (6, "else " * 9)]), 3, 2).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(4, a), (4, b), (6, "else " * 9)])
+
+
 def test_empty_table(spark, make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
