@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletiq.llm import ann, chunk_bpe, lang_id, line_dedup, packing, quality_rules, records, simhash, substring_dedup, toxicity
-from outletiq.llm.common import documents
+from outletiq.llm import (ann, chunk_bpe, conversation_repair, importance, inner_product, lang_id, line_dedup, packing,
+                          quality_rules, records, simhash, substring_dedup, toxicity)
+from outletiq.llm.common import documents, save
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -68,6 +69,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return save(conversation_repair.damaged_report(rows), "repaired")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = importance.resample(documents(spark, sf_dir), target, percent=25, least_words=20)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return inner_product.search(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_simhash": op2_simhash,
@@ -79,8 +96,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
+#: CRC-32 in SQL: the table of one byte's steps, and the checksum of a text's UTF-8 bytes.
+CRC_TABLE = """SELECT list(list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i)
+              ORDER BY i) AS tab FROM range(256) AS t(i)"""
+
+
+def _crc(text: str) -> str:
+    byte = f"('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT"
+    steps = f"list_transform(range(octet_length(encode({text}))), lambda k: {byte})"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _edits(state: int) -> str:
+    """Cheapest edits from here if this row is not preceded by an insertion: cost, letters, repaired lines."""
+    initial, kept = {0: ("'s', 'u'", "CASE WHEN ini = 's' THEN s1 ELSE s2 END"), 1: ("'u'", "s2"), 2: ("'a'", "s3"),
+                     3: ("'u'", "s2")}[state]
+    to, name = (3, "assistant") if state == 2 else (2, "user")
+    return f"""list_min([
+      {{'c': s{state}.c + 4, 'a': 'D' || s{state}.a, 't': s{state}.t}},
+      CASE WHEN fault IN (0, 3) AND ini IN ({initial}) THEN
+        {{'c': ({kept}).c + fault, 'a': 'K' || ({kept}).a, 't': role || ':' || text || chr(10) || ({kept}).t}} END,
+      CASE WHEN fault IN (0, 3) THEN
+        {{'c': s{to}.c + 3 + fault, 'a': 'R' || s{to}.a, 't': '{name}:' || text || chr(10) || s{to}.t}} END])"""
+
+
+def _inserted(name: str, state: str) -> str:
+    return f"{{'c': {state}.c + 3, 'a': 'I' || {state}.a, 't': '{name}:' || chr(10) || {state}.t}}"
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op6_quality_rules": r"""
@@ -139,5 +187,90 @@ cut AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.kept, '') END AS text,
        coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN cut c USING (doc_id)
+""",
+    "op11_conversation_repair": f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d
+  FROM conversations, crc),
+rows AS (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE d WHEN 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM hit WHERE d <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS ini, row_number() OVER o AS pos, row_number() OVER same AS seen,
+         lag(left(role, 1)) OVER o AS before
+  FROM rows WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again),
+    same AS (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again)),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN seen > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault
+  FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated,
+         count(*) FILTER (WHERE before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n AS pos, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0,
+         {{'c': 6::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS s1,
+         {{'c': 3::BIGINT, 'a': 'I', 't': 'assistant:' || chr(10)}} AS s2, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s3
+  FROM counts
+  UNION ALL
+  SELECT conv_id, pos - 1, list_min([b0, {_inserted("user", "b2")}, {_inserted("user", f"({_inserted('assistant', 'b3')})")}]),
+         list_min([b1, {_inserted("user", "b2")}, {_inserted("user", f"({_inserted('assistant', 'b3')})")}]),
+         list_min([b2, {_inserted("assistant", "b3")}]), list_min([b3, {_inserted("user", "b2")}])
+  FROM (SELECT w.conv_id, w.pos, {_edits(0)} AS b0, {_edits(1)} AS b1, {_edits(2)} AS b2, {_edits(3)} AS b3
+        FROM walk w JOIN faulty f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.pos = f.pos))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.s0.c, 0) AS cost,
+       coalesce(w.s0.a, '') AS audit,
+       sha256(coalesce(left(w.s0.t, greatest(length(w.s0.t) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.pos = 0
+""",
+    "op12_importance_resampling": f"""
+WITH crc AS ({CRC_TABLE}),
+texts AS (
+  SELECT false AS target, doc_id, text FROM documents UNION ALL SELECT true, item_id, text FROM benchmark),
+split AS (
+  SELECT target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM texts),
+features AS (
+  SELECT target, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f
+  FROM split),
+hashed AS (SELECT f, {_crc("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM features), crc),
+counts AS (
+  SELECT bucket, count(*) FILTER (WHERE NOT target) AS s, count(*) FILTER (WHERE target) AS t
+  FROM features JOIN hashed USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE)) AS gain
+  FROM counts),
+weights AS (
+  SELECT doc_id, floor(sum(gain) / count(*))::BIGINT AS weight, count(*) AS n_features
+  FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE NOT target GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(d.doc_id::VARCHAR, '')), 8))::BIGINT + 0.5)::DOUBLE
+                                                    / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM split d LEFT JOIN weights e ON d.doc_id IS NOT DISTINCT FROM e.doc_id WHERE NOT target),
+ordered AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN ordered o ON s.doc_id = o.doc_id
+""",
+    "op13_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0)
+SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id)::INT AS rank,
+       b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+QUALIFY rank <= 5
 """,
 }
