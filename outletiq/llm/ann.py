@@ -42,23 +42,22 @@ def projections(dim: int, m: int, seed: int = 20) -> np.ndarray:
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v array<double>) of the rows that take part.
 
-    Left out are null ids, null, empty or zero vectors, vectors with a null or non-finite
-    component, and vectors of another length than the most common one.
+    Left out are null ids, null, empty or zero vectors, and vectors with a null or non-finite component.
     """
     x = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"),
                        F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    x = x.where(F.col("vec_id").isNotNull() & fine & F.exists("v", lambda e: e != 0))
-    top = x.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return x.where(F.size("v") == (top["n"] if top else 0))
+    return x.where(F.col("vec_id").isNotNull() & fine & F.exists("v", lambda e: e != 0))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dim).astype(np.float64)
+    """Rows of components, each row scaled by a power of two to a largest component of 0.5 to 1: that
+    changes no bit of a cosine, and squares neither overflow nor vanish."""
+    x = np.asarray(column.flatten()).reshape(-1, dim).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # very large or small components do not overflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -129,17 +128,24 @@ def search(vectors: DataFrame, is_query, k: int = 5, m: int = PROJECTIONS, id_co
            vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found, for the rows where ``is_query`` holds.
 
-    ``is_query`` is a condition on vec_id. A query with fewer candidates returns
+    ``is_query`` is a condition on vec_id. A query searches the vectors of its own
+    length (number of components), each length with an index of its own. One with fewer candidates returns
     all of them; no usable vector gives no rows. Rows that repeat an id are
     candidates one by one, and none of them for a query of that id.
     """
     x = save(usable(vectors, id_col, vector_col), "vectors")
-    first = x.select(F.size("v").alias("n")).first()
-    if first is None:
-        return x.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = first["n"]
+    lengths = [r["n"] for r in x.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
+    out = x.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in lengths:
+        mine = x if len(lengths) == 1 else x.where(F.size("v") == dim)
+        out = out.unionByName(_search(mine, dim, is_query, k, m))
+    return out
+
+
+def _search(x: DataFrame, dim: int, is_query, k: int, m: int) -> DataFrame:
+    """``search`` among usable vectors of one length."""
     index = save(build_index(x, dim, m), "index")
-    queries = x.where(is_query).dropDuplicates(["vec_id"])
+    queries = x.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))  # of rows that repeat an id, one asks
     parts = max(1, -(-queries.count() // QUERY_PART))
     queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     matrix = projections(dim, m)

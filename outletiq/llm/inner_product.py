@@ -61,7 +61,7 @@ def rotation(x: DataFrame, dim: int) -> np.ndarray:
     rows = max(dim, min(1 << 14, SAMPLE_VALUES // dim))
     sample = x.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(rows).select("v").toArrow()
     a = np.asarray(sample.column("v").combine_chunks().flatten(), np.float64).reshape(-1, dim)
-    return np.linalg.svd(np.concatenate([a, np.zeros((max(0, dim - len(a)), dim))]), full_matrices=True)[2].T
+    return np.linalg.svd(np.concatenate([a, np.zeros((max(0, dim - len(a)), dim))]), full_matrices=False)[2].T
 
 
 def build_index(x: DataFrame, dim: int, turn: np.ndarray, block: int = BLOCK) -> DataFrame:

@@ -19,7 +19,7 @@ def boilerplate_lines(docs: DataFrame, ratio: float, min_pages: int, host_col: s
                       text_col: str = "text") -> DataFrame:
     """(host, lines): hashes of the lines on more than ``ratio`` of the host's pages, and on ``min_pages`` at least.
 
-    Every page counts once per line. Counts are partial sums, so neither a host
+    Every row is a page, also where ids repeat, and counts once per line. Counts are partial sums, so neither a host
     nor a line with a third of all rows meets in one task before they are added
     up. A page has A distinct lines on average, so fewer than A / ratio lines of
     a host can pass: the array is small whatever the host's size. A null host is
@@ -45,13 +45,16 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5, h
     stays null with 0 lines. Columns of the input named n_lines or n_dropped are replaced.
     """
     table = save(boilerplate_lines(docs, ratio, min_pages, host_col, text_col), "boilerplate")
-    table = table.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    host, text = docs[f"`{host_col}`"], F.col(f"`{text_col}`")
-    joined = docs.join(table, host.eqNullSafe(table["__host"]), "left").withColumn("__all", F.split(text, "\n"))
-    kept = F.filter("__all", lambda x: ~F.array_contains(F.col("__lines"), _key(x)))
-    cut = joined.withColumn("__kept", F.when(F.col("__lines").isNull(), F.col("__all")).otherwise(kept))
-    n = F.when(text.isNull(), 0).otherwise(F.size("__all")).cast("long")
-    dropped = F.when(text.isNull(), 0).otherwise(F.size("__all") - F.size("__kept")).cast("long")
+    table = table.select(F.col("host").alias("of_host"), "lines")
+    # the whole row is one struct, so no column of it can clash with one that is added here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("every", F.split(F.col("row")[text_col], "\n"))
+    joined = rows.join(table, F.col("row")[host_col].eqNullSafe(F.col("of_host")), "left")
+    kept = F.filter("every", lambda x: ~F.array_contains(F.col("lines"), _key(x)))
+    cut = joined.withColumn("kept", F.when(F.col("lines").isNull(), F.col("every")).otherwise(kept))
+    none = F.col("every").isNull()
+    n = F.when(none, 0).otherwise(F.size("every")).cast("long")
+    dropped = F.when(none, 0).otherwise(F.size("every") - F.size("kept")).cast("long")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    out = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
     return cut.select(*out, n.alias("n_lines"), dropped.alias("n_dropped"))

@@ -1,13 +1,15 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Only lengths are packed, so what moves between machines is one short row per
-piece. Pieces are dealt by a hash to groups of about ``group_rows``; a group is
-packed on its own and can leave at most a few bins underfull, so the loss
-against one global packing is a fixed small share at any input size.
+piece. Pieces are dealt by a hash to groups of about ``group_rows``, and a group is
+packed on its own. Its local search ends with at most one bin that is half full
+or less; that one and the group's emptiest bin are dealt and packed again with those of the other
+groups, level by level, until one group holds them.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,8 +24,6 @@ from outletiq.llm.bpe import encoder
 from outletiq.llm.common import pick, save, slices
 
 GROUP_ROWS = 10_000
-#: Local search: passes over the underfull bins, and partner bins tried for each of them.
-PASSES, PARTNERS = 8, 64
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,54 +50,119 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_step(a: list[int], b: list[int], lengths: list[int], room: int, fill_a: int, fill_b: int):
-    """The step that moves most from ``b`` into ``a``: (gain, items leaving a, items leaving b) or None.
+class _Underfull:
+    """Items of the bins that are neither empty nor full, found by length, and pairs of one bin by their sum.
 
-    With ``d`` the tokens that change bins, the sum of squared fills grows by
-    ``2 d (fill_a - fill_b + d)``; only steps that make it grow count.
+    Bit sets of the lengths and sums in use find the longest that fits. A bin has
+    at most about sqrt(2 * capacity) different lengths, so few sums.
     """
-    best, most = None, 0
-    floor = max(0, fill_b - fill_a)
-    singles = [((), 0), *(((i,), lengths[i]) for i in a)]
-    pairs = [((i, j), lengths[i] + lengths[j]) for k, i in enumerate(a) for j in a[:k]] if len(a) <= 32 else []
-    for out, gone in singles + pairs:  # a move, one for one, two for one
-        for j in b:
-            d = lengths[j] - gone
-            if most < d <= room and d > floor:
-                best, most = (d, out, (j,)), d
-    if len(b) <= 32:  # one for two: two of b's against one of a's
-        for k, i in enumerate(b):
-            for j in b[:k]:
-                for out, gone in singles:
-                    d = lengths[i] + lengths[j] - gone
-                    if most < d <= room and d > floor:
-                        best, most = (d, out, (i, j)), d
-    return best
+
+    def __init__(self, bins: list[list[int]], lengths: list[int]):
+        self.bins, self.lengths = bins, lengths
+        self.items: dict[int, dict[int, int]] = defaultdict(dict)  # length -> item -> bin
+        self.pairs: dict[int, dict[int, None]] = defaultdict(dict)  # sum -> bins
+        self.singles = self.sums = 0
+
+    def pair_sums(self, b: int) -> set[int]:
+        count: dict[int, int] = defaultdict(int)
+        for i in self.bins[b]:
+            count[self.lengths[i]] += 1
+        have = sorted(count)
+        return {x + y for k, x in enumerate(have) for y in have[k:] if x < y or count[x] > 1}
+
+    def add(self, b: int) -> None:
+        for i in self.bins[b]:
+            n = self.lengths[i]
+            self.items[n][i] = b
+            self.singles |= 1 << n
+        for s in self.pair_sums(b):
+            self.pairs[s][b] = None
+            self.sums |= 1 << s
+
+    def remove(self, b: int) -> None:
+        for i in self.bins[b]:
+            n = self.lengths[i]
+            del self.items[n][i]
+            if not self.items[n]:
+                self.singles &= ~(1 << n)
+        for s in self.pair_sums(b):
+            del self.pairs[s][b]
+            if not self.pairs[s]:
+                self.sums &= ~(1 << s)
+
+    def pair(self, b: int, total: int) -> list[int]:
+        """Two items of a bin with this sum of lengths."""
+        seen: dict[int, int] = {}
+        for i in self.bins[b]:
+            other = seen.get(total - self.lengths[i])
+            if other is not None:
+                return [other, i]
+            seen[self.lengths[i]] = i
+        raise KeyError(total)
+
+
+def _step(a: int, under: _Underfull, room: int):
+    """The exchange that moves most into bin ``a``: (gain, items leaving a, bin, its items) or None.
+
+    A move of one or two, one for one, two of a's for one, or one of a's for two of another
+    bin's; every fitting exchange with a bin in ``under`` is considered.
+    """
+    best, way = 0, None
+    singles = {under.lengths[i]: i for i in under.bins[a]}
+    outs = [(0, 0), *((n, 1) for n in singles), *((s, 2) for s in under.pair_sums(a))]
+    for gone, k in outs:
+        for two, bits in ((0, under.singles), (1, under.sums)):
+            if two and k == 2:  # two for two is none of this search's
+                continue
+            fits = (bits & ((1 << (gone + room + 1)) - 1)).bit_length() - 1
+            if fits - gone > best:
+                best, way = fits - gone, (gone, k, two, fits)
+                if best == room:
+                    break
+        if best == room:
+            break
+    if way is None:
+        return None
+    gone, k, two, fits = way
+    out = [] if k == 0 else [singles[gone]] if k == 1 else under.pair(a, gone)
+    if two:
+        b = next(reversed(under.pairs[fits]))
+        return best, out, b, under.pair(b, fits)
+    item, b = next(reversed(under.items[fits].items()))
+    return best, out, b, [item]
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Exchange or move items between underfull bins while the sum of squared fills grows; emptied bins go.
 
-    Fuller bins are filled first, from the emptiest ones, so that bins run empty.
+    The fullest bin takes from all that are less full, until nothing fits it any
+    better; then the next. With ``d`` the tokens that change bins, the sum grows by
+    ``2 d (fill_a - fill_b + d)``. The search ends when a whole pass over the bins finds no step.
     """
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(PASSES):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b))
+    changed = True
+    while changed:
         changed = False
-        for at, a in enumerate(under):
-            if not 0 < fill[a] < capacity:
+        under = _Underfull(bins, lengths)
+        queue = [(-f, b) for b, f in enumerate(fill) if 0 < f < capacity]
+        for _, b in queue:
+            under.add(b)
+        heapq.heapify(queue)
+        while queue:
+            f, a = heapq.heappop(queue)
+            if f != -fill[a] or not fill[a]:  # it has changed since, and waits at another place
                 continue
-            for b in under[:at:-1][:PARTNERS]:
-                if not 0 < fill[b] <= fill[a] < capacity:
-                    continue
-                step = _best_step(bins[a], bins[b], lengths, capacity - fill[a], fill[a], fill[b])
-                if step:
-                    d, out, back = step
-                    bins[a] = [i for i in bins[a] if i not in out] + list(back)
-                    bins[b] = [i for i in bins[b] if i not in back] + list(out)
-                    fill[a], fill[b], changed = fill[a] + d, fill[b] - d, True
-        if not changed:
-            break
+            under.remove(a)
+            while fill[a] < capacity and (step := _step(a, under, capacity - fill[a])):
+                d, out, b, back = step
+                under.remove(b)
+                bins[a] = [i for i in bins[a] if i not in out] + back
+                bins[b] = [i for i in bins[b] if i not in back] + out
+                fill[a], fill[b], changed = fill[a] + d, fill[b] - d, True
+                if bins[b]:
+                    under.add(b)
+                    heapq.heappush(queue, (-fill[b], b))
     return [b for b in bins if b]
 
 
@@ -133,26 +198,45 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, PIECES)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``pieces`` (uid, length, ...) with sequence_id and offset, gapless from 0 in every sequence."""
-    groups = max(1, -(-pieces.count() // group_rows))
-
+def _pack_groups(pieces: DataFrame, capacity: int, groups: int, level: int) -> DataFrame:
+    """``pieces`` with sequence_id, offset, and whether their sequence may be packed again with other groups'."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("uid")
         lengths = table.column("length").to_pylist()
         group = table.column("group")[0].as_py()
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for number, items in enumerate(pack(lengths, capacity)):
+        sequence, offset, fill = (np.zeros(len(lengths), np.int64) for _ in range(3))
+        bins = pack(lengths, capacity)
+        for number, items in enumerate(bins):
             at = 0
             for i in items:
-                sequence[i], offset[i] = (group << 32) + number, at
+                sequence[i], offset[i] = (level << 58) + (group << 32) + number, at
                 at += lengths[i]
-        return (table.drop_columns(["uid", "group"]).append_column("sequence_id", pa.array(sequence))
-                .append_column("offset", pa.array(offset)))
+            fill[items] = at
+        spare = (fill <= capacity // 2) | (sequence == sequence[fill.argmin()])  # two sequences at most
+        table = table.drop_columns(["group"])
+        for name, column in (("sequence_id", sequence), ("offset", offset), ("spare", spare)):
+            table = table.append_column(name, pa.array(column))
+        return table
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
+    return dealt.groupBy("group").applyInArrow(run, f"{schema}, sequence_id long, offset long, spare boolean")
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "uid")
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(run, f"{schema}, sequence_id long, offset long")
+
+def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``pieces`` (uid, length, ...) with sequence_id and offset, gapless from 0 in every sequence."""
+    rest, done, level, groups = pieces, None, 0, None
+    while True:
+        wanted = max(1, -(-rest.count() // group_rows))
+        groups = wanted if groups is None else min(wanted, groups // 2)
+        packed = _pack_groups(rest, capacity, groups, level)
+        if groups == 1:
+            settled = packed.drop("uid", "spare")
+            return settled if done is None else done.unionByName(settled)
+        packed = save(packed, f"packed-{level}")
+        settled = packed.where("not spare").drop("uid", "spare")
+        rest = packed.where("spare").drop("sequence_id", "offset", "spare")
+        done, level = settled if done is None else done.unionByName(settled), level + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:

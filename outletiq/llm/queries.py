@@ -170,23 +170,24 @@ SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counted c JOIN verdicts v ON c.source IS NOT DISTINCT FROM v.source
 """,
     "op10_line_dedup": f"""
-WITH lines AS (
-  SELECT doc_id, source, text, pos, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
-  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+WITH numbered AS (SELECT row_number() OVER () AS page, * FROM documents),
+lines AS (
+  SELECT page, source, text, pos, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT page, source, text, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS pos
-        FROM documents WHERE text IS NOT NULL)),
-pages AS (SELECT source, k, count(DISTINCT doc_id) AS pages FROM lines WHERE k <> '' GROUP BY ALL),
+        FROM numbered WHERE text IS NOT NULL)),
+pages AS (SELECT source, k, count(DISTINCT page) AS pages FROM lines WHERE k <> '' GROUP BY ALL),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL),
 boiler AS (
   SELECT p.source, p.k FROM pages p JOIN totals t ON p.source IS NOT DISTINCT FROM t.source
   WHERE p.pages >= {LINE_PAGES} AND p.pages > {LINE_RATIO} * t.total),
 cut AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(b.k) AS n_dropped,
+  SELECT l.page, count(*) AS n_lines, count(b.k) AS n_dropped,
          string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE b.k IS NULL) AS kept
-  FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.k = b.k GROUP BY l.doc_id)
+  FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.k = b.k GROUP BY l.page)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.kept, '') END AS text,
        coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped
-FROM documents d LEFT JOIN cut c USING (doc_id)
+FROM numbered d LEFT JOIN cut c USING (page)
 """,
     "op11_conversation_repair": f"""
 WITH RECURSIVE crc AS ({CRC_TABLE}),

@@ -68,21 +68,31 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (None if flags & 1 else doc_id), np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(BODY))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that the cluster gives it: without one, that of its default file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def _store(uri: str):
+    """File system and path of a qualified folder, on the driver and in tasks alike."""
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri if "://" in uri else f"file:{uri}" if uri.startswith("file:") else f"file://{uri}")
+    if uri.startswith("file:"):
+        uri = "file://" + uri[5:].removeprefix("//")
+    return FileSystem.from_uri(uri)
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_col: str = "doc_id",
                   text_col: str = "text", file_bytes: int = 64 << 20) -> DataFrame:
     """Encode every text and write one record per row, in ascending ``id_col`` order; returns the index.
 
-    Rows are range-partitioned by id, so file order is id order at any size and
-    no task holds more than its range. A null text is empty (its record holds
-    the end id only); a null id sorts first; rows with equal ids are ordered by
-    text. Other input columns are ignored. An empty table gives an empty index.
+    Rows are range-partitioned by id, a hash of the text, and their place in the
+    input, so file order is id order at any size and no id, however many rows it
+    has, fills one task. A null text is empty (its record holds
+    the end id only); a null id sorts first; rows with equal ids are in the order of their texts' hashes. Other input columns are ignored. An empty table gives an empty index.
     """
+    path = qualified(docs.sparkSession, path)
     data = f"{path}/data"
     fs, root = _store(path)
     fs.create_dir(f"{root}/data", recursive=True)
@@ -111,8 +121,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id
         if out is not None:
             out.close()
 
-    ordered = (pick(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id")
-               .sortWithinPartitions("doc_id", "text"))
+    keys = ["doc_id", F.xxhash64("text"), "place"]
+    ordered = (pick(docs, doc_id=id_col, text=text_col).withColumn("place", F.monotonically_increasing_id())
+               .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("place"))
     return save(ordered.mapInArrow(write, INDEX), "index", f"{path}/index")
 
 
@@ -133,7 +144,7 @@ def read_token_ids(spark: SparkSession, path: str, shuffle_seed: int | None = No
 
 
 def _read(index: DataFrame, path: str, shuffle_seed: int | None, with_ids: bool = False) -> DataFrame:
-    data = f"{path}/data"
+    data = f"{qualified(index.sparkSession, path)}/data"
 
     def record(payload: bytes, *at) -> tuple:
         doc_id, ids = unpack(payload)

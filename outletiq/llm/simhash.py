@@ -150,16 +150,16 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _with_fingerprint(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` with the fingerprint of ``text`` as a last column ``__fp``."""
-    place, columns = docs.columns.index("text"), len(docs.columns)
-
+def _with_fingerprint(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (row, doc_id, text) with the fingerprint of the text as ``fp``, without the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py() or b"", n) for t in b.column(place).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, "__fp"])
+            fps = [fingerprint(t.as_py() or b"", n) for t in b.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(fps, pa.int64())],
+                                             names=["row", "doc_id", "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    out = T.StructType([rows.schema["row"], rows.schema["doc_id"], T.StructField("fp", T.LongType())])
+    return rows.select("row", "doc_id", "text").mapInArrow(run, out)
 
 
 def keep_first(docs: DataFrame, n: int, d: int) -> DataFrame:
@@ -175,20 +175,21 @@ def keep_first(docs: DataFrame, n: int, d: int) -> DataFrame:
     stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))
     judged = of_docs.join(groups, "fp").groupBy("doc_id").agg(F.bool_or(stays).alias("any"), F.bool_and(stays).alias("all"))
     # ids with a row that goes, and null: an id's rows all go unless ``any`` stays
-    touched = save(judged.where("doc_id is null or not all").select(F.col("doc_id").alias("__id"), "any"), "touched")
-    out = docs.join(touched, docs["doc_id"] == touched["__id"], "left_anti").where(docs["doc_id"].isNotNull())
-    odd = touched.where("any").select("__id", F.col("__id").isNull().alias("none")).groupBy().agg(
+    touched = save(judged.where("doc_id is null or not all").select(F.col("doc_id").alias("id"), "any"), "touched")
+    # the whole row is one struct, so no column of it can clash with one that is added here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row).select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"))
+    out = rows.join(touched, F.col("doc_id") == F.col("id"), "left_anti").where("doc_id is not null").select("row")
+    odd = touched.where("any").select("id", F.col("id").isNull().alias("none")).groupBy().agg(
         F.bool_or("none").alias("none"), F.bool_or(~F.col("none")).alias("mixed")).first()
-    leads = groups.where("leads").select(F.col("fp").alias("__lead"), F.col("component_id").alias("__component"))
+    leads = groups.where("leads").select(F.col("fp").alias("lead"), F.col("component_id").alias("component"))
     if odd["mixed"]:
-        ids = touched.where("any and __id is not null")
-        rows = _with_fingerprint(docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi"), n)
-        first = (rows["__fp"] == leads["__lead"]) & (rows["doc_id"] == leads["__component"])
-        out = out.union(rows.join(leads, first, "left_semi").drop("__fp"))
+        ids = touched.where("any and id is not null")
+        some = _with_fingerprint(rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), n)
+        first = (F.col("fp") == F.col("lead")) & (F.col("doc_id") == F.col("component"))
+        out = out.union(some.join(leads, first, "left_semi").select("row"))
     if odd["none"]:
-        rows = _with_fingerprint(docs.where(docs["doc_id"].isNull()), n)
-        rows = rows.join(leads.where("__component is null"), rows["__fp"] == leads["__lead"], "left_semi")
-        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        one = rows.groupBy("__fp").agg(F.min_by(row, F.to_json(row)).alias("r"))
-        out = out.union(one.select("r.*"))
-    return out
+        some = _with_fingerprint(rows.where("doc_id is null"), n)
+        some = some.join(leads.where("component is null"), F.col("fp") == F.col("lead"), "left_semi")
+        out = out.union(some.groupBy("fp").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

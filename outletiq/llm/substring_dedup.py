@@ -35,8 +35,10 @@ from outletiq.llm.common import discard, gram_codes, mix, pick, ranges, save, sl
 
 WINDOW, PART = 13, 5
 MULTIPLIER, MULTIPLIER_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-PATHS = "bucket long, content long, doc_id long, start int, n int"
-SEEN = "kind int, h1 long, h2 long, doc_id long, start int, n int"
+PATHS = "bucket long, content long, doc_id long, variant long, start int, n int"
+SEEN = "kind int, h1 long, h2 long, doc_id long, variant long, start int, n int"
+#: Look-ups asked of a document at once; a document that is asked for more is dealt out as several rows.
+ASKED = 20_000
 
 
 def _powers(multiplier: int, n: int) -> np.ndarray:
@@ -89,17 +91,28 @@ def paths_of(texts: pa.Array, window: int, part: int) -> tuple[np.ndarray, ...]:
     return owner[start], bucket[start], content, start - off[owner[start]], n
 
 
+def variants(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``variant``, which tells different texts of one id apart: a hash of the text where an
+    id has several, else 0."""
+    code = F.xxhash64("text")
+    several = (docs.groupBy("doc_id").agg(F.min(code).alias("low"), F.max(code).alias("high"))
+               .where("low <> high").select(F.col("doc_id").alias("many_id")))
+    several = save(several, "repeated-ids")
+    j = docs.join(several, F.col("doc_id") == F.col("many_id"), "left")
+    return j.withColumn("variant", F.when(F.col("many_id").isNull(), F.lit(0)).otherwise(code)).drop("many_id")
+
+
 def paths(docs: DataFrame, window: int, part: int) -> DataFrame:
     """One row per path; rows without an id have none, as they are neither source nor copy of anything."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big, "text", 8 << 20):
                 owner, bucket, content, start, n = paths_of(b.column("text"), window, part)
-                ids = np.asarray(b.column("doc_id"))[owner]
+                ids, variant = (np.asarray(b.column(c))[owner] for c in ("doc_id", "variant"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids),
+                    [pa.array(bucket.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids), pa.array(variant),
                      pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["bucket", "content", "doc_id", "start", "n"])
+                    names=["bucket", "content", "doc_id", "variant", "start", "n"])
 
     return docs.where("doc_id is not null").mapInArrow(run, PATHS)
 
@@ -107,11 +120,17 @@ def paths(docs: DataFrame, window: int, part: int) -> DataFrame:
 def _look_up(docs: DataFrame, requests: DataFrame, window: int) -> DataFrame:
     """What the texts hold at the requested places: edges of opened paths (kind 0), digests of spans (kind 1).
 
-    ``requests`` has doc_id, kind, start, n; those of a document are gathered,
-    at most a few per word of it.
+    ``requests`` has doc_id, variant, kind, start, n. A document's are gathered
+    in parts of about ``ASKED``, each with the text, so a source that a
+    great many documents copy from is spread over many rows.
     """
-    asked = requests.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "n")).alias("asked"))
-    joined = docs.join(asked, "doc_id").select("doc_id", "text", "asked")
+    requests = save(requests, "requests")
+    many = requests.groupBy("doc_id", "variant").agg(F.ceil(F.count("*") / ASKED).alias("parts")).where("parts > 1")
+    many = save(many, "much-asked")
+    dealt = requests.join(many, ["doc_id", "variant"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("kind", "start", "n"), F.coalesce("parts", F.lit(1))))
+    asked = dealt.groupBy("doc_id", "variant", "part").agg(F.collect_list(F.struct("kind", "start", "n")).alias("asked"))
+    joined = docs.join(asked, ["doc_id", "variant"]).select("doc_id", "variant", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -119,7 +138,7 @@ def _look_up(docs: DataFrame, requests: DataFrame, window: int) -> DataFrame:
                 flat, off = split_words(b.column("text"))
                 codes = word_codes(flat, 3)
                 of, (kind, start, n) = _lists(b.column("asked"), "kind", "start", "n")
-                ids = np.repeat(np.asarray(b.column("doc_id")), np.diff(of))
+                ids, variant = (np.repeat(np.asarray(b.column(c)), np.diff(of)) for c in ("doc_id", "variant"))
                 at = np.repeat(off[:-1], np.diff(of)) + start
                 edge = kind == 0
                 place, own = ranges(at[edge], n[edge]), np.repeat(np.flatnonzero(edge), n[edge])
@@ -134,20 +153,20 @@ def _look_up(docs: DataFrame, requests: DataFrame, window: int) -> DataFrame:
                 h1, h2 = (_run_codes(codes, m, place, window).view(np.int64) for m in (MULTIPLIER, MULTIPLIER_2))
                 columns = (np.concatenate([np.zeros(len(place)), np.ones(len(sides))]),
                            np.concatenate([h1, sides[:, 0]]), np.concatenate([h2, sides[:, 1]]),
-                           np.concatenate([ids[own], ids[~edge]]), np.concatenate([first, start[~edge]]),
-                           np.concatenate([np.ones(len(place)), n[~edge]]))
-                kinds = (np.int32, np.int64, np.int64, np.int64, np.int32, np.int32)
+                           np.concatenate([ids[own], ids[~edge]]), np.concatenate([variant[own], variant[~edge]]),
+                           np.concatenate([first, start[~edge]]), np.concatenate([np.ones(len(place)), n[~edge]]))
+                kinds = (np.int32, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, kinds)],
-                                                 names=["kind", "h1", "h2", "doc_id", "start", "n"])
+                                                 names=["kind", "h1", "h2", "doc_id", "variant", "start", "n"])
 
     return joined.mapInArrow(run, SEEN)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
-    """(doc_id, start, n) word spans to remove: all windows that also start in a document with a smaller id.
+    """(doc_id, variant, start, n) word spans to remove: all windows that also start in a document with a smaller id.
 
-    Spans of a document may touch or overlap. ``docs`` has doc_id and text; ids
-    identify documents, rows that repeat an id must repeat its text.
+    Spans of a document may touch or overlap. ``docs`` has doc_id, text and
+    variant (see ``variants``): texts of one id are one document in the order of ids, and each is cut on its own.
     """
     every = save(paths(docs, window, part), "paths")
     shared = every.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"),
@@ -155,50 +174,55 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, part: int = PART) -> D
     shared = save(shared.select("bucket", "branches"), "buckets")
     found = save(every.join(shared, "bucket"), "repeated-paths")
     discard(every, shared)
-    source = save(found.groupBy("bucket", "content").agg(F.min(F.struct("doc_id", "start")).alias("s")), "sources")
-    of = source.select("bucket", "content", F.col("s.doc_id").alias("source_id"), F.col("s.start").alias("source_start"))
+    source = save(found.groupBy("bucket", "content").agg(F.min(F.struct("doc_id", "variant", "start")).alias("s")), "sources")
+    of = source.select("bucket", "content", F.col("s.doc_id").alias("source_id"), F.col("s.variant").alias("source_variant"),
+                       F.col("s.start").alias("source_start"))
     placed = save(found.join(of, ["bucket", "content"]).where("doc_id > source_id or branches")
-                  .select("doc_id", "start", "n", "source_id", "source_start"), "placed")
+                  .select("doc_id", "variant", "start", "n", "source_id", "source_variant", "source_start"), "placed")
     discard(found, source)
     copies = placed.where("doc_id > source_id")
 
     # paths that go on in the document and in its source are one span
-    order = Window.partitionBy("doc_id").orderBy("start")
+    order = Window.partitionBy("doc_id", "variant").orderBy("start")
     apart = F.col("start") - F.col("source_start")
-    goes_on = ((F.lag("source_id").over(order) == F.col("source_id")) & (F.lag("apart").over(order) == apart)
+    goes_on = ((F.lag("source_id").over(order) == F.col("source_id"))
+               & (F.lag("source_variant").over(order) == F.col("source_variant")) & (F.lag("apart").over(order) == apart)
                & (F.lag("start").over(order) + F.lag("n").over(order) == F.col("start")))
-    copies = copies.dropDuplicates(["doc_id", "start"]).withColumn("apart", apart)
+    copies = copies.dropDuplicates(["doc_id", "variant", "start"]).withColumn("apart", apart)
     islands = copies.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-    spans = islands.groupBy("doc_id", "island").agg(
+    spans = islands.groupBy("doc_id", "variant", "island").agg(
         F.min("start").alias("start"), (F.sum("n") + F.lit(window - 1)).cast("int").alias("n"),
-        F.first("source_id").alias("source_id"), F.first("apart").alias("apart"))
+        F.first("source_id").alias("source_id"), F.first("source_variant").alias("source_variant"),
+        F.first("apart").alias("apart"))
     spans = save(spans.withColumn("source_start", F.col("start") - F.col("apart")).drop("island", "apart"), "spans")
 
-    opened = placed.where("doc_id = source_id").select("doc_id", F.lit(0).alias("kind"), "start", "n").distinct()
-    ends = spans.select("doc_id", F.lit(1).alias("kind"), "start", "n").union(
-        spans.select(F.col("source_id").alias("doc_id"), F.lit(1).alias("kind"), F.col("source_start").alias("start"),
-                     "n")).distinct()
+    opened = placed.where("doc_id = source_id").select("doc_id", "variant", F.lit(0).alias("kind"), "start", "n").distinct()
+    ends = spans.select("doc_id", "variant", F.lit(1).alias("kind"), "start", "n").union(
+        spans.select(F.col("source_id").alias("doc_id"), F.col("source_variant").alias("variant"), F.lit(1).alias("kind"),
+                     F.col("source_start").alias("start"), "n")).distinct()
     seen = save(_look_up(docs, opened.union(ends), window), "seen")
     discard(placed)
 
-    edges = seen.where("kind = 0").select("h1", "h2", "doc_id", "start")
+    edges = seen.where("kind = 0").select("h1", "h2", "doc_id", "variant", "start")
     first = save(edges.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                  .where("least <> most").drop("most"), "edges")
-    single = edges.join(first, ["h1", "h2"]).where("doc_id > least").select("doc_id", "start", F.lit(window).alias("n"))
+    single = edges.join(first, ["h1", "h2"]).where("doc_id > least").select(
+        "doc_id", "variant", "start", F.lit(window).alias("n"))
 
-    digest = seen.where("kind = 1").select("doc_id", "start", "n", "h1", "h2").distinct()
-    there = digest.select(F.col("doc_id").alias("source_id"), F.col("start").alias("source_start"), "n",
-                          F.col("h1").alias("s1"), F.col("h2").alias("s2"))
-    verified = spans.join(save(digest, "digests"), ["doc_id", "start", "n"])
-    verified = verified.join(save(there, "source-digests"), ["source_id", "source_start", "n"])
-    return verified.where("h1 = s1 and h2 = s2").select("doc_id", "start", "n").union(single)
+    digest = seen.where("kind = 1").select("doc_id", "variant", "start", "n", "h1", "h2").distinct()
+    there = digest.select(F.col("doc_id").alias("source_id"), F.col("variant").alias("source_variant"),
+                          F.col("start").alias("source_start"), "n", F.col("h1").alias("s1"), F.col("h2").alias("s2"))
+    verified = spans.join(save(digest, "digests"), ["doc_id", "variant", "start", "n"])
+    verified = verified.join(save(there, "source-digests"), ["source_id", "source_variant", "source_start", "n"])
+    return verified.where("h1 = s1 and h2 = s2").select("doc_id", "variant", "start", "n").union(single)
 
 
 def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with all spans of a document gathered, a few per word of it at most."""
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
-    per_doc = per_doc.withColumnRenamed("doc_id", "__id")
-    return docs.join(per_doc, docs["doc_id"] == per_doc["__id"], "left").drop("__id")
+    per_doc = spans.groupBy(F.col("doc_id").alias("of_id"), F.col("variant").alias("of_variant")).agg(
+        F.collect_list(F.struct("start", "n")).alias("spans"))
+    same = (F.col("doc_id") == F.col("of_id")) & (F.col("variant") == F.col("of_variant"))
+    return docs.join(per_doc, same, "left").drop("of_id", "of_variant")
 
 
 def _kept(texts: list[bytes], spans: pa.Array) -> Iterator[tuple[int, list[bytes], bool]]:
@@ -219,16 +243,16 @@ def _kept(texts: list[bytes], spans: pa.Array) -> Iterator[tuple[int, list[bytes
 def summary(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row.
 
-    A null text has no words; a row without id keeps all its words; repeated
-    rows come out alike and are no copies of each other. An empty table gives none.
+    A null text has no words; a row without id keeps all its words; rows of one
+    id are no copies of each other, and equal ones come out alike. An empty table gives none.
     """
-    d = pick(docs, doc_id=id_col, text=text_col)
+    d = variants(pick(docs, doc_id=id_col, text=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, sha = [], [], []
             texts = b.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-            for total, kept, _ in _kept(texts, b.column("__spans")):
+            for total, kept, _ in _kept(texts, b.column("spans")):
                 n.append(total)
                 gone.append(total - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -242,18 +266,23 @@ def summary(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the same rows and columns; texts that lose words become the kept words joined by one space."""
-    place, columns = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    # the whole row is one struct, so no column of it can clash with one that is added here
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    inside = docs.select(row).select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, place):
-                texts = b.column(place).to_pylist()
-                inside = b.column(place).cast(pa.large_binary()).fill_null(b"").to_pylist()
-                for i, (_, kept, fewer) in enumerate(_kept(inside, b.column(columns))):
+            for b in slices(big, "text"):
+                texts = b.column("text").to_pylist()
+                plain = b.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
+                for i, (_, kept, fewer) in enumerate(_kept(plain, b.column("spans"))):
                     if fewer:
                         texts[i] = b" ".join(kept).decode()
-                arrays = [pa.array(texts, b.schema.field(place).type) if k == place else b.column(k) for k in range(columns)]
-                yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names[:columns])
+                fields = dict(zip(names, b.column("row").flatten()))
+                fields["text"] = pa.array(texts, fields["text"].type)
+                yield pa.RecordBatch.from_arrays(list(fields.values()), names=names)
 
-    spans = repeated_spans(docs.select("doc_id", "text"), window)
-    return _cut(docs, spans).mapInArrow(run, docs.schema)
+    known = variants(inside)
+    spans = repeated_spans(known.select("doc_id", "text", "variant"), window)
+    return _cut(known, spans).select("row", "text", "spans").mapInArrow(run, docs.schema)

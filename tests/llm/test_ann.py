@@ -49,12 +49,25 @@ def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0], 1), (50, [0.0, 1.0, 0.0], 1), (1, [2.0, 0.0, 0.0], 1), (2, [1.0, 1.0, 0.0], None),
             (100, None, 1), (150, [0.0, 0.0, 0.0], 1), (200, [1.0, nan, 0.0], 1), (250, [1.0, None, 0.0], 1),
-            (3, [inf, 0.0, 0.0], 1), (4, [1.0, 2.0], 1), (5, [], 1), (None, [1.0, 0.0, 0.0], 1), (2, [1.0, 1.0, 0.0], 7)]
+            (3, [inf, 0.0, 0.0], 1), (4, [1.0, 2.0], 1), (300, [2.0, 1.0], 1), (5, [], 1), (None, [1.0, 0.0, 0.0], 1), (2, [1.0, 1.0, 0.0], 7)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("block", ann.F.lit("x")).withColumn("score", ann.F.lit("y"))
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in
                  ann.search(df, ann.F.col("vec_id") % 50 == 0).collect())
     half = round(math.sqrt(0.5), 6)
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, half), (0, 3, 2, half), (0, 4, 50, 0.0),
-                   (50, 1, 2, half), (50, 2, 2, half), (50, 3, 0, 0.0), (50, 4, 1, 0.0)]
+                   (50, 1, 2, half), (50, 2, 2, half), (50, 3, 0, 0.0), (50, 4, 1, 0.0), (300, 1, 4, 0.8)]
     assert ann.search(df.limit(0), ann.F.col("vec_id") % 50 == 0).count() == 0
     assert ann.search(df.where("vec_id = 1"), ann.F.col("vec_id") == 1).count() == 0
+
+
+def test_lengths_and_very_large_components(spark):
+    rnd = random.Random(6)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(100 + i, [float(i), 1.0]) for i in range(11)]
+    rows += [(150, [3.0, 4.0]), (1000, [1e200, 0.0, 0.0, 0.0]), (1001, [3e200, 4e200, 0.0, 0.0]), (1050, [1e-200, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {}
+    for r in ann.search(df, ann.F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [0, 50, 100, 150, 1000, 1050] and all(len(g) == 5 for g in got.values())
+    assert all(100 <= v <= 150 for q in (100, 150) for _, v, _ in got[q])
+    assert sorted(got[1000])[0][1:] == (1050, 1.0) and all(np.isfinite(s) for g in got.values() for *_, s in g)

@@ -24,6 +24,21 @@ def test_small_case(spark, make_docs):
     assert line_dedup.drop_boilerplate(make_docs([]), 0.5, 3).count() == 0
 
 
+def test_any_column_names_and_repeated_ids(spark, make_docs):
+    rows = [(i, f"top\nbody {i}", "en", "a") for i in range(6)] + [(7, "top\nseven", "en", "b")] * 5 + [(8, "x", "en", "b")] * 9
+    clash = {"__host": "h", "__all": "a", "every": "e", "of_host": "o", "lines": "l", "kept": "k", "row": "r", "a.b": "dot"}
+    docs = make_docs(rows)
+    for name, value in clash.items():
+        docs = docs.withColumn(name, line_dedup.F.array(line_dedup.F.lit(value)))
+    got = line_dedup.drop_boilerplate(docs, 0.3, 5)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = got.collect()
+    assert all(r[n] == [v] for r in got for n, v in clash.items())
+    # each row is a page, also where an id repeats: 5 of 14 pages of b hold the line
+    assert {(r.doc_id, r.text) for r in got if r.doc_id > 6} == {(7, ""), (8, "")}
+    assert {r.text for r in got if r.doc_id < 6} == {f"body {i}" for i in range(6)}
+
+
 def test_matches_sql(spark):
     sf = "/root/testdata/sf0.001"
     got, want = QUERIES["op10_line_dedup"](spark, sf), duck(sf).execute(ORACLES["op10_line_dedup"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -46,8 +47,45 @@ def test_best_step_is_the_best_of_all_steps(a, b):
             d = sum(lengths[j] for j in back) - sum(lengths[i] for i in out)
             if 0 < d <= capacity - fa and (fa + d) ** 2 + (fb - d) ** 2 > fa * fa + fb * fb:
                 best = max(best, d)
-    step = packing._best_step(ia, ib, lengths, capacity - fa, fa, fb)
+    under = packing._Underfull([ia, ib], lengths)
+    under.add(1)
+    step = packing._step(0, under, capacity - fa)
     assert (step[0] if step else 0) == best
+    if step:
+        d, out, b, back = step
+        assert b == 1 and d == sum(lengths[j] for j in back) - sum(lengths[i] for i in out)
+        assert set(out) <= set(ia) and set(back) <= set(ib)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=60), st.integers(30, 50))
+def test_search_ends_where_no_step_is_left(lengths, capacity):
+    last = packing.local_search(packing.best_fit(lengths, capacity), lengths, capacity)
+    fill = fills(last, lengths)
+    assert sum(f <= capacity // 2 for f in fill) <= 1
+    for a, fa in zip(last, fill):
+        for b, fb in zip(last, fill):
+            if a is b or not fb <= fa < capacity:
+                continue
+            for out in [(), *((i,) for i in a), *combinations(a, 2)]:
+                for back in [*((j,) for j in b), *(combinations(b, 2) if len(out) < 2 else ())]:
+                    d = sum(lengths[j] for j in back) - sum(lengths[i] for i in out)
+                    assert not 0 < d <= capacity - fa
+
+
+def test_lengths_that_best_fit_packs_badly():
+    rnd = random.Random(1)
+    lengths = [rnd.randint(500, 900) for _ in range(6000)]
+    first = packing.best_fit(lengths, 2048)
+    last = packing.pack(lengths, 2048)
+    assert len(first) > 2290 and len(last) <= 2175  # a search cut to 64 partners and 8 passes ends at 2183
+
+
+def test_bins_of_very_many_items():
+    rnd = random.Random(3)
+    lengths = [rnd.randint(1, 40) for _ in range(3000)] + [2030] * 20
+    last = packing.pack(lengths, 2048)
+    assert len(last) <= -(-sum(lengths) // 2048) + 1 and sorted(i for b in last for i in b) == list(range(3020))
 
 
 def test_swaps_empty_a_bin():
@@ -87,4 +125,8 @@ def test_groups(spark):
     got = packing.pack_pieces(pieces, 128, group_rows=100)
     total = pieces.agg({"length": "sum"}).first()[0]
     assert got.count() == 1000
-    assert got.select("sequence_id").distinct().count() <= -(-total // 128) + 10
+    fill = got.groupBy("sequence_id").agg(packing.F.sum("length").alias("n")).collect()
+    assert len(fill) <= -(-total // 128) + 2  # the groups' leftovers share their bins
+    assert sum(r.n <= 64 for r in fill) <= 1
+    small = spark.range(3000).selectExpr("id as uid", "id as doc_id", "0 as piece", "1L as length")
+    assert packing.pack_pieces(small, 2048, group_rows=100).select("sequence_id").distinct().count() == 2

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -53,7 +54,8 @@ def test_records_round_trip(spark, make_docs):
     rows = [(5 - i if i != 3 else None, t) for i, t in enumerate(ODD)] + [(7, "word " * 30000), (7, "again"), (7, "again")]
     got = records.token_records(make_docs(rows).withColumn("start", records.F.lit("x")), BYTE, 2).collect()
     want, start = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    code = lambda t: 42 if t is None else int(np.int64(np.uint64(xxhash.xxh64_intdigest(t, 42))))
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, code(r[1]))):
         ids = expected(BYTE, [text])[0] + [2]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -85,3 +87,31 @@ def test_damage_is_noticed():
             records.read_frame(io.BytesIO(bytes(bad)))
     with pytest.raises(ValueError):
         records.read_frame(io.BytesIO(good[:-2]))
+
+
+def test_a_folder_without_a_scheme_is_the_default_file_systems(spark, tmp_path):
+    assert records.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert records.qualified(spark, f"file://{tmp_path}/x") == f"file:{tmp_path}/x"
+    for uri in (f"file:{tmp_path}", f"file://{tmp_path}"):
+        fs, root = records._store(uri)
+        assert root == str(tmp_path)
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://shared/")
+    conf.set("fs.viewfs.mounttable.shared.link./data", f"file://{tmp_path}")
+    try:
+        assert records.qualified(spark, "/data/x") == "viewfs://shared/data/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_one_id_is_spread_over_tasks(spark, make_docs):
+    rows = [(7, f"text {i}") for i in range(3000)] + [(7, "the same")] * 3000 + [(None, "n")] * 500
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = records.new_path(spark, "spread")
+        index = records.write_records(make_docs(rows, 8), path, BYTE, 2)
+        sizes = [r["count"] for r in index.groupBy("part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 6500 and len(sizes) >= 6 and max(sizes) < 2500

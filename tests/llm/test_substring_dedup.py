@@ -67,6 +67,51 @@ def test_odd_rows(spark, make_docs):
     assert sd.summary(make_docs([])).count() == 0
 
 
+def test_ids_with_several_texts_and_any_column_names(spark, make_docs):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long), (1, "three short words"), (2, long), (2, "own words " + long[:300]), (2, "three short words"), (3, long)]
+    docs = make_docs(rows)
+    clash = ("__id", "__spans", "spans", "row", "variant", "many_id", "of_id", "a.b")
+    for name in clash:
+        docs = docs.withColumn(name, sd.F.lit(name))
+    got = rows_of(sd.summary(docs))
+    want = {t: r for (i, t), r in zip(sorted(rows), brute_by_row(sorted(rows)))}
+    assert got == sorted(brute_by_row(rows), key=str) and want
+    cut = sd.drop_repeats(docs)
+    assert cut.schema == docs.schema
+    cut = cut.collect()
+    assert all(r[n] == n for r in cut for n in clash)
+    texts = sorted((r.doc_id, r.text) for r in cut)
+    assert texts[:2] == [(1, "three short words"), (1, long)] and texts[-1] == (3, "")
+    assert texts[2] == (2, "") and texts[4] == (2, "three short words") and texts[3][1].startswith("own words")
+
+
+def brute_by_row(rows, k=13):
+    """As ``brute``, each row of an id on its own."""
+    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for a in range(len(w) - k + 1):
+            first[tuple(w[a:a + k])] = min(first.get(tuple(w[a:a + k]), i), i)
+    out = []
+    for i, w in words:
+        gone = {a + x for a in range(len(w) - k + 1) if first[tuple(w[a:a + k])] < i for x in range(k)}
+        kept = " ".join(x for a, x in enumerate(w) if a not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def test_a_source_that_very_many_copy(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sd, "ASKED", 20)
+    source = [f"w{i}" for i in range(2000)]
+    rnd = random.Random(4)
+    rows = [(0, " ".join(source))]
+    for i in range(1, 200):
+        a = rnd.randrange(1900)
+        rows.append((i, f"o{i} p{i} " + " ".join(source[a:a + rnd.randrange(13, 60)]) + f" q{i}"))
+    assert rows_of(sd.summary(make_docs(rows))) == brute(rows)
+
+
 def test_other_windows(spark, make_docs):
     rnd = random.Random(9)
     rows = [(i, " ".join(rnd.choice("ab") for _ in range(rnd.randrange(40)))) for i in range(40)]
