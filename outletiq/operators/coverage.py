@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.joins import small
 from ..sources.facts import Facts
+from .staging import once
 
 # Brand classification rules of the order lines (PRJ11), in order.
 TBA_SLUG = ".Olper TBA"
@@ -89,20 +90,24 @@ def visit_brand_long(facts: Facts, window: tuple, town: str) -> tuple[DataFrame,
     per (visit, brand) with that brand's NMV.
     """
     vr = coverage_visits(facts, window, town).withColumn("visit_id", _visit_id())
-    visits = vr.groupBy("visit_id", "visit_date", "store_code", "booker_name").agg(
+    visits = once(vr.groupBy("visit_id", "visit_date", "store_code", "booker_name", "doc_no").agg(
         F.max("store_name").alias("store_name"), F.max("visit_complete").alias("visit_complete"),
-        F.max("non_productive").alias("non_productive"))
-    s = coverage_sales(facts, window, town)
-    by_doc = s.where(F.col("doc_no").isNotNull()).groupBy("store_code", "doc_no", "brand") \
+        F.max("non_productive").alias("non_productive")), "visits")
+    text, none = lambda c: F.col(c).cast("string"), F.lit(None).cast("string")
+    # JN12: one link key, either (store, document) or (store, booker, day); a key with a gap links nothing
+    by_doc = F.struct(text("store_code").alias("store"), none.alias("booker"), none.alias("day"), text("doc_no").alias("doc"))
+    by_day = F.struct(text("store_code").alias("store"), text("booker_name").alias("booker"),
+                      text("visit_date").alias("day"), none.alias("doc"))
+    has_doc = F.col("doc_no").isNotNull() & F.col("store_code").isNotNull()
+    has_day = F.col("booker_name").isNotNull() & F.col("visit_date").isNotNull() & F.col("store_code").isNotNull()
+    sales = coverage_sales(facts, window, town).groupBy("store_code", "booker_name", "visit_date", "doc_no", "brand") \
         .agg(F.sum("nmv").alias("nmv"))
-    by_day = s.groupBy("store_code", "booker_name", "visit_date", "brand").agg(F.sum("nmv").alias("nmv"))
-    doc_links = vr.where(F.col("doc_no").isNotNull()).select("visit_id", "store_code", "doc_no").distinct()
-    day_links = vr.where(F.col("doc_no").isNull()) \
-        .select("visit_id", "store_code", "booker_name", "visit_date").distinct()
-    a = doc_links.join(by_doc, ["store_code", "doc_no"]).select("visit_id", "brand", "nmv")
-    b = day_links.join(by_day, ["store_code", "booker_name", "visit_date"]).select("visit_id", "brand", "nmv")
-    long = a.unionByName(b).groupBy("visit_id", "brand").agg(F.sum("nmv").alias("nmv"))
-    return visits, long
+    keys = F.array_compact(F.array(F.when(has_doc, by_doc), F.when(has_day, by_day)))
+    sold = sales.select(F.explode(keys).alias("link"), "brand", "nmv").groupBy("link", "brand").agg(F.sum("nmv").alias("nmv"))
+    link = F.when(F.col("doc_no").isNotNull(), F.when(has_doc, by_doc)).otherwise(F.when(has_day, by_day))
+    links = visits.select("visit_id", link.alias("link")).where("link is not null").distinct()
+    long = links.join(sold, "link").groupBy("visit_id", "brand").agg(F.sum("nmv").alias("nmv"))
+    return visits.drop("doc_no"), long
 
 
 def visit_coverage(facts: Facts, window: tuple, town: str, brands) -> DataFrame:
@@ -198,8 +203,8 @@ def last_visit_gap(c3: DataFrame, brands) -> DataFrame:
     d = c3.where(F.col("store_code").isNotNull() & (F.col("store_code") != ""))
     sold = [f"sold_{brand_col(b)}" for b in brands]
     day = d.groupBy("store_code", "visit_date").agg(*[F.max(s).alias(s) for s in sold])
-    last = day.groupBy("store_code").agg(F.max("visit_date").alias("visit_date"))
-    ld = day.join(last, ["store_code", "visit_date"], "left_semi")
+    ld = day.groupBy("store_code").agg(F.max_by(F.struct(*sold), "visit_date").alias("last")) \
+        .where("last is not null").select("store_code", "last.*")
     r = _brand_rows(ld, brands)
     g = r.groupBy("brand").agg(F.count(F.lit(1)).alias("shops"), F.count_if(~F.col("sold")).alias("miss_count"))
     return g.select("brand", "miss_count", "shops",
@@ -258,17 +263,14 @@ def shop_table(c3: DataFrame, brands, missed_only: bool = False, top: int | None
 
     A shop-day counts once: its NMV is that of the day's last visit (by id)."""
     sold = [f"sold_{brand_col(b)}" for b in brands]
-    day = c3.groupBy("store_code", "visit_date").agg(*[F.max(s).alias(s) for s in sold])
-    last = day.groupBy("store_code").agg(F.max("visit_date").alias("visit_date"))
-    ld = day.join(last, ["store_code", "visit_date"], "left_semi") \
-        .select("store_code", F.col("visit_date").alias("last_visit"),
-                *[F.col(s).alias(f"last_{s}") for s in sold])
-    once = c3.groupBy("store_code", "visit_date").agg(F.max("store_name").alias("store_name"),
-                                                      F.max_by("total_nmv", "visit_id").alias("total_nmv"))
-    tot = once.groupBy("store_code").agg(F.max("store_name").alias("store_name"),
-                                         F.count("*").alias("visit_days"),
-                                         F.round(F.sum("total_nmv"), 4).alias("total_nmv"))
-    t = tot.join(ld, "store_code")
+    day = c3.groupBy("store_code", "visit_date").agg(
+        F.max("store_name").alias("store_name"), F.max_by("total_nmv", "visit_id").alias("total_nmv"),
+        F.struct(*[F.max(s).alias(f"last_{s}") for s in sold]).alias("flags"))
+    t = day.groupBy("store_code").agg(
+        F.max("store_name").alias("store_name"), F.count("*").alias("visit_days"),
+        F.round(F.sum("total_nmv"), 4).alias("total_nmv"), F.max("visit_date").alias("last_visit"),
+        F.max_by("flags", "visit_date").alias("flags")).where("store_code is not null and last_visit is not null")
+    t = t.select("store_code", "store_name", "visit_days", "total_nmv", "last_visit", "flags.*")
     if missed_only:  # at least one chosen brand not sold at the last visit
         n_sold = sum((F.col(f"last_{s}").cast("int") for s in sold), F.lit(0))
         t = t.where(n_sold < len(sold))

@@ -14,6 +14,7 @@ from ..functions.joins import small
 from ..operators.targets import targets_for_window
 from ..sources.dims import sku_by_code, universe_by_store
 from ..sources.facts import Facts
+from .staging import once
 
 # Performance-score weights (F8) and segment/brand-focus limits.
 SCORE_WEIGHTS = {"revenue": 0.35, "strike_rate": 0.25, "calls_per_day": 0.15,
@@ -154,42 +155,64 @@ def orders_placed(facts: Facts, window: tuple, town: str,
         F.count_distinct("order_number").alias("orders_placed")).orderBy("order_date", "booker")
 
 
+def _booker_metrics(facts: Facts, window: tuple, town: str, channels: list[str] | None) -> DataFrame:
+    """Order metrics of F7 from one read of the order lines.
+
+    Each line becomes one row per metric it counts in: (tag, booker name or
+    null, one or two values). A first aggregate over all of that makes the values distinct, a second one
+    counts them by booker; what a booker has as a whole is spread to the rows
+    of its names, which are a few."""
+    cols = ["booker_code", "booker_name", "delivery_date", "invoice_number", "store_code",
+            "sku_code", "delivered_amount", "total_discount"]
+    hist = _scoped_orders(facts, cols, town, channels=channels, need_universe=True)
+    text, none = lambda c: F.col(c).cast("string"), F.lit(None).cast("string")
+
+    def row(tag: str, name, a, b=none):
+        return F.struct(F.lit(tag).alias("tag"), name.alias("name"), a.alias("a"), b.alias("b"))
+
+    first = F.array(row("first", none, text("store_code")))  # all history
+    now = F.array(row("sale", text("booker_name"), text("invoice_number")),
+                  row("outlet", text("booker_name"), text("store_code")),
+                  row("bill", none, text("invoice_number")),
+                  row("line", none, text("invoice_number"), text("sku_code")),
+                  row("channel", none, X.channel_or_default("channel_type").cast("string")))
+    tagged = hist.select("booker_code", "delivery_date", X.nmv().alias("nmv"), F.explode(
+        F.when(P.between("delivery_date", window), F.concat(now, first)).otherwise(first)).alias("m"))
+    one = tagged.groupBy("booker_code", "m").agg(F.count(F.lit(1)).alias("n"), F.sum("nmv").alias("nmv"),
+                                                 F.min("delivery_date").alias("first_date"))
+    is_tag = lambda t: F.col("m.tag") == t
+    has = lambda t: is_tag(t) & F.col("m.a").isNotNull()
+    g = one.groupBy("booker_code", F.col("m.name").alias("booker_name")).agg(
+        F.count_if(is_tag("sale")).alias("lines"),
+        F.round(F.sum(F.when(is_tag("sale"), F.col("nmv"))), 0).alias("revenue"),
+        F.count_if(has("sale")).alias("orders"), F.count_if(has("outlet")).alias("active_outlets"),
+        F.count_if(has("bill")).alias("bills"), F.count_if(has("line") & F.col("m.b").isNotNull()).alias("skus"),
+        F.count_if(has("first") & P.between("first_date", window)).alias("new_outlets"),
+        F.min_by(F.when(is_tag("channel"), F.col("m.a")),
+                 F.when(is_tag("channel"), F.struct((-F.col("n")).alias("n"), F.col("m.a").alias("a")))).alias("region"))
+    of_booker = W.partitionBy("booker_code")
+    known = F.col("booker_code").isNotNull()
+    whole = {c: F.when(known, F.max(c).over(of_booker)) for c in ("bills", "skus", "new_outlets", "region")}
+    return g.select("booker_code", "booker_name", "lines", "revenue", "orders", "active_outlets",
+                    *[v.alias(c) for c, v in whole.items()]).where("lines > 0")
+
+
 # ----------------------------------------------------------------- F7–F12
 def leaderboard(facts: Facts, window: tuple, town: str,
                 channels: list[str] | None = None) -> DataFrame:
     """per booker: revenue, orders, active outlets, main channel (most
     lines; ties by name), calls, new outlets (first-ever delivery inside the
     window), SKU per bill and target of the months touched."""
-    cols = ["booker_code", "booker_name", "delivery_date", "invoice_number", "store_code",
-            "sku_code", "delivered_amount", "total_discount"]
-    hist = _scoped_orders(facts, cols, town, channels=channels, need_universe=True)
-    f = hist.where(P.between("delivery_date", window))
-    sales = f.groupBy("booker_code", "booker_name").agg(
-        F.round(F.sum(X.nmv()), 0).alias("revenue"),
-        F.count_distinct("invoice_number").alias("orders"),
-        F.count_distinct("store_code").alias("active_outlets"))
-    ch = f.groupBy("booker_code", X.channel_or_default("channel_type").alias("region")) \
-          .agg(F.count(F.lit(1)).alias("n"))
-    ch = ch.withColumn("rn", F.row_number().over(
-        W.partitionBy("booker_code").orderBy(F.desc("n"), "region"))).where("rn = 1") \
-        .select("booker_code", "region")
+    sales = _booker_metrics(facts, window, town, channels).withColumn(
+        "sku_per_bill", F.round(F.try_divide(F.col("skus").cast("double"), F.col("bills").cast("double")), 2))
     v = visits(facts, window, town)
     calls = v.groupBy("booker").agg(
         F.count(F.lit(1)).alias("planned_calls"),
         F.count_if(F.col("visit_complete") == "Yes").alias("executed_calls"),
         F.count_distinct("visit_date").alias("call_days"))
-    first = hist.groupBy("booker_code", "store_code").agg(F.min("delivery_date").alias("first_date"))
-    new = first.where(P.between("first_date", window)).groupBy("booker_code") \
-        .agg(F.count_distinct("store_code").alias("new_outlets"))
-    skub = f.groupBy("booker_code").agg(
-        F.round(F.try_divide(F.count_distinct("invoice_number", "sku_code").cast("double"),
-                             F.count_distinct("invoice_number").cast("double")), 2)
-        .alias("sku_per_bill"))
     tgt = targets_for_window(facts, town, window).groupBy("booker_code") \
         .agg(F.round(F.sum(F.coalesce("target", F.lit(0))), 0).alias("target_value"))
-    j = (sales.join(ch, "booker_code", "left")
-              .join(calls, sales.booker_name == calls.booker, "left")
-              .join(new, "booker_code", "left").join(skub, "booker_code", "left")
+    j = (sales.join(calls, sales.booker_name == calls.booker, "left")
               .join(tgt, "booker_code", "left"))
     tv = F.coalesce("target_value", F.lit(0))
     return j.select(
@@ -214,6 +237,7 @@ def performance_score(f7: DataFrame, bookers: list[str] | None = None) -> DataFr
     if bookers:
         f7 = f7.where(F.col("booker").isin(*bookers))
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    f7 = once(f7)  # the rows and their limits are read from one written table, a row per booker
     b = f7.select(
         "booker", "booker_code",
         z("revenue").alias("revenue"),
@@ -222,12 +246,13 @@ def performance_score(f7: DataFrame, bookers: list[str] | None = None) -> DataFr
         F.when(z("call_days") > 0, z("planned_calls") / z("call_days"))
          .otherwise(F.lit(0.0)).alias("calls_per_day"),
         z("new_outlets").alias("new_outlets"), z("avg_order_val").alias("avg_order_val"))
+    # One row with both limits of every metric, as a scalar: no window over all bookers.
+    ends = [f(m).alias(f"{side}_{m}") for m in SCORE_WEIGHTS for side, f in (("lo", F.min), ("hi", F.max))]
+    b = b.withColumn("ends", b.agg(F.struct(*ends)).scalar())
     score = F.lit(0.0)
     for m, wgt in SCORE_WEIGHTS.items():
-        # One-row aggregates as scalar subqueries: no window over all bookers.
-        lo, hi = b.agg(F.min(m)).scalar(), b.agg(F.max(m)).scalar()
-        norm = F.when(hi > lo, (F.col(m) - lo) / (hi - lo)).otherwise(F.lit(0.5))
-        score = score + norm * wgt
+        lo, hi = F.col("ends")[f"lo_{m}"], F.col("ends")[f"hi_{m}"]
+        score = score + F.when(hi > lo, (F.col(m) - lo) / (hi - lo)).otherwise(F.lit(0.5)) * wgt
     return b.select("*", F.round(score * 100.0, 4).alias("perf_score")) \
         .select("booker", "booker_code", F.round("strike_rate", 4).alias("strike_rate"),
                 F.round("calls_per_day", 4).alias("calls_per_day"), "revenue", "new_outlets",
@@ -237,6 +262,7 @@ def performance_score(f7: DataFrame, bookers: list[str] | None = None) -> DataFr
 
 def top_bottom(f8: DataFrame, n: int = 5) -> DataFrame:
     """top ``n`` and bottom ``n`` bookers by score (ties by name)."""
+    f8 = once(f8)
     def end(side: str, order) -> DataFrame:
         best = f8.select("booker", "perf_score").orderBy(*order).limit(n)
         rank = F.row_number().over(W.partitionBy(F.lit(side)).orderBy(*order))  # at most n rows
@@ -435,6 +461,7 @@ def sku_per_bill(facts: Facts, window: tuple, town: str, channels=None, bookers=
 
 def sku_per_bill_vs_mean(f7: DataFrame) -> DataFrame:
     """SKU per bill per booker against the plain mean over bookers."""
+    f7 = once(f7)
     mean = f7.agg(F.avg("sku_per_bill")).scalar()
     return f7.select("booker", "sku_per_bill", F.round(mean, 4).alias("mean_sku_per_bill"),
                      F.round(F.col("sku_per_bill") - mean, 4).alias("diff")).orderBy("booker")

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import exprs as X
+from ..functions.asof import asof_join
 from ..functions.joins import calendar, month_calendar, small
 from ..functions.periods import add_months
 from ..params import TOWNS
 from ..sources.facts import Facts
+from .staging import once
 
 # Health-band limits and dead-stock rule.
 PAR_COVER_DAYS = 14.0
@@ -119,6 +121,7 @@ def inventory_kpi(facts: Facts, town: str, end: dt.date) -> DataFrame:
 
 def kpi_delta(i4: DataFrame) -> DataFrame:
     """Current − previous per KPI; for OOS SKUs a fall is the good direction."""
+    i4 = once(i4)  # two rows
     cur = i4.where(F.col("period") == "current").drop("period", "report_date")
     prev = i4.where(F.col("period") == "previous").drop("period", "report_date")
     metrics = [c for c in cur.columns]
@@ -176,6 +179,19 @@ def stock_movement(facts: Facts, town: str, end: dt.date, carry_forward: bool =
         .orderBy("report_date")
 
 
+def stock_as_of_delivery(facts: Facts, window: tuple, town: str) -> DataFrame:
+    """JN9 per row: units and value delivered per SKU and day, with the SKU's latest
+    stock snapshot (value unit) that is not later than the day."""
+    f = facts.orders_fact(["sku_code", "delivery_date", "order_units", "delivered_amount", "total_discount"],
+                          delivery=window, distributor=town)
+    sold = f.groupBy("sku_code", "delivery_date").agg(
+        F.sum(F.coalesce("order_units", F.lit(0))).cast("double").alias("units"),
+        X.dbl(F.round(F.sum(_money()), 4)).alias("delivered_value"))
+    s = _value_unit(_stock(facts, town)).select("sku_code", "report_date", X.dbl("value").alias("stock_value"))
+    s = s.withColumn("snapshot_date", F.col("report_date"))
+    return asof_join(sold, s, ["sku_code"], "delivery_date", "report_date", ["snapshot_date", "stock_value"])
+
+
 def _sku_category(facts: Facts, town: str) -> DataFrame:
     """Category of each SKU at its latest delivery (all history); one per SKU (Q7)."""
     f = facts.orders_fact(["sku_code", "delivery_date", "category_name"], distributor=town)

@@ -39,8 +39,8 @@ def target_period_options(facts: Facts, town: str) -> DataFrame:
 
 def latest_visit_date(facts: Facts, town: str) -> DataFrame:
     """SRC9: latest valid visit date of one distributor (one row)."""
-    v = facts.visit_days(distributor=town).where(F.col("visit_date").isNotNull())
-    return v.agg(F.max("visit_date").alias("latest_visit_date"))
+    v = facts.account_dates("visits_fact", "visit_date").where(F.col("account_label") == town)
+    return v.agg(F.max("day").alias("latest_visit_date"))
 
 
 def window_with_fallback(facts: Facts, window: tuple, town: str, days: int = 30) -> tuple:

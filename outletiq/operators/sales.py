@@ -479,10 +479,10 @@ def aov_mopu(facts: Facts, town: str, as_of: dt.date, months_back: int = 6) -> D
 
 def account_freshness(facts: Facts, distributors: list[str] | None = None) -> DataFrame:
     """M23 / SRC8: latest order date per distributor (optionally a fixed list)."""
-    f = facts.order_days()
+    f = facts.account_dates("orders_fact", "order_date").withColumnRenamed("account_label", "distributor_code")
     if distributors:
         f = f.where(F.col("distributor_code").isin(*distributors))
-    return f.groupBy("distributor_code").agg(F.max("order_date").alias("latest_order_date")) \
+    return f.groupBy("distributor_code").agg(F.max("day").alias("latest_order_date")) \
         .orderBy("distributor_code")
 
 

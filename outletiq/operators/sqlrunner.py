@@ -3,6 +3,9 @@
 A guard looks at the statement before anything reaches ``spark.sql`` (which
 would execute DDL/DML eagerly). It reads the text as tokens, so comments,
 string literals and quoted names are told apart from code wherever they stand.
+Then Spark's own parser makes the logical plan of the text, and only plans of
+query nodes over registered views and tables pass: no commands, no scripts, no files named as
+relations, no functions that reach outside the engine.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
+from py4j.java_gateway import JavaObject, is_instance_of
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.facts import Facts
@@ -17,6 +22,15 @@ from ..sources.facts import Facts
 PREVIEW_MIN, PREVIEW_MAX, PREVIEW_DEFAULT = 10, 5000, 500
 # Functions by which a SELECT can run code outside the engine.
 OUTSIDE = ("reflect", "try_reflect", "java_method")
+# What a parsed query may consist of. Everything else is refused, commands and scripts
+# among them, and relations or functions named by an expression.
+QUERY_NODES = frozenset("""Aggregate CTERelationRef Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin
+Limit LocalLimit LocalRelation Offset OneRowRelation Pivot Project ResolvedHint Sample Sort SubqueryAlias Tail Union
+UnresolvedGroupByAll UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedSubqueryColumnAliases
+UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedWith Unpivot UnresolvedRelation Window WithWindowDefinition""".split())
+# Functions that make rows and read nothing.
+TABLE_FUNCTIONS = ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer",
+                   "stack", "json_tuple")
 
 
 class UnsafeQuery(ValueError):
@@ -76,9 +90,68 @@ def check_select(text: str) -> str:
     return "".join(t for _, t in seen).strip()
 
 
-def safe_select(spark: SparkSession, text: str) -> DataFrame:
-    """SQL1: the guarded SELECT, all of its rows."""
-    return spark.sql(check_select(text))
+def _parts(spark: SparkSession, tree: JavaObject) -> Iterator[tuple[str, JavaObject]]:
+    """(class name, object) of everything in a parsed plan: its nodes, their expressions, subqueries and lists."""
+    gateway = spark.sparkContext._gateway
+    waiting = [tree]
+    while waiting:
+        x = waiting.pop()
+        if not isinstance(x, JavaObject):
+            continue
+        if is_instance_of(gateway, x, "scala.collection.Iterable"):
+            it = x.iterator()
+        elif is_instance_of(gateway, x, "scala.Product"):
+            yield x.getClass().getName().rsplit(".", 1)[-1].rstrip("$"), x
+            it = x.productIterator()
+        else:
+            continue
+        while it.hasNext():
+            waiting.append(it.next())
+
+
+def _words(seq: JavaObject) -> list[str]:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def check_plan(spark: SparkSession, text: str, views: list[str] | None = None) -> str:
+    """SQL1 guard by plan: query nodes over ``views`` only (by default the session's views and
+    the current database's tables, by their own names). Returns the text."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except ParseException as e:
+        raise UnsafeQuery(f"not a query: {e}") from e
+    names = {v.lower() for v in (views if views is not None else [t.name for t in spark.catalog.listTables()])}
+    gateway = spark.sparkContext._gateway
+    relations = []
+    for kind, x in _parts(spark, plan):
+        if is_instance_of(gateway, x, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
+            if kind not in QUERY_NODES:
+                raise UnsafeQuery(f"not allowed in a query: {kind}")
+            if kind == "UnresolvedRelation":
+                relations.append(_words(x.multipartIdentifier()))
+            elif kind == "UnresolvedWith":  # names that the query itself defines
+                names |= {n.lower() for n in _cte_names(x)}
+            elif kind == "UnresolvedTableValuedFunction" and _words(x.name())[-1].lower() not in TABLE_FUNCTIONS:
+                raise UnsafeQuery(f"not allowed in a query: {'.'.join(_words(x.name()))}")
+        elif kind == "UnresolvedFunction":
+            if _words(x.nameParts())[-1].lower() in OUTSIDE:
+                raise UnsafeQuery(f"not allowed in a query: {'.'.join(_words(x.nameParts()))}")
+        elif "UnresolvedIdentifier" in kind:
+            raise UnsafeQuery("names must be written out in a query")
+    for parts in relations:
+        if len(parts) != 1 or parts[0].lower() not in names:
+            raise UnsafeQuery(f"no such table or view: {'.'.join(parts)}")
+    return text
+
+
+def _cte_names(node: JavaObject) -> list[str]:
+    relations = node.cteRelations()
+    return [relations.apply(i)._1() for i in range(relations.size())]
+
+
+def safe_select(spark: SparkSession, text: str, views: list[str] | None = None) -> DataFrame:
+    """SQL1: the guarded SELECT over ``views`` (see ``check_plan``), all of its rows."""
+    return spark.sql(check_plan(spark, check_select(text), views))
 
 
 def preview(spark: SparkSession, text: str, limit: int = PREVIEW_DEFAULT) -> DataFrame:

@@ -1,99 +1,28 @@
-"""Staged, recoverable overwrites of partitioned parquet tables.
-
-A load never reads and overwrites one path in a single plan. The new contents of
-the touched partitions are written to the shared folder first, then a journal
-inside the table names that stage and the partitions that end up empty. Only
-then are partitions overwritten and emptied ones deleted; the journal and the
-stage go last. A load that died in between is finished by the next one from the
-journal, which gives the same table however often it is repeated.
-"""
+"""Tables staged in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_dir
+from ..session import scratch_path
 from ..sources.tables import exists
 
-__all__ = ["delete", "dynamic_overwrite", "exists", "overwrite_partitions", "recover", "stage"]
-
-JOURNAL = "_pending_load.json"  # readers of the table skip names with a leading underscore
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+__all__ = ["delete", "exists", "once", "stage"]
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stage(df: DataFrame, name: str = "staging") -> tuple[DataFrame, str]:
-    """``df`` written once to the shared folder, and its path (delete it when done)."""
+    """``df`` written once to the shared folder, and its path (to delete it before the job ends)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-class dynamic_overwrite:
-    """Within this block a partitioned overwrite replaces only the partitions it writes."""
-
-    KEY = "spark.sql.sources.partitionOverwriteMode"
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    def __enter__(self):
-        self.old = self.spark.conf.get(self.KEY, "static")
-        self.spark.conf.set(self.KEY, "dynamic")
-
-    def __exit__(self, *exc):
-        self.spark.conf.set(self.KEY, self.old)
-
-
-def _partition_path(spark: SparkSession, columns: list[str], values: list) -> str:
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    folders = ("__HIVE_DEFAULT_PARTITION__" if v in (None, "") else escape(str(v)) for v in values)
-    return "/".join(f"{escape(c)}={f}" for c, f in zip(columns, folders))
-
-
-def overwrite_partitions(merged: DataFrame, path: str, partition_cols: list[str], emptied: list[list],
-                         staged: str | None = None) -> None:
-    """Replace the partitions of ``merged`` and delete the ``emptied`` ones (lists of partition values).
-
-    ``staged`` names the staged table that ``merged`` already reads, if it does."""
-    spark = merged.sparkSession
-    staged = staged or stage(merged)[1]
-    gone = [_partition_path(spark, partition_cols, values) for values in emptied]
-    note = json.dumps({"stage": staged, "schema": merged.schema.json(), "partitions": partition_cols, "gone": gone})
-    fs, p = _fs(spark, f"{path}/{JOURNAL}")
-    out = fs.create(p, True)
-    out.write(bytearray(note.encode()))
-    out.close()
-    recover(spark, path)
-
-
-def recover(spark: SparkSession, path: str) -> bool:
-    """Finish the load that the table's journal names, if any."""
-    from pyspark.sql.types import StructType
-
-    fs, p = _fs(spark, f"{path}/{JOURNAL}")
-    if not fs.exists(p):
-        return False
-    stream = fs.open(p)  # Spark's readers skip the name
-    note = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    stream.close()
-    rows = spark.read.schema(StructType.fromJson(json.loads(note["schema"]))).parquet(note["stage"])
-    with dynamic_overwrite(spark):
-        rows.write.mode("overwrite").partitionBy(*note["partitions"]).parquet(path)
-    for folder in note["gone"]:
-        delete(spark, f"{path}/{folder}")
-    fs.delete(p, False)
-    delete(spark, note["stage"])
-    return True
+def once(df: DataFrame, name: str = "once") -> DataFrame:
+    """``df`` computed once: what is built on the result more than once reads the written table."""
+    return stage(df, name)[0]

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -21,7 +20,7 @@ from ..functions import exprs as X
 from ..functions import periods as P
 from ..operators import ingest as ING
 from ..operators import staging
-from ..session import shared_dir
+from ..session import scratch_path
 from ..sources.facts import Facts, stock_days
 
 #: A setting of bench.py: a new folder whose rendered reports stay for the run.
@@ -39,7 +38,7 @@ def landed(facts: Facts, name: str, render: Callable[[Facts], DataFrame]) -> Dat
     if kept:
         path = f"{kept}/{hashlib.md5(f'{facts.t.sf_dir} {facts.as_of}'.encode()).hexdigest()}/{name}"
     else:
-        path = f"{shared_dir(spark)}/landed/{name}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, f"landed-{name}")
     if not kept or not staging.exists(spark, f"{path}/_SUCCESS"):
         render(facts).write.mode("overwrite").parquet(path)
     return spark.read.schema(RAW).parquet(path)
@@ -240,7 +239,7 @@ def stock_replace_period(facts: Facts) -> DataFrame:
 
 def _scratch(facts: Facts, name: str) -> str:
     """A new table path in the shared folder."""
-    return f"{shared_dir(facts.spark)}/tables/{name}-{uuid.uuid4().hex}"
+    return scratch_path(facts.spark, f"table-{name}")
 
 
 def _by_month(df: DataFrame) -> DataFrame:
@@ -263,7 +262,7 @@ def written_upsert(facts: Facts) -> DataFrame:
         .withColumn("value", (F.col("value") + F.lit(1)).cast("decimal(18,4)")).withColumn("load_seq", F.lit(2))
     for batch in (old, new, new):
         ING.write_upsert(spark, batch, path, WRITE_KEY, PARTS)
-    return _by_day(spark.read.schema(new.schema).parquet(path))
+    return _by_day(ING.read_table(spark, path))
 
 
 def written_replace_period(facts: Facts) -> DataFrame:
@@ -280,16 +279,67 @@ def written_replace_period(facts: Facts) -> DataFrame:
         .withColumn("load_seq", F.lit(2))
     for _ in range(2):  # loading it again changes nothing
         ING.write_replace_period(spark, batch, path, "report_date", lo, a, PARTS, "ASIA", WRITE_KEY)
-    return _by_day(spark.read.schema(batch.schema).parquet(path))
+    return _by_day(ING.read_table(spark, path))
 
 
 def high_water_marks(facts: Facts) -> DataFrame:
     """ING13: latest loaded date and next load window per table and account."""
     y = facts.as_of - dt.timedelta(days=1)
-    o = facts.orders_fact(["distributor_code", "delivery_date"])
-    st = facts.stock_fact()
-    v = facts.visit_days().select("visit_date", F.col("distributor_code").alias("account_label"))
     known = facts.accounts()
-    return (ING.high_water_marks(o, "delivery_date", "distributor_code", "orders_fact", y, accounts=known)
-            .unionByName(ING.high_water_marks(st, "report_date", "account_label", "stock_fact", y, accounts=known))
-            .unionByName(ING.high_water_marks(v, "visit_date", "account_label", "visits_fact", y, accounts=known)))
+    out = None
+    for table, day in (("orders_fact", "delivery_date"), ("stock_fact", "report_date"), ("visits_fact", "visit_date")):
+        one = ING.high_water_marks(facts.account_dates(table, day), "day", "account_label", table, y, accounts=known)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def marks_of_loaded_tables(facts: Facts) -> DataFrame:
+    """ING13, SRC8, SRC9 from the marks of loaded tables: the stock is loaded in two batches and one period is
+    replaced, then latest dates and row counts are read without a fact row."""
+    spark, a = facts.spark, facts.as_of
+    s = _by_month(facts.stock_fact()).withColumn("load_seq", F.lit(1))
+    path, cut = _scratch(facts, "stock-marks"), a - dt.timedelta(days=15)
+    ING.write_upsert(spark, s.where(F.col("report_date") <= F.lit(cut)), path, WRITE_KEY, PARTS)
+    ING.write_upsert(spark, s.where((F.col("report_date") > F.lit(cut)) & (F.col("account_label") != "ASIA")), path, WRITE_KEY, PARTS)
+    short = s.where((F.col("account_label") == "EUROPE") & F.col("report_date").between(F.lit(cut), F.lit(a - dt.timedelta(days=3))))
+    ING.write_replace_period(spark, short, path, "report_date", cut, a, PARTS, "EUROPE")
+    m = ING.marks(spark, path).where(F.col("date_col") == "report_date")
+    return m.groupBy("account_label").agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
+                                          F.sum("n_rows").alias("n_rows"))
+
+
+def schema_changes(facts: Facts) -> DataFrame:
+    """ING17: batches without, with and again without new columns, a replaced period with one more, a batch under an
+    old header, and a column renamed in place; every stored value stays."""
+    spark, a = facts.spark, facts.as_of
+    s = _by_month(facts.stock_fact())
+    path, day = _scratch(facts, "stock-schema"), F.col("report_date")
+    at = lambda n: a - dt.timedelta(days=n)
+    shelf = F.pmod(F.col("sku_code").cast("long"), F.lit(7)).cast("int")
+    up = lambda rows, seq, **k: ING.load_batch(spark, rows.withColumn("load_seq", F.lit(seq)), path, WRITE_KEY, PARTS,
+                                               "", "stock", (at(99), a), **k)
+    up(s.where(day <= F.lit(at(40))), 1)
+    up(s.where(day.between(F.lit(at(50)), F.lit(at(20)))).withColumn("shelf", shelf), 2)
+    up(s.where(day >= F.lit(at(25))).withColumnRenamed("value", "Value Old"), 3, renames={"Value Old": "value"})
+    ING.replace_batch(spark, s.where(day.between(F.lit(at(35)), F.lit(at(31))) & (F.col("account_label") == "ASIA"))
+                      .withColumn("origin", F.col("brand_code")).withColumn("load_seq", F.lit(4)), path, "report_date",
+                      (at(35), at(31)), PARTS, "ASIA", "stock", WRITE_KEY)
+    ING.rename_column(spark, path, "shelf", "shelf_no")
+    up(s.where(day == F.lit(at(22))).withColumn("shelf_no", shelf + 10), 5)
+    t = ING.read_table(spark, path)
+    return t.groupBy("report_date", "account_label").agg(
+        F.count("*").alias("n_rows"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"),
+        F.count("shelf_no").alias("with_shelf"), F.sum("shelf_no").alias("shelf_sum"), F.count("origin").alias("with_origin"))
+
+
+def load_audit(facts: Facts) -> DataFrame:
+    """ING16: the audit rows of an upsert, a replaced period, and a batch without rows."""
+    spark, a = facts.spark, facts.as_of
+    s = _by_month(facts.stock_fact()).withColumn("load_seq", F.lit(1))
+    path, lo = _scratch(facts, "stock-audit"), a - dt.timedelta(days=6)
+    ING.load_batch(spark, s, path, WRITE_KEY, PARTS, "", "stock", (lo, a))
+    mine = s.where((F.col("account_label") == "ASIA") & F.col("report_date").between(F.lit(lo), F.lit(a)))
+    ING.replace_batch(spark, mine.where(F.col("value") > 0), path, "report_date", (lo, a), PARTS, "ASIA", "stock", WRITE_KEY)
+    ING.load_batch(spark, s.where(F.lit(False)), path, WRITE_KEY, PARTS, "ASIA", "stock", (lo, a))
+    return ING.audit_log(spark, path).select("status", "action_type", "account_label", "rows_saved", "rows_deleted",
+                                             "period_start", "period_end")

@@ -357,6 +357,10 @@ def _i9(f): return I.inventory_health(f, TOWN, AS_OF)
 def _i10(f): return I.dead_stock(f, TOWN, AS_OF)
 
 
+@query("jn9_stock_as_of_delivery")
+def _jn9(f): return I.stock_as_of_delivery(f, WINDOW, TOWN)
+
+
 @query("i13_kpi_delta")
 def _i13(f): return I.kpi_delta(I.inventory_kpi(f, TOWN, AS_OF))
 
@@ -583,6 +587,18 @@ def _ing12w(f): return IP.written_upsert(f)
 def _ing14w(f): return IP.written_replace_period(f)
 
 
+@query("ing13_marks_of_loaded_tables")
+def _ing13m(f): return IP.marks_of_loaded_tables(f)
+
+
+@query("ing16_load_audit")
+def _ing16(f): return IP.load_audit(f)
+
+
+@query("ing17_schema_changes")
+def _ing17(f): return IP.schema_changes(f)
+
+
 def _sample(name):
     def run(f):
         SQ.register_views(f)

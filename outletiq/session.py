@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -78,3 +80,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that no later job needs: it is deleted when the
+    driver's process ends, or by ``clear_scratch``."""
+    if not _SCRATCH:
+        atexit.register(clear_scratch)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def clear_scratch() -> None:
+    """Delete all scratch tables of this process. DataFrames that still read them must not be used any more.
+
+    A driver that was killed leaves its tables; they have names of their own in
+    the shared folder, and one without a running driver may be deleted at any time."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        try:
+            jvm = spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            conf = spark._jsc.sc().hadoopConfiguration() if spark._jsc.sc() else jvm.org.apache.hadoop.conf.Configuration()
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the JVM has gone first: nothing to ask any more
+            _SCRATCH.clear()

@@ -249,6 +249,16 @@ class Facts:
         """(order_date, distributor_code) of every order with lines."""
         return self.visit_days().withColumnRenamed("visit_date", "order_date")
 
+    def account_dates(self, table: str, date_col: str) -> DataFrame:
+        """(account_label, day): dates of a fact by account, among them each account's latest one."""
+        if table == "stock_fact":
+            return self.stock_fact().select("account_label", F.col(date_col).alias("day"))
+        if table == "visits_fact":
+            days = self.visit_days()
+        else:
+            days = self.order_days() if date_col == "order_date" else self.orders_fact(["distributor_code", date_col])
+        return days.select(F.col("distributor_code").alias("account_label"), F.col(date_col).alias("day"))
+
     def accounts(self) -> DataFrame:
         """(account_label) of all accounts, with or without data."""
         return self.t.region.select(F.col("r_name").alias("account_label"))
@@ -355,20 +365,29 @@ class TableFacts(Facts):
     """
 
     def __init__(self, spark, orders=None, visits=None, stock=None, sku_master=None,
-                 universe=None, targets=None, targets_new=None, as_of: dt.date = AS_OF):
+                 universe=None, targets=None, targets_new=None, as_of: dt.date = AS_OF, marks=None):
         self.spark = spark
+        #: date ranges of loaded tables by name (``snapshots.marks``)
+        self._marks = marks or {}
         self.as_of = as_of
         self._o, self._v, self._s = orders, visits, stock
         self._m, self._u, self._t, self._tn = sku_master, universe, targets, targets_new
 
     @classmethod
     def from_path(cls, spark, root: str, as_of: dt.date = AS_OF) -> "TableFacts":
-        """Facts from parquet tables under ``root`` (one folder per table)."""
-        def rd(n):
+        """Facts from the loaded tables under ``root`` (one folder per table), each as of its latest version."""
+        from ..operators import snapshots
+
+        found, dates = [], {}
+        for n in ("orders_fact", "visits_fact", "stock_fact", "sku_master", "universe", "targets", "targets_new"):
             path = f"{root.rstrip('/')}/{n}"
-            return spark.read.parquet(path) if exists(spark, path) else None  # not loaded yet
-        return cls(spark, rd("orders_fact"), rd("visits_fact"), rd("stock_fact"), rd("sku_master"),
-                   rd("universe"), rd("targets"), rd("targets_new"), as_of)
+            version = snapshots.snapshot(spark, path)
+            if version is not None:
+                found.append(snapshots.read_version(spark, version))
+                dates[n] = snapshots.marks(spark, path, version)
+            else:  # plain parquet files of another writer, or not loaded yet
+                found.append(spark.read.parquet(path) if exists(spark, path) else None)
+        return cls(spark, *found, as_of, dates)
 
     @staticmethod
     def _window(df, col, w, month_col=None):
@@ -407,7 +426,15 @@ class TableFacts(Facts):
     def order_days(self):
         return self._o.select("order_date", "distributor_code")
 
+    def account_dates(self, table, date_col):
+        if table in self._marks:  # written with each load, so no fact row is read
+            m = self._marks[table].where(F.col("date_col") == date_col)
+            return m.select("account_label", F.col("last_date").alias("day"))
+        return super().account_dates(table, date_col)
+
     def accounts(self):
+        if "orders_fact" in self._marks:
+            return self._marks["orders_fact"].select("account_label").distinct()
         return self._o.select(F.col("distributor_code").alias("account_label")).distinct()
 
     def stock_fact(self, report_dates=None, distributor=None):

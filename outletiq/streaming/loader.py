@@ -1,11 +1,12 @@
 """Incremental loading with Structured Streaming (ING12–ING14 per micro-batch).
 
 New landed files are picked up by a file source, each micro-batch is parsed
-and merged into the target table by the idempotent upsert, and progress is
+and merged into the target table by ``ingest.load_batch``, and progress is
 kept in a checkpoint under the shared ``spark.checkpoint.dir``. With
 ``trigger(availableNow=True)`` a scheduled run loads everything that arrived
-since the last run and stops; a restart after executor or driver loss resumes
-from the checkpoint and re-merges the interrupted batch without duplicates.
+since the last run and stops. The names and times of a batch's files are part of
+its commit: a batch that is replayed, after a loss or under a new checkpoint,
+finds its files taken and changes neither the table nor the audit log.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import ingest as ING
+from ..operators import snapshots
 from ..session import ensure_checkpoint_dir
 
 
@@ -37,12 +39,20 @@ def load_incrementally(spark: SparkSession, source_dir: str, schema: StructType
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    stream = reader.load(source_dir)
+    file, modified = "__landed_file", "__landed_at"
+    stream = reader.load(source_dir).select("*", F.col("_metadata.file_path").alias(file),
+                                            F.col("_metadata.file_modification_time").alias(modified))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = transform(batch) if transform else batch
-        rows = rows.withColumn("load_seq", F.lit(ING.load_seq()).cast("long"))
-        ING.write_upsert(batch.sparkSession, rows, target, key, partition_cols)
+        session = batch.sparkSession
+        taken = snapshots.loaded_files(session, target).withColumnsRenamed({"file": "__f", "modified": "__m"})
+        new = batch.join(taken, (F.col(file) == F.col("__f")) & (F.col(modified) == F.col("__m")), "left_anti")
+        files = new.select(F.col(file).alias("file"), F.col(modified).alias("modified")).distinct()
+        if files.isEmpty():
+            return
+        rows = new.drop(file, modified)
+        rows = (transform(rows) if transform else rows).withColumn("load_seq", F.lit(ING.load_seq()).cast("long"))
+        ING.load_batch(session, rows, target, key, partition_cols, "", name, (None, None), files=files)
 
     w = stream.writeStream.foreachBatch(merge).option(
         "checkpointLocation", f"{str(ckpt_root).rstrip('/')}/streams/{name}")

@@ -91,3 +91,43 @@ def test_safe_select_and_preview(spark):
     row = SQ.safe_select(spark, "select '--x' as a, replace('abc', 'b', ';') as b -- note").first()
     assert (row.a, row.b) == ("--x", "a;c")
     assert SQ.template("t", ["a", "b"]) == "SELECT `a`, `b`\nFROM `t`\nLIMIT 100"
+
+
+@pytest.mark.parametrize("text,ok", [
+    ("select a from v", True),
+    ("select V.a, count(*) over (partition by b order by a) as n from V where a in (select a from w)", True),
+    ("select * from (with c as (select a from v) select * from c) x join w using (a)", True),
+    ("select a, sum(b) as s from v group by all having sum(b) > 0 order by s limit 3", True),
+    ("select e from v lateral view explode(array(a, b)) t as e", True),
+    ("select a from v union all select a from w", True),
+    ("select * from values (1, 2) as t(x, y)", True),
+    ("select * from v pivot (sum(b) for a in (1, 2))", True),
+    ("select (select max(a) from w) as m, exists (select 1 from w) as e", True),
+    ("select * from text.`/etc/hostname`", False),
+    ("select * from parquet.`/root/testdata/sf0.001/region.parquet`", False),
+    ("select * from v where a in (select value from text.`/etc/hostname`)", False),
+    ("select (select first(value) from `text`.`/etc/hostname`) as x", False),
+    ("select * from (with c as (select * from csv.`/etc/hostname`) select * from c)", False),
+    ("select * from identifier('text.`/etc/hostname`')", False),
+    ("select * from other_view", False),
+    ("select try_reflect('java.lang.System', 'getenv', 'HOME') as x", False),
+    ("select upper(java_method('java.lang.System', 'getenv', 'HOME')) as x", False),
+    ("select identifier('reflect')('java.lang.System', 'getenv', 'HOME') as x", False),
+    ("select * from python_worker_logs()", False),
+    ("select a from v where", False),
+])
+def test_plan_guard(spark, text, ok):
+    for name in ("v", "w"):
+        spark.createDataFrame([(1, 2), (3, 4)], "a int, b int").createOrReplaceTempView(name)
+    if ok:
+        SQ.safe_select(spark, text, ["v", "w"]).collect()
+    else:
+        with pytest.raises(SQ.UnsafeQuery):
+            SQ.safe_select(spark, text, ["v", "w"])
+
+
+def test_plan_guard_takes_the_sessions_views(spark):
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("mine")
+    assert SQ.safe_select(spark, "select a from mine").first().a == 1
+    with pytest.raises(SQ.UnsafeQuery, match="no such table"):
+        SQ.safe_select(spark, "select * from text.`/etc/hostname`")

@@ -79,3 +79,48 @@ def test_loader_never_shuffles_lines_by_file(spark):
     for parse in (ING.parse_orders, ING.parse_visits):
         p = _plan(parse(raw))
         assert "hashpartitioning(file_id" not in p.replace("#", " ") and "BroadcastHashJoin" in p, p
+
+
+def test_boards_read_the_lines_once(spark):
+    """one read of the lines for all order metrics (and those of visits and targets); what builds on F7 none."""
+    q, sf = E.queries(), "/root/testdata/sf0.001"
+    f7 = _scan_lines(_plan(q["f7_leaderboard"](spark, sf)), "l_extendedprice")
+    assert len(f7) <= 2, f7  # the order lines, and the targets derived from them
+    for name in ("f8_performance_score", "f9_top_bottom", "f21_sku_per_bill_vs_mean", "i13_kpi_delta"):
+        p = _plan(q[name](spark, sf))
+        assert "l_orderkey" not in p and len(p) < 60_000, (name, len(p))
+
+
+def test_visit_coverage_reads_sales_once(spark):
+    p = _plan(E.queries()["c3_visit_coverage"](spark, "/root/testdata/sf0.001"))
+    assert len(_scan_lines(p, "l_extendedprice")) == 1
+
+
+def test_asof_join(spark):
+    import datetime as dt
+    import random
+
+    from outletiq.functions.asof import asof_join
+    rnd = random.Random(5)
+    day = lambda n: dt.date(2001, 1, 1) + dt.timedelta(days=n)
+    key = lambda: rnd.choice(["hot", "hot", "hot", "a", "b", "c", "only", None])
+    left = [(i, key(), day(rnd.randrange(400)) if rnd.random() < 0.97 else None) for i in range(3000)]
+    right = [(rnd.choice(["hot", "hot", "a", "b", "c", "late", None]), day(rnd.randrange(20, 400)), rnd.randrange(9)) for _ in range(700)]
+    lf = spark.createDataFrame(left, "id int, k string, d date").withColumn("t", F_lit("x")).repartition(5)
+    rf = spark.createDataFrame(right, "key string, at date, v int").withColumnRenamed("key", "k")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: (r.at, r.v) for r in asof_join(lf, rf, ["k"], "d", "at", ["at", "v"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = {}
+    for i, k, d in left:
+        seen = [(at, v) for key_, at, v in right if k is not None and d is not None and key_ == k and at <= d]
+        want[i] = max(seen) if seen else (None, None)
+    assert got == want and sum(v[0] is not None for v in want.values()) > 1000
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+    return F.lit(x)
