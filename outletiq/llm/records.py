@@ -87,10 +87,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id
                   text_col: str = "text", file_bytes: int = 64 << 20) -> DataFrame:
     """Encode every text and write one record per row, in ascending ``id_col`` order; returns the index.
 
-    Rows are range-partitioned by id, a hash of the text, and their place in the
-    input, so file order is id order at any size and no id, however many rows it
-    has, fills one task. A null text is empty (its record holds
-    the end id only); a null id sorts first; rows with equal ids are in the order of their texts' hashes. Other input columns are ignored. An empty table gives an empty index.
+    Rows are range-partitioned by id and their place in the input, so file order
+    is id order at any size and no id, however many rows it has, fills one task.
+    A null text is empty (its record holds the end id only); a null id sorts
+    first; rows with equal ids stay in the order in which they are read. Other input columns are ignored. An empty table gives an empty index.
     """
     path = qualified(docs.sparkSession, path)
     data = f"{path}/data"
@@ -121,7 +121,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id
         if out is not None:
             out.close()
 
-    keys = ["doc_id", F.xxhash64("text"), "place"]
+    keys = ["doc_id", "place"]
     ordered = (pick(docs, doc_id=id_col, text=text_col).withColumn("place", F.monotonically_increasing_id())
                .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("place"))
     return save(ordered.mapInArrow(write, INDEX), "index", f"{path}/index")
