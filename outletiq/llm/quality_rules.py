@@ -20,8 +20,6 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: A host fails a rule if its shrunken failure rate is over this.
 HOST_RATE = 0.5
-#: Bounds of the prior's strength, in documents.
-LEAST_PRIOR, MOST_PRIOR = 1.0, 1000.0
 
 
 def rules() -> dict[str, Column]:
@@ -78,21 +76,29 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 def host_verdicts(measured: DataFrame) -> DataFrame:
     """(host, docs, rate_<rule> ..., host_kept): shrunken failure rates and the verdict of every host.
 
-    The prior of a rule comes from the mean and variance of the hosts' rates
-    (one row of sums, whatever the number of hosts): strength mean (1 - mean) /
-    variance - 1 within bounds, the strongest where hosts do not differ.
+    The prior of a rule is fitted by moments weighted by the hosts' documents
+    (one row of sums, whatever the number of hosts). ``rho`` is the share of the variance between
+    hosts that is more than chance: the spread of the rates that documents dealt to hosts at random would have
+    is taken off, so many small hosts do not look like different ones. The prior's
+    strength is (1 - rho) / rho documents; hosts that do not differ all get the mean rate.
     """
     names = list(rules())
     fails = [F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(f"fail_{r}") for r, c in rules().items()]
     hosts = save(measured.groupBy("host").agg(F.count("*").alias("docs"), *fails), "hosts")
-    rate = {r: F.col(f"fail_{r}") / F.col("docs") for r in names}
-    sums = hosts.agg(*[F.avg(rate[r]).alias(f"m_{r}") for r in names],
-                     *[F.var_pop(rate[r]).alias(f"v_{r}") for r in names]).first()
+    sums = hosts.agg(F.count("*").alias("hosts"), F.sum("docs").alias("docs"),
+                     F.sum(F.col("docs").cast("double") * F.col("docs")).alias("squares"),
+                     *[F.sum(f"fail_{r}").alias(f"f_{r}") for r in names],
+                     *[F.sum(F.col(f"fail_{r}").cast("double") * F.col(f"fail_{r}") / F.col("docs")).alias(f"s_{r}")
+                       for r in names]).first()
+    n, apart = sums["docs"] or 0, sums["hosts"] - 1
+    chance = n - sums["squares"] / n - apart if n else 0.0
     out = {}
     for r in names:
-        m, v = sums[f"m_{r}"] or 0.0, sums[f"v_{r}"] or 0.0
-        k = min(max(m * (1 - m) / v - 1, LEAST_PRIOR), MOST_PRIOR) if v > 0 else MOST_PRIOR
-        out[r] = (F.col(f"fail_{r}") + F.lit(m * k)) / (F.col("docs") + F.lit(k))
+        f, own = sums[f"f_{r}"] or 0, F.col(f"fail_{r}") / F.col("docs")
+        m = f / n if n else 0.0
+        rho = ((sums[f"s_{r}"] - f * m) / (m * (1 - m)) - apart) / chance if 0 < f < n and chance > 0 else 0.0
+        k = (1 - rho) / rho if 0 < rho < 1 else 0.0
+        out[r] = F.lit(m) if rho <= 0 else own if rho >= 1 else (F.col(f"fail_{r}") + F.lit(m * k)) / (F.col("docs") + F.lit(k))
     shrunk = hosts.select("host", "docs", *[c.alias(f"rate_{r}") for r, c in out.items()])
     worst = F.greatest(*[F.col(f"rate_{r}") for r in names])
     return shrunk.withColumn("host_kept", worst <= HOST_RATE)

@@ -159,11 +159,18 @@ failures AS (
                  10 * n_dup_lines > 3 * n_lines, word_chars < 3 * n_words OR word_chars > 10 * n_words]) AS failed
   FROM counted),
 hosts AS (SELECT source, rule, count(*) AS docs, count(*) FILTER (WHERE failed) AS fails FROM failures GROUP BY ALL),
-moments AS (SELECT rule, avg(fails / docs) AS m, var_pop(fails / docs) AS v FROM hosts GROUP BY rule),
+moments AS (
+  SELECT rule, count(*) - 1 AS apart, sum(docs)::DOUBLE AS n, sum(fails)::DOUBLE AS f, sum(docs::DOUBLE * docs) AS squares,
+         sum(fails::DOUBLE * fails / docs) AS s
+  FROM hosts GROUP BY rule),
 priors AS (
-  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS k FROM moments),
+  SELECT rule, f / n AS m, CASE WHEN f > 0 AND f < n AND n - squares / n - apart > 0
+         THEN ((s - f * f / n) / (f / n * (1 - f / n)) - apart) / (n - squares / n - apart) ELSE 0 END AS rho
+  FROM moments),
 verdicts AS (
-  SELECT source, max((fails + m * k) / (docs + k)) <= 0.5 AS host_kept FROM hosts JOIN priors USING (rule) GROUP BY source)
+  SELECT source, max(CASE WHEN rho <= 0 THEN m WHEN rho >= 1 THEN fails / docs
+                          ELSE (fails + m * (1 - rho) / rho) / (docs + (1 - rho) / rho) END) <= 0.5 AS host_kept
+  FROM hosts JOIN priors USING (rule) GROUP BY source)
 SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND v.host_kept AS kept

@@ -44,6 +44,31 @@ def test_verdicts_shrink_small_hosts(spark, make_docs):
     assert got[4000].kept and all(got[i].kept for i in range(500))
 
 
+def test_bad_and_small_hosts_against_sql(spark, make_docs, tmp_path):
+    """Host verdicts that decide rows, in both versions; small hosts that differ by chance do not weaken the prior."""
+    import duckdb
+
+    from outletiq.llm.queries import ORACLES
+
+    rnd = random.Random(8)
+    good, bad = " ".join(f"word{i}" for i in range(60)), "too short"
+    marks = " ".join(f"word{i} # % &" for i in range(60))  # fails the host rule on symbols only
+    rows = [(i, bad if rnd.random() < 0.1 else good, "en", f"small{i % 400}") for i in range(800)]
+    rows += [(1000 + i, bad if rnd.random() < 0.9 else good, "en", "junk") for i in range(200)]
+    rows += [(2000 + i, marks if i % 10 else good, "en", "signs") for i in range(100)]
+    rows += [(3000 + i, good, "en", None) for i in range(50)]
+    docs = make_docs(rows)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.judge(docs).collect()}
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, base_failed, kept FROM ({ORACLES['op6_quality_rules']})").fetchall()
+    assert got == {i: (b, k) for i, b, k in want}
+    by_host = {h: [got[i][1] for i, _, _, s in rows if s == h and not got[i][0]] for h in ("junk", "signs", None)}
+    assert by_host["junk"] and not any(by_host["junk"]) and not any(by_host["signs"]) and all(by_host[None])
+    assert all(got[i][1] for i in range(800) if not got[i][0])  # also where one of two pages fails by chance
+
+
 def test_plan_is_native(spark, make_docs):
     plan = quality_rules.judge(make_docs([(1, "a b c")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
