@@ -571,6 +571,22 @@ class _Renamed(Facts):
             "sku_code", F.when(k % 9 == 0, F.concat(F.lit("x"), "sku_code")).otherwise(F.col("sku_code")))
 
 
+class _Classed(Facts):
+    """A master in which every brand class of PRJ11 occurs."""
+
+    def sku_master(self):
+        k = F.pmod(F.col("sku_code").cast("long"), F.lit(7))
+        slug = F.when(k == 0, ".Olper TBA").when(k == 1, "big .OLPER TBA 1l").when(k == 2, "Mini Tarang").otherwise("plain")
+        brand = F.when(k == 3, " Tarang Tea").when(k == 4, " Olpers MILK ").when(k == 5, " ").otherwise(F.col("brand"))
+        return super().sku_master().withColumn("slug", slug).withColumn("brand", brand)
+
+
+@query("prj11_brand_classes")
+def _prj11(f):
+    sold = C.coverage_sales(_Classed(f.t, f.as_of), WINDOW, TOWN)
+    return sold.groupBy("brand").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("nmv").cast("double").alias("nmv"))
+
+
 @query("qa_unknown_brand_renamed")
 def _qar(f): return Q.unknown_brand_skus(_Renamed(f.t, f.as_of), OVERLAP_WINDOW, TOWN)
 

@@ -168,3 +168,21 @@ def test_coverage_document_and_day_routes(spark):
     assert rows[D(2001, 3, 5)].sold_brand_1 is True            # linked by document
     assert rows[D(2001, 3, 6)].sold_other is True              # blank document → day route
     assert rows[D(2001, 3, 7)].brands_sold_count == 0
+
+
+def test_every_branch_of_the_brand_classes(spark):
+    """PRJ11: all five branches, their order, blanks and spaces."""
+    rows = [("1", "Brand#1", ".Olper TBA", "Olpers TBA"), (" 2 ", "Tarang", "x .OLPER TBA big", "Olpers TBA"),
+            ("3", " TARANG tea ", "plain", "Tarang"), ("4", "Olpers Milk", "mini TaRang", "Tarang"),
+            ("5", " OLPERS MILK ", "plain", "Olpers Milk"), ("6", "olpers milk 1l", None, "olpers milk 1l"),
+            ("7", " Brand#7 ", None, "Brand#7"), ("8", "  ", "plain", "Other"), ("9", None, None, "Other"),
+            ("10", "Brand#10", "olper tba", "Brand#10")]
+    m = spark.createDataFrame([(c, b, 10, "n", "n", "n", s) for c, b, s, _ in rows],
+                              "sku_code string, brand string, uom int, master_sku string, short_master string, sku string, slug string")
+    got = {r.sku_code: r.brand_classified for r in C.classified_skus(TableFacts(spark, sku_master=m)).collect()}
+    assert got == {c.strip(): want for c, _, _, want in rows}
+    lines = [dict(sku_code=c, order_date=D(2001, 3, 1), delivery_date=D(2001, 3, 2), order_number=f"O{c}") for c, *_ in rows]
+    lines.append(dict(sku_code="99", order_date=D(2001, 3, 1), delivery_date=D(2001, 3, 2), order_number="O99"))
+    f = TableFacts(spark, orders=_orders(spark, lines), sku_master=m)
+    sold = {r.doc_no: r.brand for r in C.coverage_sales(f, (D(2001, 3, 1), D(2001, 3, 31)), "ASIA").collect()}
+    assert sold == {**{f"O{c}".strip(): want for c, _, _, want in rows}, "O99": "Other"}
