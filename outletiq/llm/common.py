@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from outletiq.session import shared_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Java pattern of the whitespace that separates words: space and 0x09-0x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
 M64 = (1 << 64) - 1
@@ -38,11 +38,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 @contextlib.contextmanager
 def _settings(spark: SparkSession) -> Iterator[None]:
     """Within this block Spark deletes the shuffle files of each query when it has
-    ended, and hands texts to Python in batches of 2,000 rows at most."""
-    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH, "10000")}
+    ended, and hands texts to Python in batches of 2,000 rows and about 16 MB at most."""
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH, "10000"),
+              BATCH_BYTES: spark.conf.get(BATCH_BYTES)}
     rows = int(before[BATCH])
     spark.conf.set(CLEANUP, "true")
     spark.conf.set(BATCH, str(min(rows, 2000) if rows > 0 else 2000))
+    spark.conf.set(BATCH_BYTES, str(16 << 20))
     try:
         yield
     finally:

@@ -106,7 +106,7 @@ def paths(docs: DataFrame, window: int, part: int) -> DataFrame:
     """One row per path; rows without an id have none, as they are neither source nor copy of anything."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text", 8 << 20):
+            for b in slices(big, "text", 4 << 20):
                 owner, bucket, content, start, n = paths_of(b.column("text"), window, part)
                 ids, variant = (np.asarray(b.column(c))[owner] for c in ("doc_id", "variant"))
                 yield pa.RecordBatch.from_arrays(
@@ -134,7 +134,7 @@ def _look_up(docs: DataFrame, requests: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text", 8 << 20):
+            for b in slices(big, "text", 4 << 20):
                 flat, off = split_words(b.column("text"))
                 codes = word_codes(flat, 3)
                 of, (kind, start, n) = _lists(b.column("asked"), "kind", "start", "n")
@@ -267,21 +267,20 @@ def summary(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the same rows and columns; texts that lose words become the kept words joined by one space."""
     names = docs.columns
-    # the whole row is one struct, so no column of it can clash with one that is added here
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    inside = docs.select(row).select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"))
+    others = [c for c in names if c != "text"]
+    # all but the text is one struct, so no column of it can clash with one that is added here
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", 4 << 20):
                 texts = b.column("text").to_pylist()
                 plain = b.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
                 for i, (_, kept, fewer) in enumerate(_kept(plain, b.column("spans"))):
                     if fewer:
                         texts[i] = b" ".join(kept).decode()
-                fields = dict(zip(names, b.column("row").flatten()))
-                fields["text"] = pa.array(texts, fields["text"].type)
-                yield pa.RecordBatch.from_arrays(list(fields.values()), names=names)
+                fields = dict(zip(others, b.column("row").flatten()), text=pa.array(texts, b.column("text").type))
+                yield pa.RecordBatch.from_arrays([fields[c] for c in names], names=names)
 
     known = variants(inside)
     spans = repeated_spans(known.select("doc_id", "text", "variant"), window)
