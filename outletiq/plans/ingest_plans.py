@@ -24,7 +24,7 @@ from ..session import scratch_path
 from ..sources.facts import Facts, stock_days
 
 #: A setting of bench.py: a new folder whose rendered reports stay for the run.
-PRE_LANDED = "outletiq.bench.landed"
+PRE_LANDED = "spark.outletiq.bench.landed"
 RAW = "file_id string, account_label string, row_no long, cells array<string>"
 
 

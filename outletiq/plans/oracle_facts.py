@@ -7,7 +7,7 @@ parquet tables; nothing here runs on Spark.
 from __future__ import annotations
 
 from ..params import AS_OF
-from ..sources.facts import stock_days
+from .sqlbits import stock_days
 
 D = "DECIMAL(18,4)"
 
