@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
+from pyspark.sql.window import Window as W
 
 from ..operators import sales as S
 from ..operators import coverage as C
@@ -571,6 +572,24 @@ class _Renamed(Facts):
             "sku_code", F.when(k % 9 == 0, F.concat(F.lit("x"), "sku_code")).otherwise(F.col("sku_code")))
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """SO1: the rows with their place in the order that the builder gives them (a few hundred rows)."""
+    placed = df.withColumn("at", F.monotonically_increasing_id())
+    return placed.withColumn("position", F.row_number().over(W.orderBy("at"))).drop("at")
+
+
+@query("so1_leaderboard_order")
+def _so1f7(f): return _in_order(FF.leaderboard(f, WINDOW, TOWN)).select("booker", "revenue", "position")
+
+
+@query("so1_days_cover_order")
+def _so1i7(f): return _in_order(I.days_cover_by_category(f, TOWN, AS_OF)).select("category", "days_cover", "position")
+
+
+@query("so1_booker_brand_order")
+def _so1f22(f): return _in_order(FF.booker_brand_scoring(f, WINDOW, TOWN)).select("booker", "brand", "nmv", "position")
+
+
 class _Classed(Facts):
     """A master in which every brand class of PRJ11 occurs."""
 
