@@ -100,13 +100,15 @@ def test_asof_join(spark):
     import datetime as dt
     import random
 
+    from pyspark.sql import functions as F
+
     from outletiq.functions.asof import asof_join
     rnd = random.Random(5)
     day = lambda n: dt.date(2001, 1, 1) + dt.timedelta(days=n)
     key = lambda: rnd.choice(["hot", "hot", "hot", "a", "b", "c", "only", None])
     left = [(i, key(), day(rnd.randrange(400)) if rnd.random() < 0.97 else None) for i in range(3000)]
     right = [(rnd.choice(["hot", "hot", "a", "b", "c", "late", None]), day(rnd.randrange(20, 400)), rnd.randrange(9)) for _ in range(700)]
-    lf = spark.createDataFrame(left, "id int, k string, d date").withColumn("t", F_lit("x")).repartition(5)
+    lf = spark.createDataFrame(left, "id int, k string, d date").withColumn("t", F.lit("x")).repartition(5)
     rf = spark.createDataFrame(right, "key string, at date, v int").withColumnRenamed("key", "k")
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -119,8 +121,3 @@ def test_asof_join(spark):
         seen = [(at, v) for key_, at, v in right if k is not None and d is not None and key_ == k and at <= d]
         want[i] = max(seen) if seen else (None, None)
     assert got == want and sum(v[0] is not None for v in want.values()) > 1000
-
-
-def F_lit(x):
-    from pyspark.sql import functions as F
-    return F.lit(x)
