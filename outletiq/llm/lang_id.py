@@ -328,7 +328,7 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.langs
         for big in batches:
-            for b in slices(big, "text", 4 << 20):
+            for b in slices(big, "text", 1 << 20):
                 entropy, symbols = shared.value.score(b.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([names.index(x) for x in b.column("lang").to_pylist()], pa.int32()),
@@ -393,7 +393,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text", 4 << 20):
+            for b in slices(big, "text", 1 << 20):
                 names, score, entropy, rejected = _judge(shared.value, b.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(names.tolist(), pa.string()), pa.array(score),
@@ -411,7 +411,7 @@ def keep_recognised(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, place, 4 << 20):
+            for b in slices(big, place, 1 << 20):
                 yield b.filter(pa.array(~_judge(shared.value, b.column(place))[3]))
 
     return docs.mapInArrow(run, docs.schema)
