@@ -4,14 +4,16 @@ A document's features are the distinct hashes of its words, of neighbouring
 pairs and of pairs with one word between, in ``1 << BITS`` coordinates. Training
 takes a sample of ``SAMPLE_ROWS`` labelled documents at most, dealt to
 ``SHARDS`` tasks; in every round each task makes one pass from the common state
-and the tasks' changes are averaged per coordinate. L1 leaves few weights; the
-dense weight array has a fixed size and is what tasks receive for scoring.
+and the tasks' changes are averaged per coordinate, summed in blocks of
+``1 << BLOCK_BITS`` coordinates. L1 leaves few weights; the dense weight array
+has a fixed size and is what tasks receive for scoring. Coordinates and changes
+travel as the bytes of whole arrays, not as a row or list element each.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,14 @@ from outletiq.llm.common import discard, give_back, mix, pick, save, slices, spl
 from outletiq.llm.lang_id import fold
 
 BITS = 20
+BLOCK_BITS = 16
+PART_BYTES = 1 << 20  # text that is split into words at once
 SAMPLE_ROWS = 16_000
 SHARDS, ROUNDS = 4, 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 THRESHOLD = 0.7
 BIAS = 0  # this coordinate is in every document
+BLOCKS = pa.schema([("block", pa.int32()), ("at", pa.binary()), ("z", pa.binary()), ("n", pa.binary())])
 
 
 def _word_hash(word: str) -> int:
@@ -58,7 +63,7 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def one_pass(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
+def one_pass(rows: Iterable[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
     """FTRL-proximal updates in place, one document after another."""
     for at, label in rows:
         w = weights(z[at], n[at])
@@ -68,6 +73,24 @@ def one_pass(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -
         n[at] += g * g
 
 
+def change_blocks(z0: np.ndarray, n0: np.ndarray, z: np.ndarray, n: np.ndarray) -> pa.Table:
+    """The changed coordinates and by how much, one row per block: block, at (int32), z and n (float32) as bytes."""
+    at = np.flatnonzero((z != z0) | (n != n0)).astype(np.int32)
+    cuts = np.searchsorted(at, np.arange((len(z) >> BLOCK_BITS) + 2) << BLOCK_BITS)
+    rows = [(k, own.tobytes(), (z[own] - z0[own]).tobytes(), (n[own] - n0[own]).tobytes())
+            for k, own in enumerate(at[a:b] for a, b in zip(cuts, cuts[1:])) if len(own)]
+    return pa.Table.from_pylist([dict(zip(BLOCKS.names, r)) for r in rows], BLOCKS)
+
+
+def sum_blocks(table: pa.Table) -> pa.Table:
+    """One block's changes of all shards added up: block, at (int32), z and n (float64) as bytes."""
+    at = np.frombuffer(b"".join(table.column("at").to_pylist()), np.int32)
+    own, place = np.unique(at, return_inverse=True)
+    z, n = (np.bincount(place, np.frombuffer(b"".join(table.column(c).to_pylist()), np.float32)) for c in ("z", "n"))
+    return pa.table([table.column("block").slice(0, 1), pa.array([own.tobytes()]), pa.array([z.tobytes()]),
+                     pa.array([n.tobytes()])], schema=BLOCKS)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """The weight array learned from ``labels`` (doc_id, toxic), null labels and unknown documents left out.
 
@@ -81,15 +104,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text", 2 << 20):
+            for b in slices(big, "text", PART_BYTES):
                 doc, at = features(b.column("text"))
                 pairs = np.unique((doc << BITS) | at)
-                offsets = np.searchsorted(pairs >> BITS, np.arange(b.num_rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("order"), b.column("toxic"), lists],
-                                                 names=["order", "toxic", "at"])
+                cuts = np.searchsorted(pairs >> BITS, np.arange(b.num_rows + 1)).tolist()
+                own = (pairs & ((1 << BITS) - 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("order"), b.column("toxic"), pa.array([own[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())],
+                    names=["order", "toxic", "at"])
 
-    sample = save(picked.select("text", "toxic", "order").mapInArrow(extract, "order long, toxic int, at array<int>"),
+    sample = save(picked.select("text", "toxic", "order").mapInArrow(extract, "order long, toxic int, at binary"),
                   "features")
     dealt = sample.withColumn("shard", F.pmod("order", F.lit(SHARDS)))
     context = docs.sparkSession.sparkContext
@@ -104,33 +128,31 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             z0, n0 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
             z0[seen], n0[seen] = values, squares
             z, n = z0.copy(), n0.copy()
-            table = table.sort_by("order")
-            table = table.combine_chunks()
-            lists = table.column("at").combine_chunks()
-            flat, off = np.asarray(lists.values), np.asarray(lists.offsets).tolist()
-            rows = [(np.append(flat[a:b], np.int32(BIAS)), label) for a, b, label in
-                    zip(off, off[1:], table.column("toxic").to_pylist())]
-            one_pass(rows, z, n)
-            at = np.flatnonzero((z != z0) | (n != n0))
+            one_pass(((np.append(np.frombuffer(at.as_buffer(), np.int32), np.int32(BIAS)), label.as_py())
+                      for b in table.select(["order", "at", "toxic"]).sort_by("order").to_batches()
+                      for at, label in zip(b.column("at"), b.column("toxic"))), z, n)
+            del table
+            change = change_blocks(z0, n0, z, n)
             give_back()
-            return pa.table({"at": at.astype(np.int32), "z": (z[at] - z0[at]).astype(float), "n": (n[at] - n0[at]).astype(float)})
+            return change
 
-        change = dealt.groupBy("shard").applyInArrow(step, "at int, z double, n double")
-        written = save(change.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")), "change")
-        change = written.toArrow()  # 1 << BITS rows at most
+        change = dealt.groupBy("shard").applyInArrow(step, "block int, at binary, z binary, n binary")
+        written = save(change.groupBy("block").applyInArrow(sum_blocks, "block int, at binary, z binary, n binary"), "change")
+        change = written.toArrow()  # 1 << BITS coordinates at most
         discard(written)
-        at = np.asarray(change.column("at"))
-        z[at] += np.asarray(change.column("z")) / SHARDS
-        n[at] += np.asarray(change.column("n")) / SHARDS
+        for b in change.to_batches():
+            for at, by, squares in zip(b.column("at"), b.column("z"), b.column("n")):
+                own = np.frombuffer(at.as_buffer(), np.int32)
+                z[own] += np.frombuffer(by.as_buffer(), np.float64) / SHARDS
+                n[own] += np.frombuffer(squares.as_buffer(), np.float64) / SHARDS
         state.destroy()
     w = weights(z, n).astype(np.float32)
     shared = context.broadcast(w)
 
     def margin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, off = np.asarray(b.column("at").flatten()), np.asarray(b.column("at").offsets).astype(np.int64)
-            sums = np.concatenate([[0.0], np.cumsum(shared.value[flat], dtype=np.float64)])[off - off[0]]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(np.diff(sums) + shared.value[BIAS])],
+            sums = [shared.value[np.frombuffer(at.as_buffer(), np.int32)].sum(dtype=np.float64) for at in b.column("at")]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(np.array(sums, np.float64) + shared.value[BIAS])],
                                              names=["toxic", "margin"])
 
     judged = sample.select("toxic", "at").mapInArrow(margin, "toxic int, margin double").toArrow()  # sample_rows at most
@@ -170,7 +192,7 @@ def score(docs: DataFrame, w: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for big in batches:
-            for b in slices(big, "text", 2 << 20):
+            for b in slices(big, "text", PART_BYTES):
                 doc, at = features(b.column("text"))
                 matter = w[at] != 0
                 pairs = np.unique((doc[matter] << BITS) | at[matter])  # a feature counts once per document

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from outletiq.llm import toxicity
+from outletiq.llm import common, toxicity
 from outletiq.llm.queries import QUERIES
 
 
@@ -83,6 +83,37 @@ def test_learns_and_handles_odd_rows(spark, make_docs):
     assert {r.score for r in none} == {0.5}
 
 
+def test_changes_travel_in_blocks(spark, make_docs, monkeypatch):
+    """A round's change is a row per block of coordinates, not a row per coordinate, and is the average of the shards'."""
+    rnd = np.random.default_rng(3)
+    parts, size = [], 3 << toxicity.BLOCK_BITS
+    for _ in range(3):
+        z0, n0 = np.zeros(size, np.float32), rnd.random(size).astype(np.float32)
+        z, n = z0.copy(), n0.copy()
+        at = rnd.choice(size, 500, replace=False)
+        z[at], n[at] = rnd.normal(size=500), n0[at] + 1
+        parts.append((z - z0, n - n0, toxicity.change_blocks(z0, n0, z, n)))
+    together = pa.concat_tables(p[2] for p in parts)
+    for k in range(3):
+        b = toxicity.sum_blocks(together.filter(pa.compute.equal(together["block"], k))).to_pylist()[0]
+        at, z, n = (np.frombuffer(b[c], t) for c, t in (("at", np.int32), ("z", np.float64), ("n", np.float64)))
+        assert b["block"] == k and (at >> toxicity.BLOCK_BITS == k).all() and (np.diff(at) > 0).all()
+        assert np.allclose(z, sum(p[0] for p in parts)[at]) and np.allclose(n, sum(p[1] for p in parts)[at])
+    counts = []
+
+    def counted(df, name):
+        out = common.save(df, name)
+        if name == "change":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(toxicity, "save", counted)
+    rows = [(i, " ".join(f"w{rnd.integers(3000)}" for _ in range(40))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    assert (toxicity.train(make_docs(rows), labels) != 0).any()
+    assert len(counts) == toxicity.ROUNDS and max(counts) <= 1 << toxicity.BITS - toxicity.BLOCK_BITS
+
+
 def test_held_out_precision(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
