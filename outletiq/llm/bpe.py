@@ -10,6 +10,11 @@ piece once, and the ids are gathered back. A piece starts
 * at ASCII punctuation after an ASCII letter, for both.
 
 A text that holds ``<|``, the start of special tokens, is one piece.
+
+New pieces of a byte-level vocabulary go to the library as a few long texts, joined
+where the same rules make the cut between two of them certain: a call costs more than
+the merges of a short piece. Its tokens spell the text's bytes, so their lengths give
+each piece's ids; a text whose tokens do not end where its pieces end is encoded piece by piece.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import pyarrow.compute as pc
 
 from outletiq.llm.common import ranges
 
+JOINED = 1_000  # pieces in one of the library's texts
 CACHE = 250_000  # pieces kept per worker process; beyond it those met only once are forgotten
 _LOADED: dict[str, BatchEncoder] = {}
 
@@ -80,9 +86,21 @@ class BatchEncoder:
         self.by_words = bool(self.tokenizer.model.end_of_word_suffix)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.size)]
+        self.widths = np.array([0 if "<|" in t else len(t) for t in tokens])  # bytes, in a byte-level vocabulary
         self._forget()
         self._strings: pa.Array | None = None
 
+    def _cuts(self, buf: np.ndarray) -> np.ndarray:
+        """The bytes at which a piece surely starts."""
+        cut = np.zeros(len(buf), bool)
+        cut[1:] = PUNCTUATION[buf[1:]] & LETTER[buf[:-1]]
+        if self.by_words:
+            cut[1:] |= SPACE[buf[1:]] & ~SPACE[buf[:-1]]
+        else:
+            cut[_lone_spaces(buf)] = True
+        return cut
+
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
         whole = np.asarray(pc.match_substring(texts, "<|"))
@@ -92,11 +110,7 @@ class BatchEncoder:
         buf, at = np.frombuffer(data or b"", np.uint8)[first:last], at - first
         cut = np.zeros(len(buf), bool)
         if len(buf):
-            cut[1:] = PUNCTUATION[buf[1:]] & LETTER[buf[:-1]]
-            if self.by_words:
-                cut[1:] |= SPACE[buf[1:]] & ~SPACE[buf[:-1]]
-            else:
-                cut[_lone_spaces(buf)] = True
+            cut = self._cuts(buf)
             for i in np.flatnonzero(whole).tolist():
                 cut[at[i]:at[i + 1]] = False
             cut[at[:-1][np.diff(at) > 0]] = True
@@ -108,16 +122,46 @@ class BatchEncoder:
         self.slot: dict[str, int] = {}  # piece -> its place in the arrays
         self.ids, self.lengths, self.uses = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_one_by_one``, for byte-level vocabularies."""
+        data = [p.encode() for p in pieces]
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        special = np.fromiter(("<|" in p for p in pieces), bool, len(pieces))
+        first = np.ones(len(pieces), bool)  # of its text
+        first[1:] = ~self._cuts(np.frombuffer(b"".join(data), np.uint8))[ends[:-1]] | special[1:] | special[:-1]
+        first[::JOINED] = True
+        starts = [*np.flatnonzero(first).tolist(), len(pieces)]
+        found = self.tokenizer.encode_batch_fast(["".join(pieces[a:b]) for a, b in zip(starts, starts[1:])],
+                                                 add_special_tokens=False)
+        ids, lengths = [], []
+        for a, b, e in zip(starts, starts[1:], found):
+            own = np.array(e.ids, self.dtype)
+            if b - a == 1:
+                n = np.array([len(own)])
+            else:
+                want, at = ends[a:b] - (ends[a - 1] if a else 0), np.cumsum(self.widths[own])
+                place = np.searchsorted(at, want)  # the token that ends where a piece ends
+                n = np.diff(place, prepend=-1)
+                if not (place < len(at)).all() or (at[place] != want).any() or place[-1] + 1 != len(at):
+                    own, n = self._one_by_one(pieces[a:b])
+            ids.append(own)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
     def _slots(self, keys: list[str]) -> np.ndarray:
         """Each piece's place in the table of ids; pieces not met before are encoded and added."""
         slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(slots < 0)
         for a in range(0, len(missing), 20_000):
             new = [keys[i] for i in missing[a:a + 20_000].tolist()]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ids, lengths = self._one_by_one(new) if self.by_words else self._joined(new)
             base = len(self.lengths)
-            self.lengths = np.append(self.lengths, np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), self.dtype))
+            self.lengths, self.ids = np.append(self.lengths, lengths), np.append(self.ids, ids)
             slots[missing[a:a + 20_000]] = np.arange(base, base + len(new))
             self.slot.update(zip(new, range(base, base + len(new))))
         self.uses = np.append(self.uses, np.zeros(len(self.lengths) - len(self.uses), np.int64))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from outletiq.llm import records
-from outletiq.llm.bpe import encoder
+from outletiq.llm.bpe import BatchEncoder, encoder
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 ODD = [None, "", " ", "  a", "a  b   c ", "Hello, World’s  ﬁ\n\n Straße J̌ x<|endoftext|>y <|ENDOFTEXT|> a  b ",
@@ -40,6 +41,41 @@ def test_encoder_matches_library(path):
                                                           for x in expected(path, ODD)]
 
 
+class Counting:
+    """The library's tokenizer, with the texts that it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_pieces_go_to_the_library_in_few_texts():
+    enc = BatchEncoder(BYTE)
+    enc.tokenizer = Counting(enc.tokenizer)
+    words = [f"w{i:x}ord" + "é" * (i % 2) + "." * (i % 3) for i in range(8000)]
+    texts = [" ".join(words[i:i + 100]) for i in range(0, 8000, 100)]
+    ids, off = enc.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == expected(BYTE, texts)
+    assert len(enc.tokenizer.texts) < 200
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_joined_pieces_have_their_own_ids(seed):
+    enc, rnd = BatchEncoder(BYTE), random.Random(seed)
+    pieces = ODD[2:] + [" a", " b", ".", "'s", "'", "s", "<", "|x", "|endoftext|>", "\nOne", " é", "é", "\u3000", "\u3000 x", " \u3000", " 1", "23",
+                        " ", "\n", " a\x85", "a ", "J̌", " ̈"] + [f" w{i}" for i in range(60)]
+    rnd.shuffle(pieces)
+    ids, lengths = enc._joined(pieces)
+    at = np.cumsum(lengths)
+    assert [ids[b - n:b].tolist() for n, b in zip(lengths, at)] == expected(BYTE, pieces)
+    enc.widths = enc.widths + 1  # tokens that do not end where the pieces end: encoded one by one
+    again = enc._joined(pieces)
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == lengths.tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\n\t'sAaé̈.,<|>1\xa0\x85\u2003"), st.characters(codec="utf-8")),
                         max_size=30), min_size=1, max_size=4))
